@@ -14,16 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the folder that the cluster names.
-
-    The folder is read from the session (``spark.checkpoint.dir``); only where
-    none is set, as in local tests, a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; only where none is set, as in local tests, a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        set_dir = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(set_dir or tempfile.mkdtemp(prefix="riskloom-ckpt-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riskloom-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a checkpoint in the shared folder, which outlives lost executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -120,8 +120,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for whole in batches:
-            for batch in slices(whole, "_text"):
-                data, offsets = utf8(batch.column("_text"))
+            for batch in slices(whole, text):
+                data, offsets = utf8(batch.column(text))
                 at, row = features(data, offsets, s)
                 n = batch.num_rows
                 total = np.bincount(row, w[at], n)
@@ -129,7 +129,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings | None =
                 p = 1 / (1 + np.exp(-np.clip(bias + s.scale * total / np.maximum(count, 1), -35, 35)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keep, "held_out")), pa.array(p), pa.array((p >= s.threshold).astype(np.int32))], names=[*keep, "held_out", "score", "predicted"])
 
-    rows = docs.select(*keep, held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("_text"))
+    text = "text" if "text" in keep and dict(docs.dtypes)["text"] == "string" else "_text"  # sent once
+    rows = docs.select(*keep, held_out(F.col("doc_id")).alias("held_out"), *([F.col("text").cast("string").alias("_text")] if text == "_text" else []))
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in (*keep, "held_out")) + ", score double, predicted int")
 
