@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DataType, DecimalType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 _DDL = {
     "raw_events": "event_id string, user_id string, session_id string, ts timestamp, ip_address string, device_id string, action_type string, resource_id string, geo_location string, user_agent string, success_flag boolean, enforcement_action string",
@@ -16,7 +18,15 @@ _DDL = {
     "abuse_clusters": "cluster_id string, detected_at timestamp, cluster_size int, avg_risk_score decimal(5,4), shared_ips string, shared_devices string, cluster_label string",
     "threshold_history": "threshold_id long, metric_name string, threshold_value decimal(10,4), false_positive_rate decimal(6,4), false_negative_rate decimal(6,4), updated_at timestamp, updated_by string",
 }
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+_PLAIN = {"string": StringType(), "timestamp": TimestampType(), "int": IntegerType(), "long": LongType(), "boolean": BooleanType()}
+
+
+def _type(text: str) -> DataType:
+    digits = re.fullmatch(r"decimal\((\d+),(\d+)\)", text)
+    return DecimalType(int(digits[1]), int(digits[2])) if digits else _PLAIN[text]
+
+
+SCHEMAS: dict[str, StructType] = {name: StructType([StructField(c, _type(t)) for c, t in (x.split() for x in re.split(r",\s+", ddl))]) for name, ddl in _DDL.items()}
 KEYS = {
     "raw_events": ("event_id", "ts"), "user_profiles": ("user_id",), "aggregated_user_metrics": ("user_id", "window_start"),
     "time_window_activity": ("user_id", "window_start", "window_type"), "anomaly_scores": ("score_id",),
