@@ -43,7 +43,7 @@ class Settings:
     threshold: float = 0.8
     recall: float = 0.9995
     depth: int = 2
-    block: int = 768
+    block: int = 512
     max_rounds: int = 40
 
     @property
@@ -127,10 +127,22 @@ def _sets(docs: DataFrame, s: Settings) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text"):
                 g, off = shingle_sets(*utf8(batch.column("text")), s.k)
-                lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(g.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["rep", "shingles"])
+                # packed, so that rows are copied as they are instead of value by value
+                packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((off * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(g))])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), packed], names=["rep", "shingles"])
 
-    return docs.mapInArrow(run, "rep long, shingles array<long>")
+    return docs.mapInArrow(run, "rep long, shingles binary")
+
+
+def _keyed(sets: DataFrame) -> DataFrame:
+    """Adds the key of each packed set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, off = _unpacked(pa.chunked_array([batch.column("shingles")]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_set_key(values.view(np.uint64), off).view(np.int64))], names=["rep", "shingles", "set_key"])
+
+    return sets.mapInArrow(run, "rep long, shingles binary, set_key long")
 
 
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,6 +152,12 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(values) if values else np.zeros(0, np.int64), np.r_[0, np.cumsum(size)]
 
 
+def _unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a column of packed 64-bit values."""
+    rows = [np.frombuffer(x.as_buffer(), np.int64) for c in column.chunks for x in c]
+    return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int64)
+
+
 def common(values: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
     """How many values each two of n lists have in common (float32, exact below 2**24)."""
     who = np.repeat(np.arange(n), np.diff(off))
@@ -215,7 +233,9 @@ def jaccard_join(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     known = rows.where("id is not null")
     sketches = durable(_sketches(known, s))
     # rows of one doc_id: the one with the smallest set
-    sketches = sketches if sketches.groupBy("id").count().where("count > 1").isEmpty() else durable(sketches.groupBy("id").agg(F.min(F.struct("set_key", "nodes")).alias("x")).select("id", "x.*"))
+    repeated = not sketches.groupBy("id").count().where("count > 1").isEmpty()
+    if repeated:
+        sketches = durable(sketches.groupBy("id").agg(F.min(F.struct("set_key", "nodes")).alias("x")).select("id", "x.*"))
     classes = durable(sketches.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("nodes").alias("nodes")))
 
     met = classes.select("rep", F.explode("nodes").alias("node"))
@@ -225,8 +245,12 @@ def jaccard_join(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     buckets = nodes.groupBy("n", "x", "y").agg(F.min("node").alias("bucket")).select("bucket", "n")
     inside = durable(met.withColumnRenamed("node", "bucket").join(buckets, "bucket"))
     lists = inside.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("sizes"))
-    texts = known.join(lists.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    sets = _sets(texts, s).join(lists, "rep").join(classes.select("rep", "copies"), "rep")
+    texts = known.join(lists.select(F.col("rep").alias("id")), "id", "left_semi")
+    sets = _sets(texts, s)
+    if repeated:  # the text whose set was taken above
+        keys = sketches.select(F.col("id").alias("rep"), "set_key")
+        sets = _keyed(sets).join(keys, ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).drop("set_key")
+    sets = sets.join(lists, "rep").join(classes.select("rep", "copies"), "rep")
 
     blocks = F.ceil(F.col("n") / s.block).cast("int")
     part = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -246,7 +270,7 @@ def jaccard_join(docs: DataFrame, s: Settings | None = None) -> DataFrame:
         table, rep = table.take(pa.array(order)), rep[order]
         found = compare(
             table.column("bucket")[0].as_py(), table.column("i")[0].as_py(), table.column("j")[0].as_py(), rep, np.asarray(table.column("part")),
-            np.asarray(table.column("copies")), _flat(table.column("shingles")), _flat(table.column("buckets")), s,
+            np.asarray(table.column("copies")), _unpacked(table.column("shingles")), _flat(table.column("buckets")), s,
         )
         return pa.table({"rep": pa.array(found[0], pa.int64()), "links": pa.array(found[1], pa.int64()), "root": pa.array(found[2], pa.int64())})
 
