@@ -63,8 +63,10 @@ def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
             sg, sr = gram_hashes(h[pick], row[pick], size)
             # marked by their size, so that short texts only equal short texts
             g, g_row = np.concatenate([g, sg ^ np.uint64(size)]), np.concatenate([g_row, sr])
-    order = np.argsort(g_row, kind="stable")
-    return g[order], np.searchsorted(g_row[order], np.arange(n + 1)), words
+    if n and 0 < words[words > 0].min(initial=k) < k:  # else they are in the order of the rows already
+        order = np.argsort(g_row, kind="stable")
+        g, g_row = g[order], g_row[order]
+    return g, np.searchsorted(g_row, np.arange(n + 1)), words
 
 
 def simhash(sums: np.ndarray) -> np.ndarray:
@@ -80,31 +82,40 @@ def planes(g: np.ndarray) -> np.ndarray:
 
 
 class HammingIndex:
-    """Finds every fingerprint within a radius through blocks, one of which must agree."""
+    """Finds every fingerprint within a radius through blocks, one of which must agree.
+
+    For each block a table says, for each value, which prints have it: one bit a print, 64 prints to a word.
+    """
 
     def __init__(self, prints: np.ndarray, radius: int) -> None:
         self.prints, self.radius = prints, radius
+        if radius < 3:
+            raise ValueError("blocks of more than 16 bits would need hashed tables: use a radius of 3 or more")
         cuts = np.linspace(0, 64, radius + 2).astype(int)
-        self.blocks = [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-        self.tables = []
-        for shift, mask in self.blocks:
-            value = (prints >> shift) & mask
-            order = np.argsort(value, kind="stable")
-            self.tables.append((value[order], order))
+        blocks = [(np.uint64(a), int(b - a)) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+        bit = np.uint64(1) << (np.arange(len(prints), dtype=np.uint64) % np.uint64(64))
+        self.words = -(-len(prints) // 64)
+        self.blocks = []
+        for shift, width in blocks:
+            table = np.zeros((self.words, 1 << width), np.uint64)
+            mask = np.uint64((1 << width) - 1)
+            np.bitwise_or.at(table, (np.arange(len(prints)) // 64, ((prints >> shift) & mask).astype(np.int64)), bit)
+            self.blocks.append((shift, mask, table))
 
     def near(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query number, print number) within the radius."""
-        hit = np.zeros((len(queries), len(self.prints)), bool)
-        for (shift, mask), (value, order) in zip(self.blocks, self.tables, strict=True):
-            q = (queries >> shift) & mask
-            lo, hi = np.searchsorted(value, q), np.searchsorted(value, q, "right")
-            count = hi - lo
-            at = np.repeat(np.arange(len(q)), count)
-            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            hit[at, order[lo[at] + inner]] = True
-        q, p = np.nonzero(hit)
-        keep = np.bitwise_count(queries[q] ^ self.prints[p]) <= self.radius
-        return q[keep], p[keep]
+        values = [((queries >> shift) & mask).astype(np.int64) for shift, mask, _ in self.blocks]
+        q, p = [], []
+        for w in range(self.words):
+            found = np.zeros(len(queries), np.uint64)
+            for value, (_, _, table) in zip(values, self.blocks, strict=True):
+                found |= table[w][value]
+            for i in range(min(64, len(self.prints) - 64 * w)):
+                at = np.flatnonzero(found >> np.uint64(i) & np.uint64(1))
+                at = at[np.bitwise_count(queries[at] ^ self.prints[64 * w + i]) <= self.radius]
+                q.append(at)
+                p.append(np.full(len(at), 64 * w + i))
+        return (np.concatenate(q), np.concatenate(p)) if q else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 class ItemIndex:
@@ -121,10 +132,7 @@ class ItemIndex:
         self.all = np.unique(g)
         self.gate = np.zeros(1 << s.gate_bits, bool)
         self.gate[(self.all >> np.uint64(64 - s.gate_bits)).astype(np.int64)] = True
-        self.by_size = {}
-        for size in np.unique(self.sizes):
-            at = np.flatnonzero(self.sizes == size)
-            self.by_size[int(size)] = (at, HammingIndex(prints[at], s.radius))
+        self.by_size = {int(n): (at, HammingIndex(prints[at], s.radius)) for n in np.unique(self.sizes) for at in [np.flatnonzero(self.sizes == n)]}
 
     def hits(self, g: np.ndarray) -> np.ndarray:
         """True for the shingles that some item has."""
