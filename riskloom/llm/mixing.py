@@ -118,12 +118,11 @@ def mix(docs: DataFrame, s: Settings | None = None) -> tuple[DataFrame, DataFram
     )
     # at most last_slot + 1 rows
     slots = copies(queued(light, buckets, s), s).groupBy("_slot").agg(F.sum("_size").alias("_words"))
-    budget = light.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("_budget")).withColumn("_one", F.lit(0))
+    budget = F.lit(light.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0])  # one number
     cut = (
-        slots.withColumn("_one", F.lit(0)).join(F.broadcast(budget), "_one")
-        .withColumn("_until", F.sum("_words").over(Window.orderBy("_slot")))
-        .where(F.col("_until") - F.col("_words") < F.col("_budget"))
-        .select("_slot", (F.col("_budget") - (F.col("_until") - F.col("_words"))).alias("_left"), (F.col("_until") > F.col("_budget")).alias("_last"))
+        slots.withColumn("_until", F.sum("_words").over(Window.orderBy("_slot")))
+        .where(F.col("_until") - F.col("_words") < budget)
+        .select("_slot", (budget - (F.col("_until") - F.col("_words"))).alias("_left"), (F.col("_until") > budget).alias("_last"))
     )
     queue = queued(rows, buckets, s)
     order = Window.partitionBy("_slot").orderBy("virtual_finish", "_rank", "_h", "_at", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
