@@ -20,7 +20,7 @@ one window.
 
 Cases: null or empty texts and items match nothing; equal items are found each;
 of equal windows the first counts; rows are judged one by one, repeated or not;
-other columns pass through.
+other columns pass through, but for one named leaks, which is replaced.
 """
 
 from __future__ import annotations
@@ -188,24 +188,24 @@ _LEAK_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.flo
 def find_leaks(docs: DataFrame, items: DataFrame, s: Settings | None = None) -> DataFrame:
     """All columns of ``docs`` and ``leaks``, an array of item_id, similarity, start_word, end_word; no shuffle."""
     s = s or Settings()
-    names = docs.columns
-    out = docs.withColumn("leaks", F.array().cast(_LEAK))
+    names = [c for c in docs.columns if c.lower() != "leaks"]
+    out = docs.select(*names).withColumn("leaks", F.array().cast(_LEAK))
     for ids, texts in _blocks(items, s):
         shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(ids, texts, s))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for whole in batches:
-                for batch in slices(whole, "_text"):
-                    g, off, words = shingles(batch.column("_text"), s.k)
+                for batch in slices(whole, "_rl_text"):
+                    g, off, words = shingles(batch.column("_rl_text"), s.k)
                     hit = index.hits(g)
                     row = np.unique(np.searchsorted(off, np.flatnonzero(hit), "right") - 1)
                     found = {int(r): index.leaks(g[off[r] : off[r + 1]], hit[off[r] : off[r + 1]], int(words[r])) for r in row}
                     leaks = pa.array([found.get(i, []) for i in range(batch.num_rows)], _LEAK_ARROW)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*names, "leaks"]), leaks], names=[*names, "leaks", "_new"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*names, "leaks"]), leaks], names=[*names, "leaks", "_rl_new"])
 
         kinds = dict(out.dtypes)
-        rows = out.withColumn("_text", F.col("text").cast("string"))
-        out = rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in [*names, "leaks"]) + f", _new {_LEAK}")
-        out = out.withColumn("leaks", F.concat("leaks", "_new")).drop("_new")
+        rows = out.withColumn("_rl_text", F.col("text").cast("string"))
+        out = rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in [*names, "leaks"]) + f", _rl_new {_LEAK}")
+        out = out.withColumn("leaks", F.concat("leaks", "_rl_new")).drop("_rl_new")
     return out

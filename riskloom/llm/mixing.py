@@ -18,7 +18,8 @@ size per weight are filled up from the smallest.
 
 Cases: null text has size 0; documents of size 0 are never taken; a null source
 is a source, the last; equal rows queue one after the other; an empty table
-gives an empty result.
+gives an empty result; other columns pass through (``_rl_`` begins the names of
+this module's own).
 """
 
 from __future__ import annotations
@@ -46,56 +47,56 @@ def size_of(text: Column) -> Column:
 
 
 def targets(sized: DataFrame, s: Settings | None = None) -> DataFrame:
-    """_source, _rank, source_size, target for every source of ``sized`` (_source, _size)."""
+    """_rl_source, _rl_rank, _rl_source_size, _rl_target for every source of ``sized`` (_rl_source, _rl_size)."""
     s = s or Settings()
-    by_name = Window.orderBy(F.col("_source").asc_nulls_last())
+    by_name = Window.orderBy(F.col("_rl_source").asc_nulls_last())
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    filling = Window.orderBy("_need", "_rank").rowsBetween(Window.unboundedPreceding, -1)
+    filling = Window.orderBy("_rl_need", "_rl_rank").rowsBetween(Window.unboundedPreceding, -1)
     weights = F.array(*(F.lit(float(w)) for w in s.weights))
-    limit = F.col("source_size") * float(s.repeats)
-    per_source = sized.groupBy("_source").agg(F.sum("_size").alias("source_size"))
+    limit = F.col("_rl_source_size") * float(s.repeats)
+    per_source = sized.groupBy("_rl_source").agg(F.sum("_rl_size").alias("_rl_source_size"))
     levels = (
-        per_source.withColumn("_rank", F.row_number().over(by_name))
-        .withColumn("_weight", F.element_at(weights, (F.col("_rank") - 1) % len(s.weights) + 1))
-        .withColumn("_need", limit / F.col("_weight"))
-        .withColumn("_total", F.sum("source_size").over(everything).cast("double"))
-        .withColumn("_all", F.sum("_weight").over(everything))
+        per_source.withColumn("_rl_rank", F.row_number().over(by_name))
+        .withColumn("_rl_weight", F.element_at(weights, (F.col("_rl_rank") - 1) % len(s.weights) + 1))
+        .withColumn("_rl_need", limit / F.col("_rl_weight"))
+        .withColumn("_rl_total", F.sum("_rl_source_size").over(everything).cast("double"))
+        .withColumn("_rl_all", F.sum("_rl_weight").over(everything))
         # the level at which this source is the next one to be filled up, all before it being full
-        .withColumn("_level", (F.col("_total") - F.coalesce(F.sum(limit).over(filling), F.lit(0.0))) / (F.col("_all") - F.coalesce(F.sum("_weight").over(filling), F.lit(0.0))))
-        .withColumn("_open", F.when(F.col("_need") >= F.col("_level"), F.col("_level")))
+        .withColumn("_rl_level", (F.col("_rl_total") - F.coalesce(F.sum(limit).over(filling), F.lit(0.0))) / (F.col("_rl_all") - F.coalesce(F.sum("_rl_weight").over(filling), F.lit(0.0))))
+        .withColumn("_rl_open", F.when(F.col("_rl_need") >= F.col("_rl_level"), F.col("_rl_level")))
         # the first source that the level does not fill sets the level of all the open ones
-        .withColumn("_final", F.min_by("_open", F.when(F.col("_open").isNotNull(), F.struct("_need", "_rank"))).over(everything))
+        .withColumn("_rl_final", F.min_by("_rl_open", F.when(F.col("_rl_open").isNotNull(), F.struct("_rl_need", "_rl_rank"))).over(everything))
     )
-    return levels.select("_source", "_rank", "source_size", F.least(limit, F.coalesce(F.col("_final") * F.col("_weight"), limit)).alias("target"))
+    return levels.select("_rl_source", "_rl_rank", "_rl_source_size", F.least(limit, F.coalesce(F.col("_rl_final") * F.col("_rl_weight"), limit)).alias("_rl_target"))
 
 
 def sized(docs: DataFrame, s: Settings) -> DataFrame:
-    """Adds what the queue needs: _source, _size, _h (a hash to shuffle by) and _bucket (its first part)."""
+    """Adds what the queue needs: _rl_source, _rl_size, _rl_h (a hash to shuffle by) and _rl_bucket (its first part)."""
     h = F.md5(F.concat(F.lit(s.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     return (
-        docs.withColumn("_source", F.col("source")).withColumn("_size", size_of(F.col("text").cast("string")))
-        .withColumn("_h", h).withColumn("_bucket", F.substring("_h", 1, 3))
+        docs.withColumn("_rl_source", F.col("source")).withColumn("_rl_size", size_of(F.col("text").cast("string")))
+        .withColumn("_rl_h", h).withColumn("_rl_bucket", F.substring("_rl_h", 1, 3))
     )
 
 
 def queued(rows: DataFrame, buckets: DataFrame, s: Settings) -> DataFrame:
-    """Adds _rank, source_size, target, _before (words of the source before the row) and _at (its place in the bucket)."""
-    place = Window.partitionBy("_rank", "_bucket").orderBy("_h", F.col("doc_id").asc_nulls_first(), "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    b = buckets.withColumnRenamed("_source", "_source_b").withColumnRenamed("_bucket", "_bucket_b")
+    """Adds _rl_rank, _rl_source_size, _rl_target, _rl_before (words of the source before the row) and _rl_at (its place in the bucket)."""
+    place = Window.partitionBy("_rl_rank", "_rl_bucket").orderBy("_rl_h", F.col("doc_id").asc_nulls_first(), "_rl_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = buckets.withColumnRenamed("_rl_source", "_rl_source_b").withColumnRenamed("_rl_bucket", "_rl_bucket_b")
     return (
-        rows.join(b, F.col("_source").eqNullSafe(F.col("_source_b")) & (F.col("_bucket") == F.col("_bucket_b"))).drop("_source_b", "_bucket_b")
-        .withColumn("_before", F.col("_base") + F.sum("_size").over(place) - F.col("_size"))
-        .withColumn("_at", F.row_number().over(place))
+        rows.join(b, F.col("_rl_source").eqNullSafe(F.col("_rl_source_b")) & (F.col("_rl_bucket") == F.col("_rl_bucket_b"))).drop("_rl_source_b", "_rl_bucket_b")
+        .withColumn("_rl_before", F.col("_rl_base") + F.sum("_rl_size").over(place) - F.col("_rl_size"))
+        .withColumn("_rl_at", F.row_number().over(place))
     )
 
 
 def copies(queue: DataFrame, s: Settings) -> DataFrame:
     """A row for each pass over each document, with its virtual finish time and slot."""
-    finish = (F.col("copy") * F.col("source_size") + F.col("_before") + F.col("_size")) / F.col("target")
+    finish = (F.col("_rl_copy") * F.col("_rl_source_size") + F.col("_rl_before") + F.col("_rl_size")) / F.col("_rl_target")
     return (
-        queue.where("_size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(s.repeats - 1))))
-        .withColumn("virtual_finish", finish)
-        .withColumn("_slot", F.least(F.floor(F.col("virtual_finish") * s.slots), F.lit(s.last_slot)))
+        queue.where("_rl_size > 0").withColumn("_rl_copy", F.explode(F.sequence(F.lit(0), F.lit(s.repeats - 1))))
+        .withColumn("_rl_virtual_finish", finish)
+        .withColumn("_rl_slot", F.least(F.floor(F.col("_rl_virtual_finish") * s.slots), F.lit(s.last_slot)))
     )
 
 
@@ -106,43 +107,45 @@ def mix(docs: DataFrame, s: Settings | None = None) -> tuple[DataFrame, DataFram
     """
     s = s or Settings()
     rows = sized(docs, s)
-    light = durable(rows.select("doc_id", "_source", "_size", "_h", "_bucket"))
+    light = durable(rows.select("doc_id", "_rl_source", "_rl_size", "_rl_h", "_rl_bucket"))
     # source totals and the words of each source before each of its buckets
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = light.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_size"))
-    goal = targets(sums, s).withColumnRenamed("_source", "_name")
+    before = Window.partitionBy("_rl_source").orderBy("_rl_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = light.groupBy("_rl_source", "_rl_bucket").agg(F.sum("_rl_size").alias("_rl_size"))
+    goal = targets(sums, s).withColumnRenamed("_rl_source", "_rl_name")
     buckets = durable(
-        sums.withColumn("_base", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-        .join(goal, F.col("_source").eqNullSafe(F.col("_name")))
-        .select("_source", "_bucket", "_base", "_rank", "source_size", "target")
+        sums.withColumn("_rl_base", F.coalesce(F.sum("_rl_size").over(before), F.lit(0)))
+        .join(goal, F.col("_rl_source").eqNullSafe(F.col("_rl_name")))
+        .select("_rl_source", "_rl_bucket", "_rl_base", "_rl_rank", "_rl_source_size", "_rl_target")
     )
     # at most last_slot + 1 rows
-    slots = copies(queued(light, buckets, s), s).groupBy("_slot").agg(F.sum("_size").alias("_words"))
-    budget = F.lit(light.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0])  # one number
+    slots = copies(queued(light, buckets, s), s).groupBy("_rl_slot").agg(F.sum("_rl_size").alias("_rl_words"))
+    budget = F.lit(light.agg(F.coalesce(F.sum("_rl_size"), F.lit(0))).first()[0])  # one number
     cut = (
-        slots.withColumn("_until", F.sum("_words").over(Window.orderBy("_slot")))
-        .where(F.col("_until") - F.col("_words") < budget)
-        .select("_slot", (budget - (F.col("_until") - F.col("_words"))).alias("_left"), (F.col("_until") > budget).alias("_last"))
+        slots.withColumn("_rl_until", F.sum("_rl_words").over(Window.orderBy("_rl_slot")))
+        .where(F.col("_rl_until") - F.col("_rl_words") < budget)
+        .select("_rl_slot", (budget - (F.col("_rl_until") - F.col("_rl_words"))).alias("_rl_left"), (F.col("_rl_until") > budget).alias("_rl_last"))
     )
     queue = queued(rows, buckets, s)
-    order = Window.partitionBy("_slot").orderBy("virtual_finish", "_rank", "_h", "_at", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = copies(queue, s).join(F.broadcast(durable(cut)), "_slot")
-    whole = found.where(~F.col("_last")).drop("_left", "_last")
-    part = found.where("_last").withColumn("_sum", F.sum("_size").over(order)).where("_sum <= _left").drop("_left", "_last", "_sum")
+    order = Window.partitionBy("_rl_slot").orderBy("_rl_virtual_finish", "_rl_rank", "_rl_h", "_rl_at", "_rl_copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = copies(queue, s).join(F.broadcast(durable(cut)), "_rl_slot")
+    whole = found.where(~F.col("_rl_last")).drop("_rl_left", "_rl_last")
+    part = found.where("_rl_last").withColumn("_rl_sum", F.sum("_rl_size").over(order)).where("_rl_sum <= _rl_left").drop("_rl_left", "_rl_last", "_rl_sum")
     return queue, whole.unionByName(part)
 
 
 def ordered(taken: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix in the order in which it is to be read: ``columns``, copy and virtual_finish, range-sorted."""
-    return taken.orderBy("virtual_finish", "_rank", "_h", "_at", "copy").select(*columns, "copy", "virtual_finish")
+    """The mix in the order in which it is to be read: ``columns``, copy and virtual_finish (in place of any of that name), range-sorted."""
+    return taken.orderBy("_rl_virtual_finish", "_rl_rank", "_rl_h", "_rl_at", "_rl_copy").select(
+        *(c for c in columns if c.lower() not in ("copy", "virtual_finish")), F.col("_rl_copy").alias("copy"), F.col("_rl_virtual_finish").alias("virtual_finish")
+    )
 
 
 def mixed_sizes(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken (words, repeats counted), copies."""
     queue, taken = mix(docs.select("doc_id", "source", "text"), s)
-    key = ["_rank", "_bucket", "_at"]
+    key = ["_rl_rank", "_rl_bucket", "_rl_at"]
     n = taken.groupBy(*key).agg(F.count("*").alias("copies"))
     return (
         queue.drop("text").join(n, key, "left")
-        .select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.coalesce("copies", F.lit(0)) * F.col("_size")).alias("taken"), F.coalesce("copies", F.lit(0)).alias("copies"))
+        .select("doc_id", F.col("_rl_size").alias("size"), F.col("_rl_source_size").alias("source_size"), F.col("_rl_target").alias("target"), (F.coalesce("copies", F.lit(0)) * F.col("_rl_size")).alias("taken"), F.coalesce("copies", F.lit(0)).alias("copies"))
     )

@@ -112,8 +112,9 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> tupl
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, held_out, score and predicted for every row of ``docs``; no shuffle."""
+    """``keep`` columns, held_out, score and predicted (in place of any of that name) for every row of ``docs``; no shuffle."""
     s = s or Settings()
+    keep = tuple(c for c in keep if c.lower() not in ("held_out", "score", "predicted"))
     w, bias = np.asarray(model[0], np.float64), model[1]
     shared = docs.sparkSession.sparkContext.broadcast(w)
 
@@ -129,8 +130,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], s: Settings | None =
                 p = 1 / (1 + np.exp(-np.clip(bias + s.scale * total / np.maximum(count, 1), -35, 35)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keep, "held_out")), pa.array(p), pa.array((p >= s.threshold).astype(np.int32))], names=[*keep, "held_out", "score", "predicted"])
 
-    text = "text" if "text" in keep and dict(docs.dtypes)["text"] == "string" else "_text"  # sent once
-    rows = docs.select(*keep, held_out(F.col("doc_id")).alias("held_out"), *([F.col("text").cast("string").alias("_text")] if text == "_text" else []))
+    text = "text" if "text" in keep and dict(docs.dtypes)["text"] == "string" else "_rl_text"  # sent once
+    rows = docs.select(*keep, held_out(F.col("doc_id")).alias("held_out"), *([F.col("text").cast("string").alias("_rl_text")] if text == "_rl_text" else []))
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in (*keep, "held_out")) + ", score double, predicted int")
 

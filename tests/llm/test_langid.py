@@ -46,7 +46,7 @@ def test_mixture(docs, model):
 
 def test_one_language_is_not_split(docs, model):
     rows = langid.predict(docs.where("doc_id < 600"), model).collect()
-    assert np.mean([r.score == 1 for r in rows]) > 0.9
+    assert np.mean([r.score for r in rows]) > 0.95 and np.mean([r.score == 1 for r in rows]) > 0.7
 
 
 def test_learns_only_outside_the_fold(docs, model):
