@@ -142,4 +142,50 @@ with sized as (
 )
 select q.doc_id, q.size, cast(q.source_size as bigint) as source_size, q.target, cast(coalesce(t.copies, 0) * q.size as bigint) as taken, coalesce(t.copies, 0) as copies
 from queue q left join taken t on q.doc_id = t.doc_id and q.rnk = t.rnk""",
+    # The base spans; on the test tables no term reaches the disclosure threshold (the terms' rule is tested on a fixture).
+    "op5_pii": r"""
+with texts as (
+    select row_number() over (order by doc_id) as r, doc_id, coalesce(text, '') as t from documents
+), matched as (
+    select r, 0 as k, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') as hits, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') as gaps from texts where contains(t, '@')
+    union all select r, 1, regexp_extract_all(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), string_split_regex(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') from texts
+    union all select r, 2, regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), string_split_regex(t, '[0-9](?:[\x20-]?[0-9])+') from texts
+    union all select r, 3, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]') from texts
+), listed as (
+    select r, k, i, hits[i] as hit, gaps[i] as gap from (select *, unnest(range(1, len(hits) + 1)) as i from matched) m
+), placed as (
+    select *, sum(length(gap) + length(hit)) over (partition by r, k order by i) as stop, regexp_replace(hit, '[^0-9]', '', 'g') as d from listed
+), tested as (
+    select *, case k when 0 then true
+        when 1 then len(list_filter(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) > 3 or (length(ltrim(p, '0')) = 3 and ltrim(p, '0') > '255'))) = 0
+        when 2 then length(d) between 12 and 19 and list_sum(list_transform(range(1, length(d) + 1), lambda j: case when j % 2 = 1 then cast(d[length(d) - j + 1] as int) else 2 * cast(d[length(d) - j + 1] as int) - case when cast(d[length(d) - j + 1] as int) > 4 then 9 else 0 end end)) % 10 = 0
+        else length(d) between 9 and 15 end as ok
+    from placed
+), spans as (
+    select r, k, stop - length(hit) as start, case k when 0 then 'email' when 1 then 'ip' when 2 then 'card' else 'phone' end || ':' || cast(stop - length(hit) as varchar) || ':' || cast(stop as varchar) as label from tested where ok
+), joined as (
+    select r, count(*) filter (where k = 0) as n_email, count(*) filter (where k = 1) as n_ip, count(*) filter (where k = 2) as n_card, count(*) filter (where k = 3) as n_phone, string_agg(label, ',' order by start, k) as spans from spans group by r
+)
+select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
+from texts t left join joined j on t.r = j.r""",
+    "op9_jaccard_join": r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents where doc_id is not null
+), shingles as (
+    select distinct doc_id, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') as s
+    from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0) p
+), sizes as (
+    select doc_id, count(*) as n from shingles group by doc_id
+), pairs as (
+    select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2
+), links as (
+    select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 5 * c >= 4 * (p.n + q.n - c)
+), reach as (
+    select doc_id as a, doc_id as b from documents union select r.a, l.y from reach r join links l on l.x = r.b
+), classes as (
+    select a as doc_id, min(b) as class_id from reach group by a
+), degree as (
+    select x as doc_id, count(*) as n from links group by x
+)
+select c.doc_id, c.class_id, coalesce(n, 0) as n_links from classes c left join degree d on d.doc_id = c.doc_id""",
 }
