@@ -179,9 +179,9 @@ def common(values: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
 def compare(bucket: int, i: int, j: int, rep: np.ndarray, part: np.ndarray, copies: np.ndarray, sets: tuple, buckets: tuple, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rep, links, root) of the members that link to others in this bucket, or in blocks i and j of it."""
     n = len(rep)
-    size = np.diff(sets[1]).astype(np.float32)
-    both = common(*sets, n)
-    near = both >= s.threshold * (size[:, None] + size[None] - both) - 1e-4
+    size = np.diff(sets[1]).astype(np.float64)
+    both = common(*sets, n).astype(np.float64)
+    near = both >= s.threshold * (size[:, None] + size[None] - both) - 1e-6  # whole numbers, but for the threshold
     np.fill_diagonal(near, False)
     if i != j:
         near &= part[:, None] != part[None]
