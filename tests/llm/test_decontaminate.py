@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import prose  # noqa: F401
+from corpus_text import prose
 
 from riskloom.llm import decontaminate as d
 

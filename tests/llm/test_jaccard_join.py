@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import prose
+from corpus_text import prose
 
 from riskloom.llm import jaccard_join as jj
 

@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import pytest
-from conftest import prose
+from corpus_text import prose
 from pyspark.sql import functions as F
 
 from riskloom.llm import mixing

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from conftest import prose
+from corpus_text import prose
 from test_mixing import waterfill
 
 

@@ -4,7 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from conftest import prose
+from corpus_text import prose
 from pyspark.sql import functions as F
 
 from riskloom.llm import quality_classifier as qc

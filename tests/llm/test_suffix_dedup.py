@@ -38,7 +38,7 @@ def test_against_the_definition(make, seed):
 
 def test_small_arrays_are_merged(make):
     texts = corpus(random.Random(7))
-    assert check(make, texts, sd.Settings(array_bytes=400, block_bytes=2000, flush=50, broadcast_ids=0)) > 3000
+    assert check(make, texts, sd.Settings(array_bytes=400, block_bytes=2000, flush=50, held_bytes=1000)) > 3000
 
 
 def test_other_lengths(make):
@@ -50,6 +50,9 @@ def test_hot_passage(make):
     line = "the very common line that a third of all the documents hold in their middle"
     texts = {d: "".join(rng.choice("abc d") for _ in range(40)) + line + "".join(rng.choice("abc d") for _ in range(40)) for d in range(300)}
     assert check(make, texts) >= 299 * len(line)
+    # the same with its contexts dealt over several tasks
+    assert check(make, texts, sd.Settings(hot=20, block_bytes=4000)) >= 299 * len(line)
+    assert check(make, corpus(rng), sd.Settings(hot=2, array_bytes=300)) > 0
 
 
 def test_odd_rows(make):
