@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ClusterParams
 from ..functions import micros
-
-
-def _durable(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riskloom-"))
-    return df.checkpoint(eager=True)
+from .durable import durable
 
 
 def nodes(events: DataFrame) -> DataFrame:
@@ -70,13 +62,13 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     Each round takes the smallest label around, then the label of that label (pointer jumping), so rounds
     grow with the logarithm of the longest path; tables are cut off by checkpoints.
     """
-    both = _durable(edges.select("src", "dst").union(edges.select("dst", "src")).toDF("user_id", "to").distinct())
-    label = _durable(both.groupBy("user_id").agg(F.least(F.col("user_id"), F.min("to")).alias("label")))
+    both = durable(edges.select("src", "dst").union(edges.select("dst", "src")).toDF("user_id", "to").distinct())
+    label = durable(both.groupBy("user_id").agg(F.least(F.col("user_id"), F.min("to")).alias("label")))
     for _ in range(max_rounds):
         around = both.join(label.toDF("to", "near"), "to").groupBy("user_id").agg(F.min("near").alias("near"))
         moved = label.join(around, "user_id").select("user_id", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         top = moved.select(F.col("user_id").alias("label"), F.col("label").alias("top"))
-        new = _durable(moved.join(top, "label", "left").select("user_id", F.least("label", F.coalesce("top", "label")).alias("label"), "was"))
+        new = durable(moved.join(top, "label", "left").select("user_id", F.least("label", F.coalesce("top", "label")).alias("label"), "was"))
         label = new.select("user_id", "label")
         if new.where("label <> was").isEmpty():
             return nodes.select("user_id").join(label, "user_id", "left").select("user_id", F.coalesce("label", "user_id").alias("cluster_id"))

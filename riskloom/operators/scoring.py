@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import AnomalyParams, Config, ModelParams
 from . import iforest
+from .durable import durable
 
 
 def baselines(features: DataFrame, columns: list[str]) -> DataFrame:
@@ -65,6 +66,7 @@ class RiskModel:
     @classmethod
     def fit(cls, features: DataFrame, config: Config = Config()) -> RiskModel:
         """Fits on a feature matrix (user_id and numeric columns)."""
+        features = durable(features)  # read for the baselines, the sample and the scores
         columns = [c for c in features.columns if c != "user_id"]
         row = baselines(features, columns).first()
         self = cls(columns, [row[f"{c}_mean"] for c in columns], [row[f"{c}_std"] for c in columns], params=config.anomaly_detection, model=config.model)
@@ -72,7 +74,7 @@ class RiskModel:
             raise ValueError("no rows to fit on")
         nodes, self.psi = iforest.fit(self._scaled(features), columns, config.model.n_estimators, config.model.max_samples, config.anomaly_detection.random_state)
         self.forest = iforest.Forest.of(nodes.toPandas(), self.psi)  # at most trees * (2 * samples - 1) nodes
-        raw = self._raw(features)
+        raw = durable(self._raw(features))  # read for the range and the threshold
         low, high = raw.agg(F.min("raw"), F.max("raw")).first()
         self.train_range = (low, high)
         self.threshold = calibrated_threshold(self._blended(raw, F.lit(low), F.lit(high)), self.params).first()["threshold"]
@@ -97,6 +99,7 @@ class RiskModel:
             raise RuntimeError("the model is not fitted")
         raw = self._raw(features)
         if normalize == "batch":
+            raw = durable(raw)  # read for the range and the scores
             ends = raw.agg(F.min("raw").alias("_low"), F.max("raw").alias("_high")).withColumn("_one", F.lit(1))
             raw = raw.withColumn("_one", F.lit(1)).join(F.broadcast(ends), "_one")  # one row
             scored = self._blended(raw, F.col("_low"), F.col("_high"))
