@@ -15,7 +15,10 @@
    from the prefix of the one before, less one).  Suffixes that share
    ``length`` bytes form a run; the arrays of the shards of one anchor range are
    merged by binary search of run prefixes, which gives each string its
-   smallest doc_id, and all occurrences in larger ones are removed.
+   smallest doc_id, and all occurrences in larger ones are removed.  An anchor
+   with very many contexts is dealt over several tasks; each sends on one row
+   for each of its strings and holder of the smallest doc_id, and those are
+   merged by string.
 4. The spans found meet the texts, grouped in blocks of documents.
 
 Everything is exact but for 48-bit context hashes within one anchor.
@@ -47,7 +50,8 @@ class Settings:
     block_bytes: int = 8 << 20  # of text, for a shard of anchors or a block of documents
     flush: int = 1 << 20  # anchors that a map task holds before it writes
     array_bytes: int = 1 << 21  # of contexts in one suffix array
-    broadcast_ids: int = 1_000_000  # more documents than this with open anchors are joined by a shuffle
+    held_bytes: int = 32 << 20  # of text that a map task holds before it writes
+    hot: int = 4_096  # contexts of one anchor above which they are dealt over several tasks
 
     @property
     def reach(self) -> int:
@@ -100,7 +104,33 @@ def _blob_batch(key: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
 
 
 _BLOB = "shard int, n long, blob binary"
-_EMPTY = pa.table({"shard": pa.array([], pa.int32()), "n": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
+_TEXTS = "shard int, n long, blob binary, data binary"
+
+
+def pack_texts(shard: int, columns: list[np.ndarray], texts: list[bytes]) -> tuple[int, int, bytes, bytes]:
+    """A row of ``_TEXTS``: integer columns and byte strings of one shard, compressed."""
+    import zstandard
+
+    return shard, len(texts), pack(columns), zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+
+
+def unpack_texts(table: pa.Table, kinds: list[str], size: int) -> tuple[list[np.ndarray], list[bytes]]:
+    """Columns and byte strings of all rows; column ``size`` has the lengths."""
+    import zstandard
+
+    columns, texts = [], []
+    for n, blob, data in zip(*(table.column(c).to_pylist() for c in ("n", "blob", "data")), strict=True):
+        columns.append(unpack(blob, n, kinds))
+        whole, at = zstandard.ZstdDecompressor().decompress(data), 0
+        for m in columns[-1][size].tolist():
+            texts.append(whole[at : at + m])
+            at += m
+    return [np.concatenate([c[i] for c in columns]) if columns else np.zeros(0, kinds[i]) for i in range(len(kinds))], texts
+
+
+def _rows_of(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.table({c: pa.array(v, t) for c, v, t in zip(("shard", "n", "blob", "data"), columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
 
 # -- anchors ----------------------------------------------------------------
@@ -174,7 +204,10 @@ def _anchor_blobs(docs: DataFrame, s: Settings, n_shards: int) -> DataFrame:
 
 _ANCHOR = ["u4", "u4", "u2", "i8", "u2", "u4"]
 _SPAN = ["i8", "u2", "i8", "i8"]  # doc, tag, start, end (before clipping)
-_OPEN = ["i8", "u2", "u4", "u8"]  # doc, tag, place, anchor
+_OPEN = ["i8", "u2", "u4", "u8", "i4", "u1"]  # doc, tag, place, anchor, part, hot
+_HOLDER = ["i8", "u2", "i8"]  # doc, tag, place of a string
+_TEXT = ["i8", "u2", "u4"]  # doc, tag, bytes
+_CONTEXT = ["u8", "i8", "u2", "u4", "u2", "u1"]  # anchor, doc, tag, where it begins, bytes, hot
 
 
 def _block_of(doc: np.ndarray, blocks: int) -> np.ndarray:
@@ -206,39 +239,48 @@ def settle(h: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray,
 # -- suffix arrays ----------------------------------------------------------
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """All suffixes in order: Larsson-Sadakane refinement.
+def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All suffixes of the texts that end before ``ends`` in order: Larsson-Sadakane refinement.
 
     Starts from ranks of 8-byte prefixes; every pass sorts each group that is
     still tied by the rank of the suffix ``h`` bytes on, then doubles ``h``.
+    At ``ends`` stand terminators, each unlike any other and above all bytes, so
+    no comparison runs on into another text.
     """
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
-    key = np.ndarray((n,), ">u8", np.concatenate([text, np.zeros(8, np.uint8)]).tobytes(), strides=(1,)).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    key = np.ndarray((n,), ">u8", np.concatenate([text, np.array([255] + [0] * 7, np.uint8)]).tobytes(), strides=(1,)).astype(np.uint64)
+    stop = np.repeat(ends, np.diff(np.r_[-1, ends]))[:n]  # the terminator of each place; one at n is only thought of
+    left = stop - np.arange(n)
+    short = np.flatnonzero(left < 7)  # what lies behind a terminator doesn't count
+    key[short] &= ~np.uint64(0) << ((np.uint64(7) - left[short].astype(np.uint64)) * np.uint64(8))
+    order = np.argsort(key)
     sorted_key = key[order]
     first = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
     start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-    rank[order] = start
+    rank[order], rank[n] = start, n
+    ends = ends[ends < n]
+    last = n - len(ends)  # terminators come last, in the order of their places
+    if len(ends):
+        order[last:], rank[ends] = ends, np.arange(last, n)
+        first[last:] = True
     h = 8
     while True:
-        ends = np.r_[first[1:], True]
-        place = np.flatnonzero(~(first & ends))  # places in groups of two or more
+        tied = ~(first & np.r_[first[1:], True])
+        place = np.flatnonzero(tied)  # places in groups of two or more
         if not len(place):
-            break
-        group, who = rank[order[place]], order[place]
-        nxt = rank[np.minimum(who + h, n)]
-        by = np.lexsort((nxt, group))
-        who, group, nxt = who[by], group[by], nxt[by]
+            return order
+        who = order[place]
+        pair = rank[who] * (n + 1) + rank[np.minimum(who + h, stop[who])]
+        by = np.argsort(pair)
+        who, pair = who[by], pair[by]
         order[place] = who
-        split = np.r_[True, (group[1:] != group[:-1]) | (nxt[1:] != nxt[:-1])]
+        split = np.r_[True, pair[1:] != pair[:-1]]
         first[place] = split
         rank[who] = place[np.maximum.accumulate(np.where(split, np.arange(len(place)), 0))]
         h *= 2
-    return order
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int) -> np.ndarray:
@@ -250,26 +292,43 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, end
     out = np.zeros(n, np.int64)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    padded = np.concatenate([text, np.zeros(limit + 1, np.uint8)])
+    before = np.empty(n, np.int64)  # the suffix before each, by text place
+    before[order[1:]] = order[:-1]
+    if n:
+        before[order[0]] = -1
+    left = np.zeros(n + 1, np.int64)  # bytes up to the end of the text that a place lies in
     size = ends - starts
+    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    left[np.repeat(starts, size) + inner] = np.repeat(size, size) - inner
     have = np.zeros(len(starts), np.int64)
     for d in range(int(size.max(initial=0))):
         live = np.flatnonzero(size > d)
         i = starts[live] + d
-        p = place[i]
-        j = order[np.maximum(p - 1, 0)]
-        length = np.where(p > 0, np.maximum(have[live] - 1, 0), 0)
-        going = np.flatnonzero(p > 0)
+        j = before[i]
+        most = np.where(j >= 0, np.minimum(np.minimum(left[i], left[j]), limit), 0)
+        length = np.minimum(np.maximum(have[live] - 1, 0), most)
+        going = np.flatnonzero(length < most)
         while len(going):
-            a, b, k = i[going], j[going], length[going]
-            same = (k < limit) & (a + k < n) & (b + k < n) & (padded[a + k] == padded[b + k])
-            going = going[same]
+            k = length[going]
+            going = going[text[i[going] + k] == text[j[going] + k]]
             length[going] += 1
+            going = going[length[going] < most[going]]
         have[live] = length
-        out[p] = length
+        out[place[i]] = length
     return out
 
 
+def _sortable(strings: np.ndarray, length: int) -> np.ndarray:
+    """Byte strings that numpy sorts; one is added to each byte (0xFF does not occur), since it ignores zeros at the end."""
+    return (np.ascontiguousarray(strings).view(np.uint8).reshape(-1, length) + np.uint8(1)).view(f"S{length}").ravel() if len(strings) else np.zeros(0, f"S{length}")
+
+
+def _shard_of(strings: np.ndarray, s: Settings, n_shards: int) -> np.ndarray:
+    at = np.arange(len(strings)) * s.length
+    data = np.ascontiguousarray(strings).view(np.uint8) if len(strings) else np.zeros(0, np.uint8)
+    return (span_hash(data, at, at + s.length) % np.uint64(n_shards)).astype(np.int32)
+
+
 class Shard:
     """A suffix array over some contexts: sorted runs of equal ``length``-byte strings."""
 
@@ -281,7 +340,7 @@ class Shard:
         text = np.frombuffer(b"\xff".join(blobs), np.uint8) if blobs else np.zeros(0, np.uint8)
         self.starts = np.r_[0, np.cumsum(size + 1)[:-1]] if len(size) else np.zeros(0, np.int64)
         ends = self.starts + size
-        order = suffix_array(text)
+        order = suffix_array(text, ends)
         lcp = common_prefixes(text, order, self.starts, ends, s.length)
         owner = np.searchsorted(self.starts, order, "right") - 1
         whole = order + s.length <= ends[owner]
@@ -298,8 +357,12 @@ class Shard:
         np.minimum.at(self.least, self.run, doc[owner])
 
     def keys(self) -> np.ndarray:
-        """The runs' strings as sortable byte strings (UTF-8 holds no trailing 0 that matters: 0 is kept by a shift)."""
-        return (self.strings.view(np.uint8).reshape(-1, self.s.length) + np.uint8(1)).view(f"S{self.s.length}").ravel() if len(self.strings) else np.zeros(0, f"S{self.s.length}")
+        return _sortable(self.strings, self.s.length)
+
+    def first_holders(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(string, context, place) of every string in the documents with the smallest doc_id."""
+        first = self.doc[self.owner] == self.least[self.run]
+        return self.strings[self.run[first]], self.owner[first], self.at[first]
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """(context, place) of every string that a smaller doc_id has."""
@@ -340,72 +403,92 @@ def _merged(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray
     return [doc[at], tag[at], start[at], np.maximum.reduceat(end, at)]
 
 
-def repeated_spans(docs: DataFrame, s: Settings, n_shards: int, blocks: int) -> DataFrame:
-    """Packed spans (doc, tag, start, end) by block of documents; ``docs`` has id, tag, text."""
+def _packed_texts(docs: DataFrame, s: Settings, blocks: int) -> DataFrame:
+    """The documents (id, tag, text) packed by block: compressed, they take less room in a shuffle than as rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        size = 0
+
+        def flush() -> list[pa.RecordBatch]:
+            out = [pack_texts(k, [np.array([r[0] for r in v]), np.array([r[1] for r in v], np.uint16), np.array([len(r[2]) for r in v], np.uint32)], [r[2] for r in v]) for k, v in held.items()]
+            held.clear()
+            return _rows_of(out).to_batches()
+
+        for batch in batches:
+            block = _block_of(np.asarray(batch.column("id")), blocks).tolist()
+            for k, d, t, x in zip(block, batch.column("id").to_pylist(), batch.column("tag").to_pylist(), batch.column("text"), strict=True):
+                held.setdefault(k, []).append((d, t, x.as_py().encode()))
+                size += len(held[k][-1][2])
+                if size >= s.held_bytes:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+
+    return docs.mapInArrow(run, _TEXTS)
+
+
+def repeated_spans(docs: DataFrame, texts: DataFrame, s: Settings, n_shards: int, blocks: int) -> DataFrame:
+    """Packed spans (doc, tag, start, end) by block of documents; ``docs`` has id, tag, text, ``texts`` the same packed."""
 
     def look(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         h, low, high, doc, tag, at = unpack_all(table, _ANCHOR)
         ctx = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-        settled, unsettled = settle(h, ctx, doc)
+        settled, left = settle(h, ctx, doc)
         place = at.astype(np.int64)
         spans = _merged(doc[settled], tag[settled], np.maximum(place[settled] - s.reach, 0), place[settled] + s.length)
-        anchor = (np.uint64(shard) << np.uint64(32)) | h[unsettled].astype(np.uint64)
+        anchor = (np.uint64(shard) << np.uint64(32)) | h[left].astype(np.uint64)
+        # all contexts of an anchor go to one part, but those of an anchor with very many are dealt by document
+        _, which, count = np.unique(anchor, return_inverse=True, return_counts=True)
+        count = count[which]
+        hot = count > s.hot
+        salt = np.where(hot, mix(doc[left].view(np.uint64)) % (count // s.hot + 1).astype(np.uint64), 0).astype(np.uint64)
+        part = (mix(anchor + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n_shards)).astype(np.int32)
         done = packed_by(_block_of(spans[0], blocks), spans)
-        left = packed_by(_block_of(doc[unsettled], blocks), [doc[unsettled], tag[unsettled], at[unsettled], anchor])
-        kind = [0] * len(done[0]) + [1] * len(left[0])
-        return pa.table({"kind": pa.array(kind, pa.int32()), "shard": pa.array(done[0] + left[0], pa.int32()), "n": pa.array(done[1] + left[1], pa.int64()), "blob": pa.array(done[2] + left[2], pa.binary())})
+        open_ = packed_by(_block_of(doc[left], blocks), [doc[left], tag[left], at[left], anchor, part, hot.astype(np.uint8)])
+        kind = [0] * len(done[0]) + [1] * len(open_[0])
+        return pa.table({"kind": pa.array(kind, pa.int32()), "shard": pa.array(done[0] + open_[0], pa.int32()), "n": pa.array(done[1] + open_[1], pa.int64()), "blob": pa.array(done[2] + open_[2], pa.binary())})
 
     found = durable(_anchor_blobs(docs, s, n_shards).groupBy("shard").applyInArrow(look, f"kind int, {_BLOB}"))
     settled, unsettled = found.where("kind = 0").drop("kind"), found.where("kind = 1").drop("kind")
 
-    def fetch(key, texts: pa.Table, left: pa.Table) -> pa.Table:
-        if not texts.num_rows or not left.num_rows:
-            return pa.table({"part": pa.array([], pa.int32()), "anchor": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "tag": pa.array([], pa.int32()), "base": pa.array([], pa.int64()), "context": pa.array([], pa.binary())})
-        doc, tag, at, anchor = unpack_all(left, _OPEN)
-        where = {}
-        for i, k in enumerate(zip(texts.column("id").to_pylist(), texts.column("tag").to_pylist(), strict=True)):
-            where.setdefault(k, i)
-        out, column = [], texts.column("text")
-        order = np.lexsort((at, tag, doc))
-        last, data = None, b""
-        for i in order:
-            k = (int(doc[i]), int(tag[i]))
-            if k != last:
-                last, data = k, (column[where[k]].as_py() or "").encode() if k in where else b""
-            if data:
-                begin = max(int(at[i]) - s.reach, 0)
-                out.append((int(anchor[i] % np.uint64(n_shards)), int(anchor[i].view(np.int64)), *k, begin, data[begin : int(at[i]) + s.length]))
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("part", "anchor", "id", "tag", "base", "context"), columns, kinds, strict=True)})
-
-    # only documents with an open anchor are sent; their ids come from the packed blocks
-    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(unpack_all(pa.Table.from_batches([batch]), _OPEN)[0]))], names=["id"])
-
-    wanted = durable(unsettled.mapInArrow(ids, "id long").distinct())
-    texts = _with_block(docs.join(F.broadcast(wanted) if wanted.count() <= s.broadcast_ids else wanted, "id", "left_semi"), blocks)
-    contexts = texts.groupBy("shard").cogroup(unsettled.groupBy("shard")).applyInArrow(fetch, "part int, anchor long, id long, tag int, base long, context binary")
+    def fetch(key, packed: pa.Table, left: pa.Table) -> pa.Table:
+        if not packed.num_rows or not left.num_rows:
+            return _rows_of([])
+        (ids, tags, _), texts = unpack_texts(packed, _TEXT, 2)
+        where: dict = {}
+        for k, x in zip(zip(ids.tolist(), tags.tolist(), strict=True), texts, strict=True):
+            where.setdefault(k, x)
+        doc, tag, at, anchor, part, hot = unpack_all(left, _OPEN)
+        order = np.argsort(part, kind="stable")
+        doc, tag, at, anchor, part, hot = (c[order] for c in (doc, tag, at, anchor, part, hot))
+        begin = np.maximum(at.astype(np.int64) - s.reach, 0)
+        pieces = [where[k][a : b + s.length] for k, a, b in zip(zip(doc.tolist(), tag.tolist(), strict=True), begin.tolist(), at.tolist(), strict=True)]
+        size = np.array([len(x) for x in pieces], np.uint16)
+        cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
+        return _rows_of([pack_texts(int(part[a]), [anchor[a:b], doc[a:b], tag[a:b], begin[a:b].astype(np.uint32), size[a:b], hot[a:b]], pieces[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
+
+    contexts = texts.groupBy("shard").cogroup(unsettled.groupBy("shard")).applyInArrow(fetch, _TEXTS)
 
     def sort(table: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(table.column("anchor")), kind="stable")
-        table = table.take(pa.array(order))
-        anchor, doc = np.asarray(table.column("anchor")), np.asarray(table.column("id"))
-        tag, base = np.asarray(table.column("tag")).astype(np.uint16), np.asarray(table.column("base"))
-        blobs = table.column("context").to_pylist()
+        (anchor, doc, tag, base, _, hot), blobs = unpack_texts(table, _CONTEXT, 4)
+        order = np.lexsort((anchor, hot))
+        anchor, doc, tag, base, hot = (c[order] for c in (anchor, doc, tag, base.astype(np.int64), hot))
+        blobs = [blobs[i] for i in order.tolist()]
         size = np.cumsum([len(b) for b in blobs])
-        spans = []
+        cold = int(np.searchsorted(hot, 1))  # contexts of hot anchors come last
+        spans, open_ = [], []
         begin = 0
         while begin < len(blobs):
             # as many whole anchors as an array holds; a larger anchor gets several arrays, merged by binary search
-            end = int(np.searchsorted(size, (size[begin - 1] if begin else 0) + s.array_bytes))
-            end = max(begin + 1, min(end, len(blobs)))
-            if end < len(blobs) and anchor[end] == anchor[end - 1]:
-                back = int(np.searchsorted(anchor, anchor[end], "left"))
-                end = back if back > begin else int(np.searchsorted(anchor, anchor[end], "right"))
+            limit = cold if begin < cold else len(blobs)
+            end = int(np.searchsorted(size[:limit], (size[begin - 1] if begin else 0) + s.array_bytes))
+            end = max(begin + 1, min(end, limit))
+            if end < limit and anchor[end] == anchor[end - 1]:
+                low, high = np.searchsorted(anchor[begin:limit], anchor[end], "left"), np.searchsorted(anchor[begin:limit], anchor[end], "right")
+                end = begin + int(low if low else high)
             cuts, at = [], begin
             while at < end:
                 stop = max(at + 1, min(int(np.searchsorted(size, (size[at - 1] if at else 0) + s.array_bytes)), end))
@@ -416,25 +499,31 @@ def repeated_spans(docs: DataFrame, s: Settings, n_shards: int, blocks: int) ->
             for (a, _), x in zip(cuts, arrays, strict=True):
                 owner, place = x.spans()
                 spans.append(_merged(doc[owner + a], tag[owner + a], place, place + s.length))
+                if begin >= cold:
+                    string, owner, place = x.first_holders()
+                    open_.append((string, doc[owner + a], tag[owner + a], place))
             begin = end
-        columns = _merged(*(np.concatenate(c) for c in zip(*spans, strict=True))) if spans else None
-        if columns is None or not len(columns[0]):
-            return _EMPTY
-        return pa.Table.from_batches([_blob_batch(_block_of(columns[0], blocks), columns)])
-
-    sorted_spans = contexts.groupBy("part").applyInArrow(sort, _BLOB)
-    return settled.unionByName(sorted_spans)
-
-
-def _with_block(docs: DataFrame, blocks: int) -> DataFrame:
-    """Adds the number of the block that ``_block_of`` gives a document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_block_of(np.asarray(batch.column("id")), blocks))], names=[*batch.schema.names, "shard"])
-
-    kinds = docs.dtypes
-    return docs.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in kinds) + ", shard int")
+        columns = _merged(*(np.concatenate(c) for c in zip(*spans, strict=True))) if spans else [np.zeros(0, np.int64)] * 4
+        done = packed_by(_block_of(columns[0], blocks), columns)
+        left = [np.concatenate(c) for c in zip(*open_, strict=True)] if open_ else [np.zeros(0, f"V{s.length}"), *(np.zeros(0, k) for k in _HOLDER)]
+        met = packed_by(_shard_of(left[0], s, n_shards), left)
+        kind = [0] * len(done[0]) + [1] * len(met[0])
+        return pa.table({"kind": pa.array(kind, pa.int32()), "shard": pa.array(done[0] + met[0], pa.int32()), "n": pa.array(done[1] + met[1], pa.int64()), "blob": pa.array(done[2] + met[2], pa.binary())})
+
+    def meet(table: pa.Table) -> pa.Table:
+        string, doc, tag, place = unpack_all(table, [f"V{s.length}", *_HOLDER])
+        key = _sortable(string, s.length)
+        order = np.lexsort((doc, key))
+        key, doc, tag, place = key[order], doc[order], tag[order], place[order]
+        first = np.r_[True, key[1:] != key[:-1]]
+        late = doc > doc[first][np.cumsum(first) - 1]  # sorted by doc within a string
+        spans = _merged(doc[late], tag[late], place[late], place[late] + s.length)
+        return pa.Table.from_batches([_blob_batch(_block_of(spans[0], blocks), spans)])
+
+    sorted_ = durable(contexts.groupBy("shard").applyInArrow(sort, f"kind int, {_BLOB}"))
+    # strings of hot anchors, from all the tasks that they were dealt over
+    late = sorted_.where("kind = 1").drop("kind").groupBy("shard").applyInArrow(meet, _BLOB)
+    return settled.unionByName(sorted_.where("kind = 0").drop("kind")).unionByName(late)
 
 
 def suffix_dedup(docs: DataFrame, s: Settings | None = None) -> DataFrame:
@@ -444,16 +533,17 @@ def suffix_dedup(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int").alias("tag"), text.alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = shards(rows, s.block_bytes, total)
-    spans = repeated_spans(rows, s, n, n)
+    texts = _packed_texts(rows, s, n)
+    spans = repeated_spans(rows, texts, s, n, n)
 
-    def finish(key, texts: pa.Table, found: pa.Table) -> pa.Table:
+    def finish(key, packed: pa.Table, found: pa.Table) -> pa.Table:
         where: dict[tuple[int, int], list[tuple[int, int]]] = {}
         if found.num_rows:
             for d, t, a, b in zip(*(c.tolist() for c in _merged(*unpack_all(found, _SPAN))), strict=True):
                 where.setdefault((d, t), []).append((a, b))
         out = []
-        for d, t, x in zip(texts.column("id").to_pylist(), texts.column("tag").to_pylist(), texts.column("text"), strict=True):
-            data = x.as_py().encode()
+        (ids, tags, _), texts = unpack_texts(packed, _TEXT, 2)
+        for d, t, data in zip(ids.tolist(), tags.tolist(), texts, strict=True):
             parts, cut, at = [], [], 0
             for a, b in where.get((d, t), ()):
                 a, b = min(a, len(data)), min(b, len(data))
@@ -469,7 +559,7 @@ def suffix_dedup(docs: DataFrame, s: Settings | None = None) -> DataFrame:
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"), columns, kinds, strict=True)})
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:bigint,end:bigint>>, kept binary"
-    return _with_block(rows, n).groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(finish, schema)
+    return texts.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(finish, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
