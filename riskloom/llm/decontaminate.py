@@ -169,16 +169,20 @@ class ItemIndex:
 def _blocks(items: DataFrame, s: Settings) -> Iterator[tuple[list, list]]:
     """The items in blocks of bounded size; each is collected by itself."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length(F.trim("text")) > 0)
-    # blocks by a hash, as many as rows and characters need; one more test of the bound follows when a block is read
     n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     if not n:
         return
-    blocks = int(max(-(-n // s.block_items), -(-chars // s.block_chars)))
-    if blocks > 1:
-        rows = durable(rows.withColumn("_b", F.ntile(blocks).over(Window.orderBy("item_id", "text"))))
-    for b in range(blocks):
-        part = (rows.where(F.col("_b") == b + 1) if blocks > 1 else rows).orderBy("item_id", "text").select("item_id", "text").collect()
-        yield [r.item_id for r in part], [r.text for r in part]
+    if n <= s.block_items and chars <= s.block_chars:
+        found = rows.orderBy("item_id", "text").collect()
+        yield [r.item_id for r in found], [r.text for r in found]
+        return
+    # neighbours by id; a block has at most block_chars characters and one item more
+    before = Window.orderBy("item_id", "text")
+    number = F.greatest(F.floor((F.row_number().over(before) - 1) / s.block_items), F.floor(F.sum(F.length("text")).over(before) / s.block_chars))
+    rows = durable(rows.withColumn("_b", number))
+    for (b,) in rows.select("_b").distinct().orderBy("_b").collect():
+        found = rows.where(F.col("_b") == b).orderBy("item_id", "text").collect()
+        yield [r.item_id for r in found], [r.text for r in found]
 
 
 _LEAK = "array<struct<item_id:bigint,similarity:double,start_word:int,end_word:int>>"
