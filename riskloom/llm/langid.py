@@ -63,7 +63,7 @@ def learn(docs: DataFrame, s: Settings | None = None) -> tuple[list[str], np.nda
         .select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"))
     )
     # a first cut by hash value keeps the ranked set small: the smallest hashes of a salt, then of the language
-    salted = Window.partitionBy("lang", F.pmod("_h", F.lit(64))).orderBy("_h", "doc_id")
+    salted = Window.partitionBy("lang", F.pmod("_h", F.lit(8))).orderBy("_h", "doc_id")
     ranked = Window.partitionBy("lang").orderBy("_h", "doc_id")
     chosen = (
         ids.withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= s.per_lang)
