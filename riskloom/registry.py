@@ -28,7 +28,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _on(f: Callable[[Tables], DataFrame]) -> Query:
-    return lambda spark, folder: f(Tables(spark, folder))
+    return lambda spark, folder: _long_ranks(f(Tables(spark, folder)))
+
+
+def _long_ranks(df: DataFrame) -> DataFrame:
+    """Ranks as long, as SQL has them."""
+    return df.select(*(F.col(c).cast("long").alias(c) if "rank" in c and t == "int" else F.col(c) for c, t in df.dtypes))
 
 
 def _view(t: Tables) -> DataFrame:
