@@ -14,6 +14,15 @@ diagonal of a pair of documents merge into runs; a run of ``min_words`` words
 or more is deleted where it comes later.  The first position of a line is never
 deleted, so every line survives once.
 
+A fingerprint's first position may lie elsewhere than the run that it begins, so
+this finds less than a comparison of all positions.  With ``whole``, what is
+joined is not fingerprints but the hashes of all shortest runs of lines of
+``min_words`` words or more, those that begin and those that end at each line.
+Every longer run that occurs earlier is a union of such runs, each of which
+occurs earlier too, so one first position is enough for each and the lines
+deleted are exactly those of all runs of ``min_words`` words or more that have
+an earlier position, overlapping ones in the same document included.
+
 Only first positions are joined, so a line that a third of all documents share
 gives one row for each occurrence, never pairs of occurrences.
 
@@ -35,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import durable
-from ._text import IS_WORD, runs, slices, span_hash, utf8
+from ._text import IS_WORD, _pow, mix, runs, slices, span_hash, utf8
 
 
 @dataclass(frozen=True)
@@ -43,6 +52,8 @@ class Settings:
     window: int = 2
     min_words: int = 10
     short: int = 5
+    #: Compare all runs of ``min_words`` words, not only those that fingerprints lead to.
+    whole: bool = False
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -76,6 +87,47 @@ def fingerprints(h: np.ndarray, row: np.ndarray, words: np.ndarray, s: Settings)
     return np.flatnonzero(chosen)
 
 
+def shortest_runs(h: np.ndarray, row: np.ndarray, words: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+    """Hash, first and last index of the shortest runs of ``min_words`` words that begin or end at each line."""
+    n = len(h)
+    upto = np.r_[0, np.cumsum(words)]
+    at = np.arange(n)
+    end = np.searchsorted(upto, upto[:-1] + s.min_words, "left") - 1
+    begin = np.searchsorted(upto, upto[1:] - s.min_words, "right") - 1
+    lo, hi = np.r_[at, begin], np.r_[end, at]
+    lo, hi = np.maximum(lo, 0), np.where(lo < 0, n, hi)
+    inside = hi < n
+    lo, hi = lo[inside], hi[inside]
+    inside = row[lo] == row[hi]
+    lo, hi = np.divmod(np.unique(lo[inside] * n + hi[inside]), max(n, 1))
+    power, inverse = _pow(n + 1)
+    total = np.r_[np.zeros(1, np.uint64), np.cumsum(h * power[:n], dtype=np.uint64)]
+    return mix((total[hi + 1] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64)), lo, hi
+
+
+def _places(docs: DataFrame, s: Settings) -> DataFrame:
+    """h, id, text_key, line, last of every shortest run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                h, row, words = lines_of(*utf8(batch.column("text")))
+                run_hash, lo, hi = shortest_runs(h, row, words, s)
+                begin, rows = np.searchsorted(row, np.arange(batch.num_rows)), pa.array(row[lo])
+                line, last = ((x - begin[row[lo]]).astype(np.int32) for x in (lo, hi))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(run_hash.view(np.int64)), batch.column("id").take(rows), batch.column("text_key").take(rows), pa.array(line), pa.array(last)],
+                    names=["h", "id", "text_key", "line", "last"],
+                )
+
+    return _keyed(docs).mapInArrow(run, "h long, id long, text_key long, line int, last int")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
+
+
 def _positions(docs: DataFrame, s: Settings) -> DataFrame:
     """h, id, text_key, line, near (hashes of the neighbouring lines, 0 where there are none)."""
     reach = s.window - 1
@@ -101,20 +153,25 @@ def _positions(docs: DataFrame, s: Settings) -> DataFrame:
                     names=["h", "id", "text_key", "line", "near"],
                 )
 
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
-    return rows.mapInArrow(run, "h long, id long, text_key long, line int, near array<long>")
+    return _keyed(docs).mapInArrow(run, "h long, id long, text_key long, line int, near array<long>")
+
+
+def _later(found: DataFrame, *more: str) -> DataFrame:
+    """Rows of ``found`` with the first position of their hash (a_id, a_key, a_line, and ``more``), but for the first themselves."""
+    firsts = durable(
+        found.groupBy("h").agg(F.min(F.struct("id", "text_key", "line", *more)).alias("a"), F.count("*").alias("n"))
+        .where("n > 1").select("h", "a.*").toDF("h", "a_id", "a_key", "a_line", *(f"a_{c}" for c in more))
+    )
+    return found.join(firsts, "h").where(~(F.col("id").eqNullSafe(F.col("a_id")) & (F.col("text_key") == F.col("a_key")) & (F.col("line") == F.col("a_line"))))
 
 
 def repeated_ranges(docs: DataFrame, s: Settings) -> DataFrame:
     """id, text_key, ranges (array of first line, last line, diagonal) of matches with earlier positions."""
     # both sides are written, so that the join below deals them out by itself and can split a very common line
-    found, reach = durable(_positions(docs, s)), s.window - 1
-    firsts = durable(
-        found.groupBy("h").agg(F.min(F.struct("id", "text_key", "line", "near")).alias("a"), F.count("*").alias("n"))
-        .where("n > 1").select("h", "a.*").toDF("h", "a_id", "a_key", "a_line", "a_near")
-    )
-    pairs = found.join(firsts, "h").where(~(F.col("id").eqNullSafe(F.col("a_id")) & (F.col("text_key") == F.col("a_key")) & (F.col("line") == F.col("a_line"))))
+    if s.whole:  # each range is long enough by itself, so they may all lie on one diagonal
+        one = F.struct(F.col("line").alias("lo"), F.col("last").alias("hi"), F.lit(0).cast("long").alias("diagonal"))
+        return _later(durable(_places(docs, s))).select("id", "text_key", one.alias("r")).groupBy("id", "text_key").agg(F.collect_set("r").alias("ranges"))
+    pairs, reach = _later(durable(_positions(docs, s)), "near"), s.window - 1
 
     def reached(places: list[int]):
         n, go = F.lit(0), F.lit(True)

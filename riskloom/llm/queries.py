@@ -18,7 +18,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), line_dedup.Settings(whole=True))
     return out.select("doc_id", "n_lines", "n_removed", "n_words", "n_words_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -4,6 +4,7 @@ from corpus_text import prose
 from pyspark.sql import functions as F
 
 from riskloom.llm import line_dedup as ld
+from riskloom.llm.queries import op2_line_dedup
 
 
 def brute(texts, s):
@@ -95,3 +96,44 @@ def test_odd_rows(make, rng):
     assert by[1] == [None] and by[2] == [""] and by[3] == ["\n\n"] and by[None] == [a] and by[4] == [""] and by[5] == ["", ""] and not by[6][0].endswith(a)
     assert {r._id for r in got.collect()} == {"mine"}
     assert ld.line_dedup(make({})).count() == 0
+
+
+def all_earlier(texts, s):
+    """Lines in a run of min_words words or more that has any earlier position."""
+    lines = {d: [x for x in (t or "").split("\n") if x.split()] for d, t in texts.items()}
+    gone = {d: set() for d in lines}
+    for d, mine in lines.items():
+        for e, other in lines.items():
+            for i in range(len(mine)):
+                for j in range(len(other)):
+                    n = 0
+                    while (e, j) < (d, i) and i + n < len(mine) and j + n < len(other) and mine[i + n] == other[j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in mine[i : i + n]) >= s.min_words:
+                        gone[d] |= set(range(i, i + n))
+    return {d: "\n".join(x for i, x in enumerate(mine) if i not in gone[d]) for d, mine in lines.items()}
+
+
+def test_whole_against_all_earlier_positions(make):
+    rng = random.Random(8)
+    pool = [prose(rng, rng.choice((1, 2, 3, 6, 12)), 5) for _ in range(30)]
+    texts = {}
+    for d in range(50):
+        parts = []
+        while len(parts) < rng.randrange(1, 14):
+            at = rng.randrange(len(pool))
+            parts += pool[at : at + rng.randrange(1, 5)] if rng.random() < 0.8 else [prose(rng, rng.randrange(1, 15))]
+        texts[d] = "\n".join(parts)
+    for s in (ld.Settings(whole=True), ld.Settings(min_words=8, whole=True)):
+        got = {r.doc_id: r.text for r in ld.line_dedup(make(texts), s).collect()}
+        want = all_earlier(texts, s)
+        assert got == want and sum(len(t) for t in texts.values()) > sum(len(t) for t in want.values()) + 1000
+
+
+def test_registered_query_compares_all_runs(spark, tmp_path, rng):
+    passage = [prose(rng, 6) for _ in range(9)]  # 54 words; each line stands alone in an earlier document, too
+    own = [prose(rng, 7) for _ in range(10)]
+    texts = {1: "\n".join(x for pair in zip(passage, own, strict=False) for x in pair), 2: "\n".join(passage), 3: "\n".join([own[9], *passage]), 4: "\n".join(["Yes indeed."] * 180)}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_removed for r in op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: 0, 2: 0, 3: 9, 4: 179}
