@@ -142,7 +142,7 @@ with sized as (
 )
 select q.doc_id, q.size, cast(q.source_size as bigint) as source_size, q.target, cast(coalesce(t.copies, 0) * q.size as bigint) as taken, coalesce(t.copies, 0) as copies
 from queue q left join taken t on q.doc_id = t.doc_id and q.rnk = t.rnk""",
-    # The base spans; on the test tables no term reaches the disclosure threshold (the terms' rule is tested on a fixture).
+    # The base spans; terms are not in it (none on sf0.001 and sf0.01, two on sf0.1; their rule is tested on a fixture).
     "op5_pii": r"""
 with texts as (
     select row_number() over (order by doc_id) as r, doc_id, coalesce(text, '') as t from documents
