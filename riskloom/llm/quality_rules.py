@@ -5,7 +5,9 @@ whose ratio (bytes in / bytes out) lies above the upper limit of its length
 band is repetitive, below the lower limit incompressible; either is rejected.
 Ratios grow with length, since a longer text has more to refer back to, so
 limits are given per band of byte lengths.  Chunks of one size need one band
-only; a document fails by chunks when more than ``chunk_share`` of them do.
+only; the last one is aligned to the end of the text, so that no byte of a text
+longer than a chunk is left out, and shorter texts are judged as a whole.  A
+document fails by chunks when more than ``chunk_share`` of them do.
 
 Cases: null text counts as empty; empty text has ratio 0 and fails by
 ``n_words < min_words``; one of any length is read whole; repeated rows are
@@ -79,8 +81,9 @@ def judge(data: bytes, chars: int, bands: Bands, compress) -> tuple:
     ratio = len(data) / len(compress(data)) if data else 0.0
     _, low, high = next(b for b in reversed(bands.whole) if len(data) >= b[0])
     bad = chunks = 0
-    if len(data) >= 2 * bands.chunk_bytes:
-        for at in range(0, len(data) - bands.chunk_bytes + 1, bands.chunk_bytes):
+    if len(data) > bands.chunk_bytes:
+        last = len(data) - bands.chunk_bytes
+        for at in [*range(0, last, bands.chunk_bytes), last]:
             piece = data[at : at + bands.chunk_bytes]
             chunks += 1
             bad += not bands.chunk[0] <= len(piece) / len(compress(piece)) <= bands.chunk[1]

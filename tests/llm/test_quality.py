@@ -99,3 +99,16 @@ def test_features_of_stuttering_text_are_shared():
     s = qc.Settings()
     at = [set(qc.features(np.frombuffer(x, np.uint8), np.array([0, len(x)]), s)[0].tolist()) for x in (b"foo foo foo foo", b"bar bar bar bar")]
     assert len(at[0] & at[1]) >= 2
+
+
+def test_chunks_see_the_whole_text(make):
+    rng = random.Random(12)
+    compress = __import__("zstandard").ZstdCompressor(level=3).compress
+    clean = prose(rng, 4000, 5000)
+    junk = "".join(chr(33 + rng.randrange(94)) + (" " if rng.random() < 0.1 else "") for _ in range(4090))[:4090]
+    texts = {1: clean[:8192] + junk, 2: clean[:4000] + junk[:4000], 3: clean[:8192], 4: clean[:6000], 5: clean[:4096], 6: clean[:4097]}
+    assert all(len(t) / len(compress(t.encode())) > 1.3 for t in texts.values())
+    got = {r.doc_id: r for r in qr.quality_rules(make(texts)).collect()}
+    assert {d: r.n_chunks for d, r in got.items()} == {1: 3, 2: 2, 3: 2, 4: 2, 5: 0, 6: 2}
+    assert got[1].reason == got[2].reason == "chunks" and (got[1].bad_chunks, got[2].bad_chunks) == (1, 1)
+    assert all(got[d].kept for d in (3, 4, 5, 6))
