@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 from riskloom.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_classifier
 from riskloom.llm._spark import shared_dir, table
 
-#: A document that has lost this share of its words as repeated lines is a copy, and goes.
-COPY_SHARE = 0.8
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as good."""
@@ -28,9 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines deleted; a document that was little else is dropped."""
-    out = line_dedup.line_dedup(docs)
-    kept = out.where((F.col("n_words_removed") == 0) | (F.col("n_words_removed") < COPY_SHARE * F.col("n_words")))
+    """Repeated runs of lines deleted; a document is dropped only where no word of it is left."""
+    out = line_dedup.line_dedup(docs, line_dedup.Settings(whole=True))
+    kept = out.where((F.col("n_words_removed") == 0) | (F.col("n_words_removed") < F.col("n_words")))
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

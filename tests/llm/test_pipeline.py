@@ -93,3 +93,12 @@ def test_empty_documents(spark, folder, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{path}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_lines_keep_documents_with_a_word_left(spark):
+    rng = random.Random(5)
+    shared, own, again = prose(rng, 60), prose(rng, 12), prose(rng, 10)
+    texts = {1: shared, 2: f"{own}\n{shared}", 3: "\n".join([again] * 5), 4: shared, 5: f"tail\n{shared}", 6: None, 7: ""}
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert got == {1: (shared, len(shared)), 2: (own, len(own)), 3: (again, len(again)), 5: ("tail", 4), 6: (None, 0), 7: ("", 0)}
