@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import AlertParams, AnomalyParams, ClusterParams, Config, ModelParams
+from .config import AlertParams, AnomalyParams, ClusterParams, Config
 from .functions import rounded
 from .operators import alerts, calibration, features, graph, scoring
 from .plans import dashboards, metadata
@@ -78,8 +78,7 @@ def _scored_events(t: Tables) -> DataFrame:
 
 def _score_iforest(t: Tables) -> DataFrame:
     matrix = features.feature_matrix(_view(t))
-    model = scoring.RiskModel.fit(matrix, Config(model=ModelParams(n_estimators=100)))
-    return model.predict(matrix)
+    return scoring.RiskModel.fit(matrix, Config()).predict(matrix)
 
 
 def _members(t: Tables) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom import registry
 from riskloom.config import AnomalyParams, Config, ModelParams
 from riskloom.operators import features, iforest, scoring
 from riskloom.sources import sinks
@@ -104,3 +105,10 @@ def test_merge_keeps_rows(spark, model, matrix):
     merged = sinks.merge_scores(events, model.predict(matrix.where("user_id like 'ok%'")))
     assert merged.count() == events.count()
     assert merged.where("user_id like 'bad%' and (risk_score <> 0 or is_anomaly)").count() == 0
+
+
+def test_registered_forest_has_all_trees(spark, data, monkeypatch):
+    built, fit = [], iforest.fit
+    monkeypatch.setattr(iforest, "fit", lambda scaled, columns, trees, *a: built.append(trees) or fit(scaled, columns, trees, *a))
+    registry.QUERIES["score_iforest"](spark, data)
+    assert built == [200]
