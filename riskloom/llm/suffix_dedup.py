@@ -3,10 +3,12 @@
 1. Anchors.  Of each ``length`` neighbouring bytes, the 20-byte string with the
    smallest hash is an anchor (window minima), so two equal strings of
    ``length`` bytes have an anchor at the same place.  An anchor's context is
-   what a string of ``length`` bytes around it can reach.  Anchors go, packed in
-   compressed blocks, to the shard of their hash.
+   what a string of ``length`` bytes around it can reach.  Copies that one map
+   task holds itself are compared byte by byte and settled at once, so a very
+   common passage sends on one anchor a task, not one a document.  All others
+   go, packed in compressed blocks, to the shard of their hash.
 2. Equal contexts.  Within a shard, anchors of one hash with equal contexts
-   (48-bit hashes) are the same text: all but those of the smallest doc_id are
+   (64-bit hashes) are the same text: all but those of the smallest doc_id are
    removed.  This folds groups of copies, however large, into one context.
 3. Suffix arrays.  Where one anchor has several contexts, their texts are
    fetched and split into shards of bounded size.  Each shard gets a suffix
@@ -19,19 +21,26 @@
    with very many contexts is dealt over several tasks; each sends on one row
    for each of its strings and holder of the smallest doc_id, and those are
    merged by string.
-4. The spans found meet the texts, grouped in blocks of documents.
+4. The spans found meet the texts, grouped in blocks of rows.
 
-Everything is exact but for 48-bit context hashes within one anchor.
+Every shard and block is a partition of its own, whose number grows with the
+bytes of the table, so a task's share stays the same at any size.  Everything is
+exact but for step 2, where two different contexts of one 20-byte string are
+taken as equal if their 64-bit hashes are.
+
+Rows are told apart by doc_id and, where an id occurs more than once, a hash of
+the text; rows of one doc_id, or of none, are no larger than each other, so they
+take nothing from each other.
 
 Cases: null text counts as empty; shorter texts than ``length`` lose nothing;
 rows that repeat doc_id and text are cut alike; a null doc_id is the smallest;
-other columns are ignored.
+ids are integers; an empty table gives an empty result; a text of any length is
+read whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,8 +70,17 @@ class Settings:
 
 NULL_ID = -(1 << 63)
 
+# -- packed rows ------------------------------------------------------------
 
-# -- packed columns ---------------------------------------------------------
+#: What a packed row holds, all integer columns but the first of ``STRINGS``, which is the string itself.
+SPANS, ANCHORS, OPEN, CONTEXTS, STRINGS, TEXTS = range(6)
+_SPAN = ["i8", "u8", "i8", "i8"]  # doc, tag, start, end (before clipping)
+_ANCHOR = ["u4", "u8", "i8", "u8", "u4"]  # rest of the hash, context hash, doc, tag, place
+_OPEN = ["i8", "u8", "u4", "u8", "i4", "u1"]  # doc, tag, place, anchor, part, hot
+_CONTEXT = ["u8", "i8", "u8", "u4", "u2", "u1"]  # anchor, doc, tag, where it begins, bytes, hot
+_HOLDER = ["i8", "u8", "i8"]  # doc, tag, place of a string
+_TEXT = ["i8", "u8", "u4"]  # doc, tag, bytes
+_ROWS = "kind int, shard int, n long, blob binary, data binary"
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
@@ -84,53 +102,54 @@ def unpack(blob: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-def unpack_all(table: pa.Table, kinds: list[str]) -> list[np.ndarray]:
-    parts = [unpack(b, n, kinds) for b, n in zip(table.column("blob").to_pylist(), table.column("n").to_pylist(), strict=True)]
-    return [np.concatenate([p[c] for p in parts]) for c in range(len(kinds))]
-
+def packed_by(kind: int, key: np.ndarray, columns: list[np.ndarray], texts: list[bytes] | None = None) -> list[tuple]:
+    """Rows of ``_ROWS``: columns, and byte strings if given, split by an integer key and compressed."""
+    import zstandard
 
-def packed_by(key: np.ndarray, columns: list[np.ndarray]) -> tuple[list[int], list[int], list[bytes]]:
-    """Rows split by an integer key and packed: keys, counts, blobs."""
     order = np.argsort(key, kind="stable")
     key = key[order]
     cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    ends = np.r_[cuts[1:], len(key)] if len(cuts) else cuts
-    return [int(key[a]) for a in cuts], [int(b - a) for a, b in zip(cuts, ends, strict=True)], [pack([c[order[a:b]] for c in columns]) for a, b in zip(cuts, ends, strict=True)]
+    out = []
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=False):
+        data = None if texts is None else zstandard.ZstdCompressor(level=1).compress(b"".join(texts[i] for i in order[a:b].tolist()))
+        out.append((kind, int(key[a]), b - a, pack([c[order[a:b]] for c in columns]), data))
+    return out
 
 
-def _blob_batch(key: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    k, n, b = packed_by(key, columns)
-    return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(n, pa.int64()), pa.array(b, pa.binary())], names=["shard", "n", "blob"])
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=["kind", "shard", "n", "blob", "data"])
 
 
-_BLOB = "shard int, n long, blob binary"
-_TEXTS = "shard int, n long, blob binary, data binary"
+def unpack_all(rows: list[tuple], kind: int, kinds: list[str]) -> list[np.ndarray]:
+    parts = [unpack(blob, n, kinds) for k, _, n, blob, _ in rows if k == kind]
+    return [np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, kinds[c]) for c in range(len(kinds))]
 
 
-def pack_texts(shard: int, columns: list[np.ndarray], texts: list[bytes]) -> tuple[int, int, bytes, bytes]:
-    """A row of ``_TEXTS``: integer columns and byte strings of one shard, compressed."""
+def unpack_texts(rows: list[tuple], kind: int, kinds: list[str], size: int) -> tuple[list[np.ndarray], list[bytes]]:
+    """Columns and byte strings; column ``size`` has the lengths."""
     import zstandard
 
-    return shard, len(texts), pack(columns), zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
-
+    texts = []
+    for k, _, n, blob, data in rows:
+        if k == kind:
+            whole, at = zstandard.ZstdDecompressor().decompress(data), 0
+            for m in unpack(blob, n, kinds)[size].tolist():
+                texts.append(whole[at : at + m])
+                at += m
+    return unpack_all(rows, kind, kinds), texts
 
-def unpack_texts(table: pa.Table, kinds: list[str], size: int) -> tuple[list[np.ndarray], list[bytes]]:
-    """Columns and byte strings of all rows; column ``size`` has the lengths."""
-    import zstandard
 
-    columns, texts = [], []
-    for n, blob, data in zip(*(table.column(c).to_pylist() for c in ("n", "blob", "data")), strict=True):
-        columns.append(unpack(blob, n, kinds))
-        whole, at = zstandard.ZstdDecompressor().decompress(data), 0
-        for m in columns[-1][size].tolist():
-            texts.append(whole[at : at + m])
-            at += m
-    return [np.concatenate([c[i] for c in columns]) if columns else np.zeros(0, kinds[i]) for i in range(len(kinds))], texts
+def in_shards(rows: DataFrame, n: int, f: Callable[[list[tuple]], pa.RecordBatch], schema: str = _ROWS) -> DataFrame:
+    """``f`` of all packed rows of each shard, which is a partition by itself: no two of them share a task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if held:
+            yield f(held)
 
-def _rows_of(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.table({c: pa.array(v, t) for c, v, t in zip(("shard", "n", "blob", "data"), columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)})
+    return rows.repartitionById(n, "shard").mapInArrow(run, schema)
 
 
 # -- anchors ----------------------------------------------------------------
@@ -170,17 +189,45 @@ def anchors(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndar
     at = np.flatnonzero((top == h) & (h > 0))
     return at, mix(h[at] + np.uint64(1))  # minima are small; mixed again, they fill the shards evenly
 
+def _block_of(doc: np.ndarray, tag: np.ndarray, blocks: int) -> np.ndarray:
+    return (mix(doc.view(np.uint64) ^ mix(tag)) % np.uint64(blocks)).astype(np.int32)
+
+
+def copies(data: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, h: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """True for anchors whose context is, byte by byte, that of an anchor of a smaller doc_id among those given."""
+    out = np.zeros(len(h), bool)
+    order = np.lexsort((doc, ctx, h))
+    hs, cs, ds = h[order], ctx[order], doc[order]
+    first = np.r_[True, (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])] if len(h) else np.zeros(0, bool)
+    least = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+    later = np.flatnonzero(ds > ds[least])
+    if not len(later):
+        return out
+    a, b = order[later], order[least[later]]
+    same = (end[a] - begin[a] == end[b] - begin[b]) & (at[a] - begin[a] == at[b] - begin[b])
+    for i in range(int((end[a] - begin[a]).max())):
+        inside = np.minimum(begin[a] + i, end[a] - 1), np.minimum(begin[b] + i, end[b] - 1)
+        same &= data[inside[0]] == data[inside[1]]
+    out[a[same]] = True
+    return out
+
 
-def _anchor_blobs(docs: DataFrame, s: Settings, n_shards: int) -> DataFrame:
-    """Packed (rest of hash, context hash low and high, doc, tag, place) by shard."""
+def _anchor_rows(docs: DataFrame, s: Settings, n: int) -> DataFrame:
+    """Packed anchors by shard, and spans that are settled already by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, base = [], 0, 0
 
         def flush():
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            data, begin, end, place, h, ctx, doc, tag, at = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            return _blob_batch(columns[0], columns[1:])
+            known = copies(data, begin, end, place, h, ctx, doc)
+            local = at[known].astype(np.int64)
+            spans = _merged(doc[known], tag[known], np.maximum(local - s.reach, 0), local + s.length)
+            rest = ~known
+            shard = (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int32)
+            columns = [(h & np.uint64(0xFFFFFFFF)).astype(np.uint32), ctx, doc, tag, at]
+            return rows_of(packed_by(SPANS, _block_of(spans[0], spans[1], n), spans) + packed_by(ANCHORS, shard[rest], [c[rest] for c in columns]))
 
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -189,29 +236,17 @@ def _anchor_blobs(docs: DataFrame, s: Settings, n_shards: int) -> DataFrame:
                 row = np.searchsorted(off, at, "right") - 1
                 begin, end = np.maximum(at - s.reach, off[row]), np.minimum(at + s.length, off[row + 1])
                 ctx = mix(span_hash(data, begin, at) * np.uint64(3) + span_hash(data, at, end))
-                shard = ((h >> np.uint64(32)) * np.uint64(n_shards)) >> np.uint64(32)
-                doc, tag = np.asarray(batch.column("id"))[row], np.asarray(batch.column("tag"))[row].astype(np.uint16)
-                held.append((shard.astype(np.int32), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), (ctx & np.uint64(0xFFFFFFFF)).astype(np.uint32), (ctx >> np.uint64(48)).astype(np.uint16), doc, tag, (at - off[row]).astype(np.uint32)))
+                doc, tag = np.asarray(batch.column("id"))[row], np.asarray(batch.column("tag")).view(np.uint64)[row]
+                held.append((data, begin + base, end + base, at + base, h, ctx, doc, tag, (at - off[row]).astype(np.uint32)))
+                base += len(data)
                 size += len(at)
                 if size >= s.flush:
                     yield flush()
-                    size = 0
+                    size = base = 0
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, _BLOB)
-
-
-_ANCHOR = ["u4", "u4", "u2", "i8", "u2", "u4"]
-_SPAN = ["i8", "u2", "i8", "i8"]  # doc, tag, start, end (before clipping)
-_OPEN = ["i8", "u2", "u4", "u8", "i4", "u1"]  # doc, tag, place, anchor, part, hot
-_HOLDER = ["i8", "u2", "i8"]  # doc, tag, place of a string
-_TEXT = ["i8", "u2", "u4"]  # doc, tag, bytes
-_CONTEXT = ["u8", "i8", "u2", "u4", "u2", "u1"]  # anchor, doc, tag, where it begins, bytes, hot
-
-
-def _block_of(doc: np.ndarray, blocks: int) -> np.ndarray:
-    return (mix(doc.view(np.uint64)) % np.uint64(blocks)).astype(np.int32)
+    return docs.mapInArrow(run, _ROWS)
 
 
 def settle(h: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -383,19 +418,18 @@ def merge(all_shards: list[Shard]) -> None:
     for x, least in zip(all_shards, best, strict=True):
         x.least = least
 
-
 # -- the operator -----------------------------------------------------------
 
 
 def _merged(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    """Spans of one document that touch or overlap, joined."""
+    """Spans of one row that touch or overlap, joined."""
     order = np.lexsort((start, tag, doc))
     doc, tag, start, end = doc[order], tag[order], start[order], end[order]
     if not len(doc):
         return [doc, tag, start, end]
     same = np.r_[False, (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1])]
     group = np.cumsum(~same)
-    # a running maximum of ends within a document: documents are kept apart by an offset
+    # a running maximum of ends within a row: rows are kept apart by an offset
     wide = np.int64(1) << np.int64(34)
     reach = np.maximum.accumulate(end + group * wide) - group * wide
     new = np.r_[True, ~same[1:] | (start[1:] > reach[:-1])]
@@ -403,39 +437,38 @@ def _merged(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray
     return [doc[at], tag[at], start[at], np.maximum.reduceat(end, at)]
 
 
-def _packed_texts(docs: DataFrame, s: Settings, blocks: int) -> DataFrame:
+def _packed_texts(docs: DataFrame, s: Settings, n: int) -> DataFrame:
     """The documents (id, tag, text) packed by block: compressed, they take less room in a shuffle than as rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: list[tuple] = []
         size = 0
 
-        def flush() -> list[pa.RecordBatch]:
-            out = [pack_texts(k, [np.array([r[0] for r in v]), np.array([r[1] for r in v], np.uint16), np.array([len(r[2]) for r in v], np.uint32)], [r[2] for r in v]) for k, v in held.items()]
+        def flush() -> pa.RecordBatch:
+            doc, tag = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64).view(np.uint64)
+            texts = [r[2] for r in held]
             held.clear()
-            return _rows_of(out).to_batches()
+            return rows_of(packed_by(TEXTS, _block_of(doc, tag, n), [doc, tag, np.array([len(x) for x in texts], np.uint32)], texts))
 
         for batch in batches:
-            block = _block_of(np.asarray(batch.column("id")), blocks).tolist()
-            for k, d, t, x in zip(block, batch.column("id").to_pylist(), batch.column("tag").to_pylist(), batch.column("text"), strict=True):
-                held.setdefault(k, []).append((d, t, x.as_py().encode()))
-                size += len(held[k][-1][2])
+            for d, t, x in zip(batch.column("id").to_pylist(), batch.column("tag").to_pylist(), batch.column("text"), strict=True):
+                held.append((d, t, x.as_py().encode()))
+                size += len(held[-1][2])
                 if size >= s.held_bytes:
-                    yield from flush()
+                    yield flush()
                     size = 0
         if held:
-            yield from flush()
+            yield flush()
 
-    return docs.mapInArrow(run, _TEXTS)
+    return docs.mapInArrow(run, _ROWS)
 
 
-def repeated_spans(docs: DataFrame, texts: DataFrame, s: Settings, n_shards: int, blocks: int) -> DataFrame:
-    """Packed spans (doc, tag, start, end) by block of documents; ``docs`` has id, tag, text, ``texts`` the same packed."""
+def repeated_spans(docs: DataFrame, texts: DataFrame, s: Settings, n: int) -> DataFrame:
+    """Packed spans (doc, tag, start, end) by block of rows; ``docs`` has id, tag, text, ``texts`` the same packed."""
 
-    def look(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        h, low, high, doc, tag, at = unpack_all(table, _ANCHOR)
-        ctx = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+    def look(rows: list[tuple]) -> pa.RecordBatch:
+        shard = rows[0][1]
+        h, ctx, doc, tag, at = unpack_all(rows, ANCHORS, _ANCHOR)
         settled, left = settle(h, ctx, doc)
         place = at.astype(np.int64)
         spans = _merged(doc[settled], tag[settled], np.maximum(place[settled] - s.reach, 0), place[settled] + s.length)
@@ -444,36 +477,29 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, s: Settings, n_shards: int
         _, which, count = np.unique(anchor, return_inverse=True, return_counts=True)
         count = count[which]
         hot = count > s.hot
-        salt = np.where(hot, mix(doc[left].view(np.uint64)) % (count // s.hot + 1).astype(np.uint64), 0).astype(np.uint64)
-        part = (mix(anchor + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n_shards)).astype(np.int32)
-        done = packed_by(_block_of(spans[0], blocks), spans)
-        open_ = packed_by(_block_of(doc[left], blocks), [doc[left], tag[left], at[left], anchor, part, hot.astype(np.uint8)])
-        kind = [0] * len(done[0]) + [1] * len(open_[0])
-        return pa.table({"kind": pa.array(kind, pa.int32()), "shard": pa.array(done[0] + open_[0], pa.int32()), "n": pa.array(done[1] + open_[1], pa.int64()), "blob": pa.array(done[2] + open_[2], pa.binary())})
-
-    found = durable(_anchor_blobs(docs, s, n_shards).groupBy("shard").applyInArrow(look, f"kind int, {_BLOB}"))
-    settled, unsettled = found.where("kind = 0").drop("kind"), found.where("kind = 1").drop("kind")
-
-    def fetch(key, packed: pa.Table, left: pa.Table) -> pa.Table:
-        if not packed.num_rows or not left.num_rows:
-            return _rows_of([])
-        (ids, tags, _), texts = unpack_texts(packed, _TEXT, 2)
-        where: dict = {}
-        for k, x in zip(zip(ids.tolist(), tags.tolist(), strict=True), texts, strict=True):
-            where.setdefault(k, x)
-        doc, tag, at, anchor, part, hot = unpack_all(left, _OPEN)
-        order = np.argsort(part, kind="stable")
-        doc, tag, at, anchor, part, hot = (c[order] for c in (doc, tag, at, anchor, part, hot))
+        salt = np.where(hot, mix(doc[left].view(np.uint64) ^ mix(tag[left])) % (count // s.hot + 1).astype(np.uint64), 0).astype(np.uint64)
+        part = (mix(anchor + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n)).astype(np.int32)
+        done = packed_by(SPANS, _block_of(spans[0], spans[1], n), spans)
+        open_ = packed_by(OPEN, _block_of(doc[left], tag[left], n), [doc[left], tag[left], at[left], anchor, part, hot.astype(np.uint8)])
+        return rows_of([r for r in rows if r[0] == SPANS] + done + open_)
+
+    found = durable(in_shards(_anchor_rows(docs, s, n), n, look))
+
+    def fetch(rows: list[tuple]) -> pa.RecordBatch:
+        doc, tag, at, anchor, part, hot = unpack_all(rows, OPEN, _OPEN)
+        if not len(doc):
+            return rows_of([])
+        (ids, tags, _), held = unpack_texts(rows, TEXTS, _TEXT, 2)
+        where = dict(zip(zip(ids.tolist(), tags.tolist(), strict=True), held, strict=True))  # rows of one id and tag are equal
         begin = np.maximum(at.astype(np.int64) - s.reach, 0)
         pieces = [where[k][a : b + s.length] for k, a, b in zip(zip(doc.tolist(), tag.tolist(), strict=True), begin.tolist(), at.tolist(), strict=True)]
         size = np.array([len(x) for x in pieces], np.uint16)
-        cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
-        return _rows_of([pack_texts(int(part[a]), [anchor[a:b], doc[a:b], tag[a:b], begin[a:b].astype(np.uint32), size[a:b], hot[a:b]], pieces[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
+        return rows_of(packed_by(CONTEXTS, part, [anchor, doc, tag, begin.astype(np.uint32), size, hot], pieces))
 
-    contexts = texts.groupBy("shard").cogroup(unsettled.groupBy("shard")).applyInArrow(fetch, _TEXTS)
+    contexts = in_shards(texts.unionByName(found.where(F.col("kind") == OPEN)), n, fetch)
 
-    def sort(table: pa.Table) -> pa.Table:
-        (anchor, doc, tag, base, _, hot), blobs = unpack_texts(table, _CONTEXT, 4)
+    def sort(rows: list[tuple]) -> pa.RecordBatch:
+        (anchor, doc, tag, base, _, hot), blobs = unpack_texts(rows, CONTEXTS, _CONTEXT, 4)
         order = np.lexsort((anchor, hot))
         anchor, doc, tag, base, hot = (c[order] for c in (anchor, doc, tag, base.astype(np.int64), hot))
         blobs = [blobs[i] for i in order.tolist()]
@@ -503,47 +529,46 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, s: Settings, n_shards: int
                     string, owner, place = x.first_holders()
                     open_.append((string, doc[owner + a], tag[owner + a], place))
             begin = end
-        columns = _merged(*(np.concatenate(c) for c in zip(*spans, strict=True))) if spans else [np.zeros(0, np.int64)] * 4
-        done = packed_by(_block_of(columns[0], blocks), columns)
+        columns = _merged(*(np.concatenate(c) for c in zip(*spans, strict=True))) if spans else [np.zeros(0, k) for k in _SPAN]
         left = [np.concatenate(c) for c in zip(*open_, strict=True)] if open_ else [np.zeros(0, f"V{s.length}"), *(np.zeros(0, k) for k in _HOLDER)]
-        met = packed_by(_shard_of(left[0], s, n_shards), left)
-        kind = [0] * len(done[0]) + [1] * len(met[0])
-        return pa.table({"kind": pa.array(kind, pa.int32()), "shard": pa.array(done[0] + met[0], pa.int32()), "n": pa.array(done[1] + met[1], pa.int64()), "blob": pa.array(done[2] + met[2], pa.binary())})
+        return rows_of(packed_by(SPANS, _block_of(columns[0], columns[1], n), columns) + packed_by(STRINGS, _shard_of(left[0], s, n), left))
 
-    def meet(table: pa.Table) -> pa.Table:
-        string, doc, tag, place = unpack_all(table, [f"V{s.length}", *_HOLDER])
+    def meet(rows: list[tuple]) -> pa.RecordBatch:
+        string, doc, tag, place = unpack_all(rows, STRINGS, [f"V{s.length}", *_HOLDER])
         key = _sortable(string, s.length)
         order = np.lexsort((doc, key))
         key, doc, tag, place = key[order], doc[order], tag[order], place[order]
         first = np.r_[True, key[1:] != key[:-1]]
         late = doc > doc[first][np.cumsum(first) - 1]  # sorted by doc within a string
         spans = _merged(doc[late], tag[late], place[late], place[late] + s.length)
-        return pa.Table.from_batches([_blob_batch(_block_of(spans[0], blocks), spans)])
+        return rows_of(packed_by(SPANS, _block_of(spans[0], spans[1], n), spans))
 
-    sorted_ = durable(contexts.groupBy("shard").applyInArrow(sort, f"kind int, {_BLOB}"))
+    sorted_ = durable(in_shards(contexts, n, sort))
     # strings of hot anchors, from all the tasks that they were dealt over
-    late = sorted_.where("kind = 1").drop("kind").groupBy("shard").applyInArrow(meet, _BLOB)
-    return settled.unionByName(sorted_.where("kind = 0").drop("kind")).unionByName(late)
+    late = in_shards(sorted_.where(F.col("kind") == STRINGS), n, meet)
+    return found.unionByName(sorted_).where(F.col("kind") == SPANS).unionByName(late)
 
 
 def suffix_dedup(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (array of start, end), kept (binary), one row for each row of ``docs``."""
     s = s or Settings()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int").alias("tag"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), text.alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # only where an id occurs twice do rows need more than their id
+    unique = rows.groupBy("id").count().where("count > 1").isEmpty()
+    rows = rows.select("id", (F.lit(0).cast("long") if unique else F.xxhash64("text")).alias("tag"), "text")
     n = shards(rows, s.block_bytes, total)
     texts = _packed_texts(rows, s, n)
-    spans = repeated_spans(rows, texts, s, n, n)
+    spans = repeated_spans(rows, texts, s, n)
 
-    def finish(key, packed: pa.Table, found: pa.Table) -> pa.Table:
+    def finish(packed: list[tuple]) -> pa.RecordBatch:
         where: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        if found.num_rows:
-            for d, t, a, b in zip(*(c.tolist() for c in _merged(*unpack_all(found, _SPAN))), strict=True):
-                where.setdefault((d, t), []).append((a, b))
+        for d, t, a, b in zip(*(c.tolist() for c in _merged(*unpack_all(packed, SPANS, _SPAN))), strict=True):
+            where.setdefault((d, t), []).append((a, b))
         out = []
-        (ids, tags, _), texts = unpack_texts(packed, _TEXT, 2)
-        for d, t, data in zip(ids.tolist(), tags.tolist(), texts, strict=True):
+        (ids, tags, _), held = unpack_texts(packed, TEXTS, _TEXT, 2)
+        for d, t, data in zip(ids.tolist(), tags.tolist(), held, strict=True):
             parts, cut, at = [], [], 0
             for a, b in where.get((d, t), ()):
                 a, b = min(a, len(data)), min(b, len(data))
@@ -556,30 +581,11 @@ def suffix_dedup(docs: DataFrame, s: Settings | None = None) -> DataFrame:
             out.append((None if d == NULL_ID else d, len(data), len(data) - len(kept), len(cut), cut, kept))
         columns = list(zip(*out, strict=True)) or [()] * 6
         kinds = [pa.int64()] * 4 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"), columns, kinds, strict=True)})
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:bigint,end:bigint>>, kept binary"
-    return texts.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(finish, schema)
+    return in_shards(texts.unionByName(spans), n, finish, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(texts: dict[int, str | None], length: int = 50) -> dict[int, tuple[int, int, int, str]]:
-    """The contract by definition, for tests: doc_id -> n_bytes, n_removed, n_spans, kept_sha256."""
-    least: dict[bytes, int] = {}
-    for d in sorted(texts):
-        data = (texts[d] or "").encode()
-        for i in range(len(data) - length + 1):
-            least.setdefault(data[i : i + length], d)
-    out = {}
-    for d, x in texts.items():
-        data = (x or "").encode()
-        gone = np.zeros(len(data) + 1, bool)
-        for i in range(len(data) - length + 1):
-            if least[data[i : i + length]] < d:
-                gone[i : i + length] = True
-        kept = bytes(b for b, g in zip(data, gone, strict=False) if not g)
-        out[d] = (len(data), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()), hashlib.sha256(kept).hexdigest())
-    return out

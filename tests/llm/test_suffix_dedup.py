@@ -1,4 +1,6 @@
+import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -6,11 +8,33 @@ import pytest
 from riskloom.llm import suffix_dedup as sd
 
 
+def brute_force(rows, length=50):
+    """The contract by definition over (doc_id, text) rows: (doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each; no id is the smallest."""
+    order = lambda d: -(1 << 63) if d is None else d
+    least = {}
+    for d, x in rows:
+        data = (x or "").encode()
+        for i in range(len(data) - length + 1):
+            key = data[i : i + length]
+            least[key] = min(least.get(key, order(d)), order(d))
+    out = []
+    for d, x in rows:
+        data = (x or "").encode()
+        gone = np.zeros(len(data) + 1, bool)
+        for i in range(len(data) - length + 1):
+            if least[data[i : i + length]] < order(d):
+                gone[i : i + length] = True
+        kept = bytes(b for b, g in zip(data, gone, strict=False) if not g)
+        out.append((d, len(data), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
 def check(make, texts, s=None, length=50):
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.digest(sd.suffix_dedup(make(texts), s)).collect()}
-    want = sd.brute_force(texts, length)
-    assert got == want
-    return sum(x[1] for x in want.values())
+    """Bytes removed, after comparing all rows with the definition."""
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.digest(sd.suffix_dedup(make(texts), s)).collect()]
+    want = brute_force([*texts.items()] if isinstance(texts, dict) else texts, length)
+    assert Counter(got) == Counter(want)
+    return sum(x[2] for x in want)
 
 
 def corpus(rng, n=120):
@@ -109,3 +133,33 @@ def test_packing():
     columns = [rng.integers(0, 1 << 31, 100).astype("u4"), rng.integers(-(1 << 62), 1 << 62, 100), rng.integers(0, 1 << 16, 100).astype("u2")]
     back = sd.unpack(sd.pack(columns), 100, ["u4", "i8", "u2"])
     assert all(np.array_equal(a, b) for a, b in zip(columns, back, strict=True))
+    texts = [bytes(range(k)) for k in range(100)]
+    rows = sd.packed_by(sd.TEXTS, np.arange(100) % 3, [np.arange(100), np.array([len(x) for x in texts])], texts)
+    (number, _), found = sd.unpack_texts(rows, sd.TEXTS, ["i8", "i8"], 1)
+    assert [r[1] for r in rows] == [0, 1, 2] and {k: x for k, x in zip(number.tolist(), found, strict=True)} == dict(enumerate(texts))
+
+
+@pytest.mark.parametrize("ids", ["null", "one id", "few ids"])
+def test_repeated_and_null_ids(make, ids):
+    """Rows that share an id, or have none, keep what only they share, and all others lose what any of them holds."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7)))
+    text = lambda k: " ".join(word() for _ in range(k))
+    passages = [text(16) for _ in range(2500)]
+    id_of = {"null": lambda i: None, "one id": lambda i: 7, "few ids": lambda i: i % 3}[ids]
+    rows = [(id_of(i), f"{text(3)} {passages[i % 2500]} {text(3)}") for i in range(5000)]
+    rows += [(10_000 + i, f"{text(4)} {p} {text(4)}") for i, p in enumerate(passages)]
+    assert check(make, rows) > 2500 * 50
+    assert check(make, rows[:600] + rows[5000:5600], sd.Settings(block_bytes=2000, flush=200, held_bytes=3000, hot=5)) > 600 * 50
+
+
+def test_copies_in_one_task_are_compared_by_bytes():
+    data = np.frombuffer(b"abcdefgh" * 3, np.uint8)
+    begin, end, at = np.array([0, 8, 16, 0]), np.array([8, 16, 24, 7]), np.array([2, 10, 18, 2])
+    same = np.ones(4, np.uint64)
+    # equal hashes throughout, but the last context is shorter
+    assert sd.copies(data, begin, end, at, same, same, np.array([1, 2, 1, 3])).tolist() == [False, True, False, False]
+    other = data.copy()
+    other[12] = 0
+    assert not sd.copies(other, begin, end, at, same, same, np.array([1, 2, 1, 3])).any()
+    assert not sd.copies(data[:0], begin[:0], end[:0], at[:0], same[:0], same[:0], at[:0]).any()
