@@ -1,36 +1,35 @@
 """Line dedup (operator 2): winnowing over line hashes.
 
-The lines of a document that hold a word are hashed.  Of every ``window``
-neighbouring lines the one with the smallest key is a fingerprint (lines of
-fewer than ``short`` words rank last, then by hash; the rightmost of equals), and so
-is every line of ``min_words`` words or more.  So each run of ``window`` lines,
-and each line that is long enough by itself, is guaranteed a fingerprint.
-
-Fingerprints are joined with the first position of the same hash, positions
-being ordered by doc_id, then text hash, then line.  A match is extended both
-ways while the neighbouring line hashes agree; ``window - 1`` lines each way
-are enough, since the next fingerprint then carries on.  Matches along one
-diagonal of a pair of documents merge into runs; a run of ``min_words`` words
-or more is deleted where it comes later.  The first position of a line is never
-deleted, so every line survives once.
-
-A fingerprint's first position may lie elsewhere than the run that it begins, so
-this finds less than a comparison of all positions.  With ``whole``, what is
-joined is not fingerprints but the hashes of all shortest runs of lines of
-``min_words`` words or more, those that begin and those that end at each line.
-Every longer run that occurs earlier is a union of such runs, each of which
-occurs earlier too, so one first position is enough for each and the lines
-deleted are exactly those of all runs of ``min_words`` words or more that have
-an earlier position, overlapping ones in the same document included.
-
-Only first positions are joined, so a line that a third of all documents share
-gives one row for each occurrence, never pairs of occurrences.
+The lines of a document that hold a word are hashed.  Windows are the shortest
+runs of lines with ``min_words`` words or more, those that begin and those that
+end at each line.  Of each window the line with the smallest key is its
+fingerprint (lines of fewer than ``short`` words rank last, then by hash; the
+rightmost of equals).  So every run of ``min_words`` words is guaranteed a
+fingerprint at the same place wherever it occurs.
+
+Fingerprints are joined with the other positions of the same line; those that
+stand alone, most lines of a corpus, are done with.  From the others a match is
+extended both ways to the ends of the windows that they are the fingerprints of,
+by one hash for each window, and the first position of each window is found
+(positions are ordered by doc_id, then text hash, then line).  Windows at later
+positions are deleted.  Every longer repeated run is a union of such windows,
+each of which occurs earlier too, so what is deleted are exactly the lines of
+all runs of ``min_words`` words or more that have an earlier position, however
+many partners a line has, overlapping runs in one document included.  The first
+position of a window is never deleted, so every line survives once.
+
+No pairs of positions are made: a line that a third of all documents share gives
+one row for each occurrence, and both joins can split it over tasks.
+
+Equal lines and windows are told by 64-bit hashes (a window by that of its
+fingerprint, too).
 
 Cases: null text counts as empty and stays null; lines without a word stand
-with the line before them; empty and one-line texts work the same; rows that
-repeat both doc_id and text count as one document, and all are treated alike;
-a null doc_id sorts first; other columns pass through, but for those named like
-the counts that are added, which are replaced.
+with the line before them; empty, one-line and very long texts work the same;
+an empty table gives an empty result; rows that repeat both doc_id and text
+count as one document, and all are treated alike; a null doc_id sorts first;
+ids are integers; other columns pass through, but for those named like the
+counts that are added, which are replaced.
 """
 
 from __future__ import annotations
@@ -49,11 +48,8 @@ from ._text import IS_WORD, _pow, mix, runs, slices, span_hash, utf8
 
 @dataclass(frozen=True)
 class Settings:
-    window: int = 2
     min_words: int = 10
     short: int = 5
-    #: Compare all runs of ``min_words`` words, not only those that fingerprints lead to.
-    whole: bool = False
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -66,28 +62,7 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return span_hash(data, starts[keep], ends[keep]), row[keep], words[keep]
 
 
-def fingerprints(h: np.ndarray, row: np.ndarray, words: np.ndarray, s: Settings) -> np.ndarray:
-    """Indices of the window minima and of the lines that are long enough."""
-    n = len(h)
-    if not n:
-        return np.zeros(0, np.int64)
-    key = (h >> np.uint64(1)) | ((words < s.short).astype(np.uint64) << np.uint64(63))
-    first = np.r_[True, row[1:] != row[:-1]]
-    start = np.arange(n)
-    last = np.minimum(start + s.window - 1, n - 1)
-    whole = (row[last] == row) & (start + s.window <= n)
-    start = start[whole | first]
-    best = start.copy()
-    for j in range(1, s.window):
-        at = np.minimum(start + j, n - 1)
-        best = np.where((row[at] == row[start]) & (start + j < n) & (key[at] <= key[best]), at, best)
-    chosen = np.zeros(n, bool)
-    chosen[best] = True
-    chosen[words >= s.min_words] = True
-    return np.flatnonzero(chosen)
-
-
-def shortest_runs(h: np.ndarray, row: np.ndarray, words: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+def windows(h: np.ndarray, row: np.ndarray, words: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
     """Hash, first and last index of the shortest runs of ``min_words`` words that begin or end at each line."""
     n = len(h)
     upto = np.r_[0, np.cumsum(words)]
@@ -105,22 +80,15 @@ def shortest_runs(h: np.ndarray, row: np.ndarray, words: np.ndarray, s: Settings
     return mix((total[hi + 1] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64)), lo, hi
 
 
-def _places(docs: DataFrame, s: Settings) -> DataFrame:
-    """h, id, text_key, line, last of every shortest run."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                h, row, words = lines_of(*utf8(batch.column("text")))
-                run_hash, lo, hi = shortest_runs(h, row, words, s)
-                begin, rows = np.searchsorted(row, np.arange(batch.num_rows)), pa.array(row[lo])
-                line, last = ((x - begin[row[lo]]).astype(np.int32) for x in (lo, hi))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(run_hash.view(np.int64)), batch.column("id").take(rows), batch.column("text_key").take(rows), pa.array(line), pa.array(last)],
-                    names=["h", "id", "text_key", "line", "last"],
-                )
-
-    return _keyed(docs).mapInArrow(run, "h long, id long, text_key long, line int, last int")
+def fingerprints(h: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.ndarray, s: Settings) -> np.ndarray:
+    """The index of the fingerprint of each window."""
+    if not len(lo):
+        return lo
+    key = (h >> np.uint64(1)) | ((words < s.short).astype(np.uint64) << np.uint64(63))
+    order = np.lexsort((-np.arange(len(h)), key))
+    rank = np.empty(len(h) + 1, np.int64)
+    rank[order], rank[-1] = np.arange(len(h)), len(h)
+    return order[np.minimum.reduceat(rank, np.stack([lo, hi + 1], 1).ravel())[::2]]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -128,90 +96,65 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
 
 
+_PLACES = "h long, id long, text_key long, windows array<long>, lo array<int>, hi array<int>"
+
+
 def _positions(docs: DataFrame, s: Settings) -> DataFrame:
-    """h, id, text_key, line, near (hashes of the neighbouring lines, 0 where there are none)."""
-    reach = s.window - 1
+    """h (line hash), id, text_key of every fingerprint, and its windows: hash, first and last line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                data, offsets = utf8(batch.column("text"))
-                h, row, words = lines_of(data, offsets)
-                at = fingerprints(h, row, words, s)
-                begin = np.searchsorted(row, np.arange(batch.num_rows))
-                near = np.zeros((len(at), 2 * reach), np.uint64)
-                for c, d in enumerate([*range(-reach, 0), *range(1, reach + 1)]):
-                    to = np.clip(at + d, 0, max(len(h) - 1, 0))
-                    near[:, c] = np.where((at + d == to) & (row[to] == row[at]), h[to] | np.uint64(1), 0)
-                rows = pa.array(row[at])
+                h, row, words = lines_of(*utf8(batch.column("text")))
+                window, lo, hi = windows(h, row, words, s)
+                at = fingerprints(h, words, lo, hi, s)
+                order = np.argsort(at, kind="stable")
+                window, lo, hi, at = window[order], lo[order], hi[order], at[order]
+                cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
+                each, rows = at[cuts], pa.array(row[at[cuts]])
+                begin = np.searchsorted(row, np.arange(batch.num_rows))[row[at]]
+                grouped = lambda x, cuts=cuts, at=at: pa.ListArray.from_arrays(pa.array(np.r_[cuts, len(at)].astype(np.int32)), pa.array(x))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(h[at].view(np.int64)), batch.column("id").take(rows), batch.column("text_key").take(rows),
-                        pa.array((at - begin[row[at]]).astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * (2 * reach)), pa.array(near.ravel().view(np.int64))),
+                        pa.array(h[each].view(np.int64)), batch.column("id").take(rows), batch.column("text_key").take(rows),
+                        grouped(window.view(np.int64)), grouped((lo - begin).astype(np.int32)), grouped((hi - begin).astype(np.int32)),
                     ],
-                    names=["h", "id", "text_key", "line", "near"],
+                    names=["h", "id", "text_key", "windows", "lo", "hi"],
                 )
 
-    return _keyed(docs).mapInArrow(run, "h long, id long, text_key long, line int, near array<long>")
-
-
-def _later(found: DataFrame, *more: str) -> DataFrame:
-    """Rows of ``found`` with the first position of their hash (a_id, a_key, a_line, and ``more``), but for the first themselves."""
-    firsts = durable(
-        found.groupBy("h").agg(F.min(F.struct("id", "text_key", "line", *more)).alias("a"), F.count("*").alias("n"))
-        .where("n > 1").select("h", "a.*").toDF("h", "a_id", "a_key", "a_line", *(f"a_{c}" for c in more))
-    )
-    return found.join(firsts, "h").where(~(F.col("id").eqNullSafe(F.col("a_id")) & (F.col("text_key") == F.col("a_key")) & (F.col("line") == F.col("a_line"))))
+    return _keyed(docs).mapInArrow(run, _PLACES)
 
 
 def repeated_ranges(docs: DataFrame, s: Settings) -> DataFrame:
-    """id, text_key, ranges (array of first line, last line, diagonal) of matches with earlier positions."""
-    # both sides are written, so that the join below deals them out by itself and can split a very common line
-    if s.whole:  # each range is long enough by itself, so they may all lie on one diagonal
-        one = F.struct(F.col("line").alias("lo"), F.col("last").alias("hi"), F.lit(0).cast("long").alias("diagonal"))
-        return _later(durable(_places(docs, s))).select("id", "text_key", one.alias("r")).groupBy("id", "text_key").agg(F.collect_set("r").alias("ranges"))
-    pairs, reach = _later(durable(_positions(docs, s)), "near"), s.window - 1
-
-    def reached(places: list[int]):
-        n, go = F.lit(0), F.lit(True)
-        for p in places:
-            mine, other = F.element_at("near", p + 1), F.element_at("a_near", p + 1)
-            go = go & (mine == other) & (mine != 0)
-            n = n + F.when(go, 1).otherwise(0)
-        return n
-
-    left, right = reached(list(range(reach - 1, -1, -1))), reached(list(range(reach, 2 * reach)))
-    one = F.struct(
-        (F.col("line") - left).alias("lo"), (F.col("line") + right).alias("hi"),
-        F.xxhash64("a_id", "a_key", F.col("a_line") - F.col("line")).alias("diagonal"),
+    """id, text_key, ranges (array of first line, last line) of windows that have an earlier position."""
+    # the sides of both joins are written, so that a join deals them out by itself and can split a very common line
+    places = durable(_positions(docs, s))
+    met = durable(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    pairs = places.join(met, "h").select("h", "id", "text_key", F.explode(F.arrays_zip("windows", "lo", "hi")).alias("w"))
+    runs = durable(pairs.select("h", F.col("w.windows").alias("window"), "id", "text_key", F.col("w.lo").alias("lo"), F.col("w.hi").alias("hi")))
+    firsts = durable(
+        runs.groupBy("h", "window").agg(F.min(F.struct("id", "text_key", "lo")).alias("a"), F.count("*").alias("n"))
+        .where("n > 1").select("h", "window", F.col("a.id").alias("a_id"), F.col("a.text_key").alias("a_key"), F.col("a.lo").alias("a_lo"))
     )
-    return pairs.select("id", "text_key", one.alias("r")).groupBy("id", "text_key").agg(F.collect_set("r").alias("ranges"))
+    first = F.col("id").eqNullSafe(F.col("a_id")) & (F.col("text_key") == F.col("a_key")) & (F.col("lo") == F.col("a_lo"))
+    return runs.join(firsts, ["h", "window"]).where(~first).groupBy("id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
 
-def cut(text: str | None, ranges: list[dict], s: Settings) -> tuple[str | None, int, int, int, int]:
+def cut(text: str | None, ranges: list[dict]) -> tuple[str | None, int, int, int, int]:
     """(kept text, lines with a word, lines removed, words, words removed)."""
     if not text:
         return text, 0, 0, 0, 0
     lines = text.split("\n")
     counts = [len(x.encode().split()) for x in lines]
-    content = [i for i, c in enumerate(counts) if c]
-    words = np.array([counts[i] for i in content], np.int64)
-    drop = np.zeros(len(content), bool)
-    upto = np.r_[0, np.cumsum(words)]
-    run = None
-    for r in [*sorted(ranges, key=lambda r: (r["diagonal"], r["lo"], r["hi"])), None]:
-        if run and r and r["diagonal"] == run[2] and r["lo"] <= run[1] + 1:
-            run[1] = max(run[1], r["hi"])
-            continue
-        if run and upto[run[1] + 1] - upto[run[0]] >= s.min_words:
-            drop[run[0] : run[1] + 1] = True
-        run = [r["lo"], r["hi"], r["diagonal"]] if r else None
+    words = np.array([c for c in counts if c], np.int64)
+    drop = np.zeros(len(words), bool)
+    for r in ranges:
+        drop[r["lo"] : r["hi"] + 1] = True
     if not drop.any():
-        return text, len(content), 0, int(upto[-1]), 0
+        return text, len(words), 0, int(words.sum()), 0
     number = np.cumsum([c > 0 for c in counts]) - 1  # the content line that each line stands with
     kept = [x for x, k in zip(lines, number, strict=True) if k < 0 or not drop[k]]
-    return "\n".join(kept), len(content), int(drop.sum()), int(upto[-1]), int(words[drop].sum())
+    return "\n".join(kept), len(words), int(drop.sum()), int(words.sum()), int(words[drop].sum())
 
 
 ADDED = ("n_lines", "n_removed", "n_words", "n_words_removed")
@@ -228,7 +171,7 @@ def line_dedup(docs: DataFrame, s: Settings | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [cut(t.as_py(), r.as_py() or [], s) for t, r in zip(batch.column("text"), batch.column("_rl_ranges"), strict=True)]
+            out = [cut(t.as_py(), r.as_py() or []) for t, r in zip(batch.column("text"), batch.column("_rl_ranges"), strict=True)]
             text, *counts = zip(*out, strict=True) if out else ([],) * 5
             columns = [pa.array(text, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in counts)], names=[*names, *ADDED])

@@ -1,72 +1,15 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from corpus_text import prose
 from pyspark.sql import functions as F
 
 from riskloom.llm import line_dedup as ld
+from riskloom.llm._text import utf8
 from riskloom.llm.queries import op2_line_dedup
 
 
-def brute(texts, s):
-    """The rule by definition: fingerprints match their first position and are extended; long enough runs go."""
-    lines = {d: [x for x in (t or "").split("\n") if x.encode().split()] for d, t in texts.items()}
-    n_words = lambda x: len(x.encode().split())
-    import numpy as np
-    import pyarrow as pa
-
-    from riskloom.llm._text import utf8
-
-    chosen, first = {}, {}
-    for d in sorted(lines):
-        h, row, words = ld.lines_of(*utf8(pa.array([texts[d]], pa.string())))
-        chosen[d] = set(ld.fingerprints(h, row, words, s).tolist())
-        for i in sorted(chosen[d]):
-            first.setdefault(lines[d][i], (d, i))
-    out = {}
-    for d, mine in lines.items():
-        gone = np.zeros(len(mine), bool)
-        runs = {}
-        for i in sorted(chosen[d]):
-            e, j = first[mine[i]]
-            if (e, j) == (d, i):
-                continue
-            a = b = 0
-            while a < s.window - 1 and i - a - 1 >= 0 and j - a - 1 >= 0 and mine[i - a - 1] == lines[e][j - a - 1]:
-                a += 1
-            while b < s.window - 1 and i + b + 1 < len(mine) and j + b + 1 < len(lines[e]) and mine[i + b + 1] == lines[e][j + b + 1]:
-                b += 1
-            runs.setdefault((e, j - i), set()).update(range(i - a, i + b + 1))
-        for places in runs.values():
-            for start in sorted(places):
-                if start - 1 in places:
-                    continue
-                end = start
-                while end + 1 in places:
-                    end += 1
-                if sum(n_words(mine[k]) for k in range(start, end + 1)) >= s.min_words:
-                    gone[start : end + 1] = True
-        out[d] = int(gone.sum())
-    return out
-
-
-def test_against_the_rule(make):
-    rng = random.Random(4)
-    pool = [prose(rng, rng.choice((1, 2, 3, 6, 12)), 5) for _ in range(60)]
-    texts = {}
-    for d in range(80):
-        parts = []
-        while len(parts) < rng.randrange(1, 14):
-            at = rng.randrange(len(pool))
-            parts += pool[at : at + rng.randrange(1, 5)] if rng.random() < 0.6 else [prose(rng, rng.randrange(1, 15))]
-            if rng.random() < 0.1:
-                parts.append("  ")
-        texts[d] = "\n".join(parts)
-    for s in (ld.Settings(), ld.Settings(window=3, min_words=8)):
-        got = {r.doc_id: r.n_removed for r in ld.line_dedup(make(texts), s).collect()}
-        want = brute(texts, s)
-        assert got == want and sum(want.values()) > 50
-
-
 def test_every_line_survives_once_and_copies_go(make, rng):
     a, b = prose(rng, 12), prose(rng, 15)
     got = {r.doc_id: r.text for r in ld.line_dedup(make({3: f"{a}\n{b}", 1: f"{b}\nOwn words here.\n{a}", 2: f"{a}\n\n{b}"})).collect()}
@@ -114,7 +57,7 @@ def all_earlier(texts, s):
     return {d: "\n".join(x for i, x in enumerate(mine) if i not in gone[d]) for d, mine in lines.items()}
 
 
-def test_whole_against_all_earlier_positions(make):
+def test_against_all_earlier_positions(make):
     rng = random.Random(8)
     pool = [prose(rng, rng.choice((1, 2, 3, 6, 12)), 5) for _ in range(30)]
     texts = {}
@@ -124,7 +67,7 @@ def test_whole_against_all_earlier_positions(make):
             at = rng.randrange(len(pool))
             parts += pool[at : at + rng.randrange(1, 5)] if rng.random() < 0.8 else [prose(rng, rng.randrange(1, 15))]
         texts[d] = "\n".join(parts)
-    for s in (ld.Settings(whole=True), ld.Settings(min_words=8, whole=True)):
+    for s in (ld.Settings(), ld.Settings(min_words=8), ld.Settings(short=0)):
         got = {r.doc_id: r.text for r in ld.line_dedup(make(texts), s).collect()}
         want = all_earlier(texts, s)
         assert got == want and sum(len(t) for t in texts.values()) > sum(len(t) for t in want.values()) + 1000
@@ -137,3 +80,32 @@ def test_registered_query_compares_all_runs(spark, tmp_path, rng):
     spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.n_removed for r in op2_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: 0, 2: 0, 3: 9, 4: 179}
+
+
+def test_every_run_holds_a_fingerprint(rng):
+    texts = ["\n".join(prose(rng, rng.choice((1, 2, 3, 9, 14)), 3) for _ in range(rng.randrange(30))) for _ in range(20)]
+    s = ld.Settings()
+    h, row, words = ld.lines_of(*utf8(pa.array(texts)))
+    _, lo, hi = ld.windows(h, row, words, s)
+    at = ld.fingerprints(h, words, lo, hi, s)
+    assert ((lo <= at) & (at <= hi)).all() and (row[lo] == row[hi]).all()
+    chosen = set(at.tolist())
+    assert len(chosen) < len(h)
+    key = lambda i: (words[i] < s.short, h[i] >> np.uint64(1), -i)
+    assert all(min(range(a, b + 1), key=key) == i for a, b, i in zip(lo, hi, at, strict=True))
+    for i in range(len(h)):
+        for j in range(i, len(h)):
+            if row[i] == row[j] and words[i : j + 1].sum() >= s.min_words:
+                assert chosen & set(range(i, j + 1))
+                break
+
+
+def test_a_very_common_line_and_six_short_lines(make, rng):
+    """Each line of the passage has an earlier first position elsewhere; a common line has thousands of partners."""
+    common, passage = prose(rng, 11), [prose(rng, 8) for _ in range(6)]
+    texts = {i: f"{passage[i]}\n{prose(rng, 9)}" for i in range(6)}
+    texts |= {10 + i: "\n".join([prose(rng, 7), *passage, prose(rng, 7)]) for i in range(3)}
+    texts |= {100 + i: f"{prose(rng, 6)}\n{common}\n{prose(rng, 6)}" for i in range(2000)}
+    got = {r.doc_id: r.n_removed for r in ld.line_dedup(make(texts)).collect()}
+    assert [got[i] for i in range(6)] == [0] * 6 and [got[10 + i] for i in range(3)] == [0, 6, 6]
+    assert got[100] == 0 and all(got[100 + i] == 1 for i in range(1, 2000))
