@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
-import pytest
+import pyarrow as pa
 from corpus_text import prose
 
 from riskloom.llm import decontaminate as d
@@ -56,19 +56,75 @@ def test_against_every_window(spark, make):
     assert [x[:3] for x in found(docs, bench, d.Settings(block_items=2))] == want
 
 
+def flipped(rng, prints, most):
+    """Copies of fingerprints with up to ``most`` bits changed, and how many."""
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1)
+    for row in bits:
+        row[rng.choice(bits.shape[1], rng.integers(0, most + 1), replace=False)] ^= 1
+    return np.packbits(bits, axis=1).view(np.uint16)
+
+
+def distance(a, b):
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def test_hamming_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
-    prints = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
-    queries = prints[rng.integers(0, 150, 400)].copy()
-    for i in range(len(queries)):
-        for b in rng.choice(64, rng.integers(0, 30), replace=False):
-            queries[i] ^= np.uint64(1) << np.uint64(b)
-    for radius in (3, 10, 20):
-        q, p = d.HammingIndex(prints, radius).near(queries)
-        want = {(i, j) for i in range(400) for j in range(150) if int(queries[i] ^ prints[j]).bit_count() <= radius}
-        assert set(zip(q.tolist(), p.tolist(), strict=True)) == want
-    with pytest.raises(ValueError):
-        d.HammingIndex(prints, 1)
+    for blocks in (4, 32, 96):
+        prints, group = rng.integers(0, 1 << 16, (150, blocks)).astype(np.uint16), rng.integers(1, 4, 150)
+        base = rng.integers(0, 150, 300)
+        queries = flipped(rng, prints[base], 2 * blocks)
+        q, p = d.HammingIndex(prints, group).near(queries, group[base])
+        got = set(zip(q.tolist(), p.tolist(), strict=True))
+        within = {(i, j) for i in range(300) for j in range(150) if group[base[i]] == group[j] and distance(queries[i], prints[j]) < blocks}
+        agree = {(i, j) for i in range(300) for j in range(150) if group[base[i]] == group[j] and (queries[i] == prints[j]).any()}
+        assert within <= got == agree and len(within) > 80
+
+
+def test_index_prunes_and_finds_similar_windows():
+    """20,000 items: under 1 % of all pairs are candidates, and of windows at similarity 0.8 more than 99 % are found."""
+    rng = np.random.default_rng(5)
+    s, n, m = d.Settings(), 20_000, 45
+    items = rng.integers(0, 1 << 63, (n, m), dtype=np.uint64)
+    windows = items[:1500].copy()
+    for w in windows:
+        w[rng.choice(m, 5, replace=False)] = rng.integers(0, 1 << 63, 5, dtype=np.uint64)  # 40 of 50 shingles: exactly 0.8
+    ends = (np.arange(n) + 1) * m
+    prints = np.concatenate([x for _, x in d.simhash(items.ravel(), ends - m, ends, s)])
+    queries = np.concatenate([x for _, x in d.simhash(windows.ravel(), ends[:1500] - m, ends[:1500], s)])
+    q, p = d.HammingIndex(prints, np.full(n, m)).near(queries, np.full(1500, m))
+    assert len(q) < 0.01 * 1500 * n
+    assert np.sum(q == p) > 0.99 * 1500
+
+
+def test_simhash_of_overlapping_windows():
+    rng = np.random.default_rng(6)
+    g = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    for span, group in ((5, 2048), (40, 64), (300, 64), (899, 64)):
+        s = d.Settings(blocks=8, group=group)
+        starts = np.flatnonzero(rng.random(900 - span + 1) < 0.5)
+        got = np.concatenate([np.zeros((0, 8), np.uint16), *(x for _, x in d.simhash(g, starts, starts + span, s))])
+        want = [np.packbits(d.signs(g[a : a + span], 8).sum(axis=0, dtype=int) > 0).view(np.uint16) for a in starts]
+        assert len(got) == len(starts) and all(np.array_equal(x, y) for x, y in zip(got, want, strict=True))
+
+
+def test_memory_is_bounded():
+    """A text of 100 MB that holds items everywhere: beyond its shingles (8 bytes each), little is allocated at once."""
+    import tracemalloc
+
+    rng = random.Random(9)
+    items = [prose(rng, 40) for _ in range(50)]
+    index = d.ItemIndex(list(range(50)), items, d.Settings())
+    g, off, words = d.shingles(pa.array([" ".join(items[i % 50] for i in range(100))]), 5)
+    n = 12_000_000  # shingles of a text of about 100 MB, nearly all of them no item's
+    long = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    long[5_000_000 : 5_000_000 + len(g)] = g
+    hit = index.hits(long)
+    tracemalloc.start()
+    found = index.leaks(long, hit, n + 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {x["item_id"] for x in found} == set(range(50)) and peak < 40 * n
 
 
 def test_no_items_no_documents_and_clashing_columns(spark, make, rng):
