@@ -4,12 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to ``spark.checkpoint.dir``, so that it is computed once and survives lost executors; where none is set, a temporary folder serves."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set and master is local."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riskloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="riskloom-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared folder, so that it is computed once and survives lost executors.
+
+    Files go with the last reference to the frame where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as
+    ``session.get_spark`` does; else they stay until the folder is emptied.
+    """
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import ClusterParams
 from ..functions import micros
-from .durable import durable
+from .components import components as linked
 
 
 def nodes(events: DataFrame) -> DataFrame:
@@ -56,23 +56,10 @@ def edges(events: DataFrame, p: ClusterParams = ClusterParams()) -> DataFrame:
     return out.withColumn("weight", F.tanh(F.col("total_shared").cast("double")) * (0.5 + 0.5 * F.col("temporal_overlap")))
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """user_id, cluster_id: the smallest user that one is connected with; nodes without edges stand alone.
-
-    Each round takes the smallest label around, then the label of that label (pointer jumping), so rounds
-    grow with the logarithm of the longest path; tables are cut off by checkpoints.
-    """
-    both = durable(edges.select("src", "dst").union(edges.select("dst", "src")).toDF("user_id", "to").distinct())
-    label = durable(both.groupBy("user_id").agg(F.least(F.col("user_id"), F.min("to")).alias("label")))
-    for _ in range(max_rounds):
-        around = both.join(label.toDF("to", "near"), "to").groupBy("user_id").agg(F.min("near").alias("near"))
-        moved = label.join(around, "user_id").select("user_id", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        top = moved.select(F.col("user_id").alias("label"), F.col("label").alias("top"))
-        new = durable(moved.join(top, "label", "left").select("user_id", F.least("label", F.coalesce("top", "label")).alias("label"), "was"))
-        label = new.select("user_id", "label")
-        if new.where("label <> was").isEmpty():
-            return nodes.select("user_id").join(label, "user_id", "left").select("user_id", F.coalesce("label", "user_id").alias("cluster_id"))
-    raise RuntimeError(f"labels still changed after {max_rounds} rounds")
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """user_id, cluster_id: the smallest user that one is connected with; nodes without edges stand alone."""
+    label = linked(edges.select("src", "dst")).toDF("user_id", "label")
+    return nodes.select("user_id").join(label, "user_id", "left").select("user_id", F.coalesce("label", "user_id").alias("cluster_id"))
 
 
 def signal_components(events: DataFrame, p: ClusterParams = ClusterParams()) -> DataFrame:
