@@ -7,19 +7,32 @@ the set is chosen with probability 1 / (threshold * |set|) by a hash of run,
 path and token, and each chosen token opens a child.  Two sets meet in a node
 if they chose the same tokens, which similar ones do with a probability that
 falls with the depth as about 1 / depth, and others with one that falls
-exponentially.  Runs repeat until the miss probability at the threshold is
-below ``1 - recall``.  Sets that meet in a node at the last level form a
-bucket; its pairs are compared exactly, by counting common tokens.
+exponentially.
+
+Every path goes ``depth`` levels down.  A node that then holds more than
+``block`` sets is split again, and so are its children, up to ``more`` levels,
+at which ``rate`` times as many tokens are chosen, so that pairs at the threshold
+hardly get lost.  Documents that only share a common passage (less than threshold
+/ rate, or two fifths, of their shingles) part again so, however many they are.
+A node whose children hold more pairs than itself is not split, since its members
+are alike.  Runs repeat until the miss probability at the threshold is below
+``1 - recall``, all levels included.  Sets
+that meet in a last node form a bucket; its pairs are compared exactly, by
+counting common tokens.
 
 Nodes with equal members are compared once.  A bucket of more than ``block``
 sets is cut into blocks, and block meets block in a task each, so no task is
-unbounded.  A pair that meets in several buckets is counted in the one with the
-smallest number only; each set reports its links and the smallest member of its
-part of the bucket, never the pairs, so rows out are in proportion to rows in.
-Classes of linked documents are then found by label propagation.
-
-Cases: documents without a word link to nothing, nor do rows without doc_id;
-repeated rows of one doc_id are one document; ids are integers.
+unbounded; that happens where very many sets are alike, whose links have to be
+counted one by one.  A pair that meets in several buckets is counted in the one
+with the smallest number only; each set reports its links and the smallest
+member of its part of the bucket, never the pairs, so rows out are in proportion
+to rows in.  Classes of linked documents are then found by label propagation.
+
+Cases: documents without a word, null or empty, link to nothing, nor do rows
+without doc_id; repeated rows of one doc_id are one document, and of several
+texts of one doc_id the one with the smallest set hash stands for it; ids are
+integers; an empty table gives an empty result; a text of any length is read
+whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from ._spark import durable
 from ._text import mix, shingle_sets, slices, utf8
 
@@ -44,46 +58,51 @@ class Settings:
     recall: float = 0.9995
     depth: int = 2
     block: int = 512
-    max_rounds: int = 40
+    more: int = 8
+    rate: float = 2.0
 
     @property
     def runs(self) -> int:
-        """Runs after which a pair at the threshold has met with probability ``recall``.
+        """Runs after which a pair at the threshold has met with probability ``recall``, whatever the levels it goes through.
 
-        A pair at the threshold shares at least 1 chosen token a level on average, so its chance
-        p to survive one more level is at least 1 - exp(-p) of the chance below.
+        A pair at the threshold shares at least 1 chosen token a level on average (``rate`` where nodes are split
+        again), so its chance p to survive one more level is at least 1 - exp(-p) of the chance below.
         """
         p = 1.0
+        for _ in range(self.more):
+            p = 1 - math.exp(-self.rate * p)
         for _ in range(self.depth):
             p = 1 - math.exp(-p)
         return math.ceil(math.log(1 - self.recall) / math.log(1 - p))
 
 
+def limits(size: np.ndarray, rate: float, s: Settings) -> np.ndarray:
+    """What the upper 53 bits of a token's hash must be below for it to be chosen, by the size of its set."""
+    return (np.minimum(1.0, rate / (s.threshold * np.maximum(size, 1))) * float(1 << 53)).astype(np.uint64)
+
+
+def children(g: np.ndarray, off: np.ndarray, row: np.ndarray, path: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the node, row, child) of all children of the nodes (row, path)."""
+    count = np.diff(off)[row]
+    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    node = np.repeat(np.arange(len(row)), count)
+    u = mix(g[np.repeat(off[row], count) + inner] ^ path[node])
+    keep = (u >> np.uint64(11)) < limit[row[node]]
+    return node[keep], row[node[keep]], mix(u[keep] + path[node[keep]])
+
+
 def paths(g: np.ndarray, off: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(row, node) of all nodes at the last level that the sets of a slice reach."""
+    """(row, node) of all nodes at level ``depth`` that the sets of a slice reach."""
     size = np.diff(off)
-    chance = np.minimum(1.0, 1 / (s.threshold * np.maximum(size, 1)))
-    limit = (chance * float(1 << 53)).astype(np.uint64)  # compared with the upper 53 bits
-    shift = np.uint64(11)
-    token_row = np.repeat(np.arange(len(size)), size)
+    limit, token_row = limits(size, 1.0, s), np.repeat(np.arange(len(size)), size)
     rows, nodes = [], []
     for r in range(s.runs):
         seed = mix(np.array([r + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
-        row, path = np.flatnonzero(size), np.full(np.count_nonzero(size), seed)
-        for level in range(s.depth):
-            if level == 0:
-                at, who = np.arange(len(g)), token_row
-                u = mix(g ^ seed)
-                keep = (u >> shift) < limit[who]
-                row, path = who[keep], mix(u[keep] + seed)
-                continue
-            count = size[row]
-            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at = np.repeat(off[row], count) + inner
-            who, seeds = np.repeat(row, count), np.repeat(path, count)
-            u = mix(g[at] ^ seeds)
-            keep = (u >> shift) < limit[who]
-            row, path = who[keep], mix(u[keep] + seeds[keep])
+        u = mix(g ^ seed)  # the first level, of which every token takes part
+        keep = (u >> np.uint64(11)) < limit[token_row]
+        row, path = token_row[keep], mix(u[keep] + seed)
+        for _ in range(1, s.depth):
+            _, row, path = children(g, off, row, path, limit)
         rows.append(row)
         nodes.append(path)
     return np.concatenate(rows), np.concatenate(nodes)
@@ -208,22 +227,57 @@ def compare(bucket: int, i: int, j: int, rep: np.ndarray, part: np.ndarray, copi
     return rep[linked], links[linked], rep[root[linked]]
 
 
-def components(edges: DataFrame, max_rounds: int) -> DataFrame:
-    """node, label (smallest node it is connected with), for every node of ``edges`` (a, b).
+def _met(members: DataFrame) -> DataFrame:
+    """bucket, n of all nodes of (rep, node) with two members or more; one of those with equal members."""
+    member = F.xxhash64("rep")
+    nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(member).alias("x"), F.sum((member % (1 << 30)).cast("long")).alias("y")).where("n > 1")
+    return nodes.groupBy("n", "x", "y").agg(F.min("node").alias("bucket")).select("bucket", "n")
+
+
+def _split(g: pa.ChunkedArray, parents: pa.ChunkedArray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, parent, child) of all children of the nodes that each packed set is in."""
+    (values, off), (nodes, node_off) = _unpacked(g), _flat(parents)
+    row, path = np.repeat(np.arange(len(off) - 1), np.diff(node_off)), nodes.view(np.uint64)
+    at, row, child = children(values.view(np.uint64), off, row, path, limits(np.diff(off), s.rate, s))
+    return row, nodes[at], child.view(np.int64)
+
+
+def _children(sets: DataFrame, s: Settings) -> DataFrame:
+    """rep, parent, node of ``sets`` (rep, shingles, parents)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                row, parent, child = _split(pa.chunked_array([batch.column("shingles")]), pa.chunked_array([batch.column("parents")]), s)
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(row)), pa.array(parent), pa.array(child)], names=["rep", "parent", "node"])
+
+    return sets.mapInArrow(run, "rep long, parent long, node long")
 
-    Each round takes the smallest label among the neighbours, then the label of that label.
+
+def split_large(inside: DataFrame, sets_of, s: Settings) -> DataFrame:
+    """``inside`` (rep, bucket, n) with its large buckets split along further levels of the tree, where that parts their members.
+
+    ``sets_of`` gives the packed sets (rep, shingles) of the members of a frame.
     """
-    both = durable(edges.union(edges.select("b", "a")).toDF("node", "to").distinct())
-    labels = durable(both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("label")))
-    for _ in range(max_rounds):
-        around = both.join(labels.toDF("to", "near"), "to").groupBy("node").agg(F.min("near").alias("near"))
-        moved = labels.join(around, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        up = moved.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        new = durable(moved.join(up, "label", "left").select("node", F.least("label", F.coalesce("top", "label")).alias("label"), "was"))
-        labels = new.select("node", "label")
-        if new.where("label <> was").isEmpty():
-            return labels
-    raise RuntimeError(f"labels still changed after {max_rounds} rounds")
+    for _ in range(s.more):
+        large = inside.where(F.col("n") > s.block)
+        if large.isEmpty():
+            break
+        parents = durable(large.groupBy("rep").agg(F.collect_list("bucket").alias("parents")))
+        found = durable(_children(sets_of(parents).join(parents, "rep"), s))
+        # a node whose children hold more pairs than itself is done: its members are alike
+        pairs = found.groupBy("parent", "node").agg(F.count("*").cast("double").alias("n")).where("n > 1").groupBy("parent").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+        sizes = large.groupBy("bucket").agg(F.max("n").cast("double").alias("n"))
+        parted = durable(sizes.join(pairs, F.col("bucket") == F.col("parent"), "left").where(F.coalesce("pairs", F.lit(0.0)) <= F.col("n") * F.col("n")).select("bucket"))
+        if parted.isEmpty():
+            break
+        below = found.join(parted, F.col("parent") == F.col("bucket"), "left_semi")
+        inside = durable(
+            inside.join(parted, "bucket", "left_anti").select("rep", "bucket", "n")
+            .unionByName(below.select("rep", F.col("node").alias("bucket")).join(_met(below), "bucket").select("rep", "bucket", "n"))
+        )
+    return inside
 
 
 def jaccard_join(docs: DataFrame, s: Settings | None = None) -> DataFrame:
@@ -239,18 +293,18 @@ def jaccard_join(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     classes = durable(sketches.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("nodes").alias("nodes")))
 
     met = classes.select("rep", F.explode("nodes").alias("node"))
-    member = F.xxhash64("rep")
-    nodes = met.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(member).alias("x"), F.sum((member % (1 << 30)).cast("long")).alias("y")).where("n > 1")
-    # nodes with the same members are one bucket
-    buckets = nodes.groupBy("n", "x", "y").agg(F.min("node").alias("bucket")).select("bucket", "n")
-    inside = durable(met.withColumnRenamed("node", "bucket").join(buckets, "bucket"))
+    inside = durable(met.withColumnRenamed("node", "bucket").join(_met(met), "bucket").select("rep", "bucket", "n"))
+
+    def sets_of(members: DataFrame) -> DataFrame:
+        sets = _sets(known.join(members.select(F.col("rep").alias("id")), "id", "left_semi"), s)
+        if repeated:  # the text whose set was taken above
+            keys = sketches.select(F.col("id").alias("rep"), "set_key")
+            sets = _keyed(sets).join(keys, ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).drop("set_key")
+        return sets
+
+    inside = split_large(inside, sets_of, s)
     lists = inside.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("sizes"))
-    texts = known.join(lists.select(F.col("rep").alias("id")), "id", "left_semi")
-    sets = _sets(texts, s)
-    if repeated:  # the text whose set was taken above
-        keys = sketches.select(F.col("id").alias("rep"), "set_key")
-        sets = _keyed(sets).join(keys, ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).drop("set_key")
-    sets = sets.join(lists, "rep").join(classes.select("rep", "copies"), "rep")
+    sets = sets_of(lists).join(lists, "rep").join(classes.select("rep", "copies"), "rep")
 
     blocks = F.ceil(F.col("n") / s.block).cast("int")
     part = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -275,10 +329,10 @@ def jaccard_join(docs: DataFrame, s: Settings | None = None) -> DataFrame:
         return pa.table({"rep": pa.array(found[0], pa.int64()), "links": pa.array(found[1], pa.int64()), "root": pa.array(found[2], pa.int64())})
 
     found = durable(work.groupBy("bucket", "i", "j").applyInArrow(run, "rep long, links long, root long"))
-    labels = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), s.max_rounds)
+    labels = components(found.where("rep <> root").select("rep", "root"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     facts = (
-        classes.select("set_key", "rep", "copies").join(links, "rep", "left").join(labels.toDF("rep", "label"), "rep", "left")
+        classes.select("set_key", "rep", "copies").join(links, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         .select("set_key", F.coalesce("label", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
     known_ids = sketches.select("id", "set_key").join(facts, "set_key").select("id", "class_id", "n_links")

@@ -99,3 +99,44 @@ def test_common_counts():
     off = np.r_[0, np.cumsum([len(x) for x in lists])]
     got = jj.common(np.concatenate(lists), off, 25)
     assert (got == [[len(set(a) & set(b)) if len(a) and len(b) else 0 for b in lists] for a in lists]).all() or np.array_equal(got - np.diag(np.diag(got)), np.array([[len(set(a) & set(b)) for b in lists] for a in lists]) * (1 - np.eye(25)))
+
+
+def pairs_compared(docs, s):
+    """Pairs that the buckets of the operator hold, its result, and how many buckets are larger than a block."""
+    seen = []
+    kept = jj.split_large
+
+    def spy(inside, sets_of, settings):
+        out = kept(inside, sets_of, settings)
+        seen.append([r["n"] for r in out.groupBy("bucket").count().withColumnRenamed("count", "n").collect()])
+        return out
+
+    jj.split_large = spy
+    try:
+        got = {r.doc_id: (r.class_id, r.n_links) for r in jj.jaccard_join(docs, s).collect()}
+    finally:
+        jj.split_large = kept
+    return sum(n * n for n in seen[0]), got, sum(n > s.block for n in seen[0])
+
+
+def test_documents_that_share_a_passage_part_again(make):
+    """Passages of 35 words in 200 documents each: nodes of their tokens are split until few pairs are left."""
+    rng = random.Random(15)
+    passages = [prose(rng, 35) for _ in range(8)]
+    texts = [f"{prose(rng, 85, 5000)} {passages[i % 8]}" for i in range(1600)]
+    texts += [near(rng, texts[i], 1) for i in range(60)]
+    corpus = dict(enumerate(texts))
+    want = brute(corpus.items())
+    flat, got, large = pairs_compared(make(corpus), jj.Settings(block=32, more=0))
+    assert got == want and large > 0
+    split, got, large = pairs_compared(make(corpus), jj.Settings(block=32))
+    assert got == want and split * 3 < flat
+    assert sum(n for _, n in want.values()) > 80
+
+
+def test_sets_that_are_alike_are_not_split(make):
+    rng = random.Random(16)
+    base = prose(rng, 200)
+    corpus = {i: near(rng, base, 1) for i in range(200)}
+    _, got, large = pairs_compared(make(corpus), jj.Settings(block=32))
+    assert got == brute(corpus.items()) and large > 0
