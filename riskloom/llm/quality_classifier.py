@@ -6,15 +6,21 @@ buckets; a token that repeats the one before it enters n-grams as one fixed
 token, so that stuttering text shares features whatever its word is.  A
 document's features are its n-gram frequencies times ``scale``.  Weights are
 learned by follow-the-regularised-leader (FTRL-proximal) updates over a bounded
-sample of labelled rows, in one task; scores are sparse dot products computed
-for whole Arrow slices at once.
+sample of labelled rows: their features are made where the rows are, and only
+those, packed, meet in the one task that learns.  Scores are sparse dot products
+computed for whole Arrow slices at once.
 
 Bound: training takes at most ``sample`` labelled rows, those with the smallest
-hash of doc_id, never rows of the held-out fold.  All rows are scored.
+hash of doc_id, never rows of the held-out fold, and one row of each doc_id (of
+several, the one with the smallest features); a row's features have at most
+``2**bits`` buckets, however long its text is.  All rows are scored, whole.
 
 Cases: null text counts as empty and scores by the bias alone; null labels are
 skipped, a doc_id labelled twice takes its highest label; without any label the
-score is 0.5; a null doc_id is scored, with held_out false.
+score is 0.5; a null doc_id is scored, with held_out false; repeated rows are
+scored each by itself; an empty table gives an empty result; columns besides
+doc_id and text are ignored, but for those asked for by ``keep``, of which any
+named like the columns that are added are replaced.
 """
 
 from __future__ import annotations
@@ -61,8 +67,26 @@ def features(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.nda
     return np.concatenate([(g ^ np.uint64(k)) >> np.uint64(64 - s.bits) for k, (g, _) in zip(s.orders, found, strict=True)]).astype(np.int64), np.concatenate([r for _, r in found])
 
 
-def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> tuple[np.ndarray, float]:
-    """Weights and bias after ``epochs`` passes of FTRL-proximal updates, in the order given."""
+def packed(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """doc_id, _y and the features of each text: bucket numbers, then counts, 32 bits each."""
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            at, row = features(*utf8(batch.column("text")), s)
+            pairs, count = np.unique(row * (1 << s.bits) + at, return_counts=True)
+            cuts = np.searchsorted(pairs >> s.bits, np.arange(batch.num_rows + 1))
+            at, count = (pairs & ((1 << s.bits) - 1)).astype(np.uint32), count.astype(np.uint32)
+            blobs = [np.concatenate([at[a:b], count[a:b]]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_y"), pa.array(blobs, pa.binary())], names=["doc_id", "_y", "features"])
+
+
+def unpacked(blob: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and frequencies times ``scale``."""
+    at, count = np.frombuffer(blob, np.uint32).reshape(2, -1)
+    return at.astype(np.int64), count * (s.scale / max(1, int(count.sum())))
+
+
+def ftrl(examples: list[tuple[bytes, int]], s: Settings) -> tuple[np.ndarray, float]:
+    """Weights and bias after ``epochs`` passes of FTRL-proximal updates over (packed features, label), in the order given."""
     size = (1 << s.bits) + 1  # the last one is the bias
     z, n = np.zeros(size), np.zeros(size)
 
@@ -71,7 +95,8 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> tup
         return np.where(np.abs(zi) <= s.l1, 0.0, -(zi - np.sign(zi) * s.l1) / ((s.beta + np.sqrt(n[i])) / s.alpha + s.l2))
 
     for _ in range(s.epochs):
-        for at, value, y in examples:
+        for blob, y in examples:
+            at, value = unpacked(blob, s)
             i, x = np.append(at, size - 1), np.append(value, 1.0)
             w = weights(i)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x * (1 if y else s.zero_weight)
@@ -91,19 +116,20 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> tupl
     )
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.iloc[np.lexsort((pdf["doc_id"], pd.util.hash_array(pdf["doc_id"].to_numpy())))]
-        examples = []
-        for text, y in zip(pdf["text"], pdf["_y"], strict=True):
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            at, count = np.unique(features(raw, np.array([0, len(raw)]), s)[0], return_counts=True)
-            examples.append((at, count * (s.scale / max(1, count.sum())), int(y > 0)))
-        w, bias = ftrl(examples, s)
+    kind = dict(docs.dtypes)["doc_id"]
+    made = rows.select("doc_id", "_y", "text").mapInArrow(lambda batches: packed(batches, s), f"doc_id {kind}, _y int, features binary")
+    one = made.groupBy("doc_id").agg(F.max("_y").alias("_y"), F.min("features").alias("features"))
+
+    def fit(table: pa.Table) -> pa.Table:
+        ids = table.column("doc_id").to_numpy()
+        order = np.lexsort((ids, pd.util.hash_array(ids)))
+        blobs, y = table.column("features"), np.asarray(table.column("_y")) > 0
+        w, bias = ftrl([(blobs[int(i)].as_buffer(), int(y[i])) for i in order], s)
         keep = np.flatnonzero(w)
-        return pd.DataFrame({"i": np.append(keep, -1), "w": np.append(w[keep], bias)})
+        return pa.table({"i": pa.array(np.append(keep, -1)), "w": pa.array(np.append(w[keep], bias))})
 
     w, bias = np.zeros(1 << s.bits), 0.0
-    for i, x in rows.groupBy(F.lit(0).alias("_all")).applyInPandas(fit, "i long, w double").toPandas().itertuples(index=False):
+    for i, x in one.groupBy(F.lit(0).alias("_all")).applyInArrow(fit, "i long, w double").toPandas().itertuples(index=False):
         if i < 0:
             bias = x
         else:

@@ -1,9 +1,11 @@
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from corpus_text import prose
 from pyspark.sql import functions as F
 
@@ -112,3 +114,68 @@ def test_chunks_see_the_whole_text(make):
     assert {d: r.n_chunks for d, r in got.items()} == {1: 3, 2: 2, 3: 2, 4: 2, 5: 0, 6: 2}
     assert got[1].reason == got[2].reason == "chunks" and (got[1].bad_chunks, got[2].bad_chunks) == (1, 1)
     assert all(got[d].kept for d in (3, 4, 5, 6))
+
+
+def test_weights_are_those_of_plain_ftrl():
+    """The updates of FTRL-proximal, coordinate by coordinate, over dictionaries; and scores as plain dot products."""
+    rng = random.Random(7)
+    s = qc.Settings(bits=10, epochs=2)
+    texts = [" ".join(rng.choice(("one", "two", "two", "three,", "FOUR!")) for _ in range(rng.randrange(1, 15))) for _ in range(80)]
+    labels = [int("FOUR" not in t) for t in texts]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    counts = [Counter(qc.features(r, np.array([0, len(r)]), s)[0].tolist()) for r in raw]
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= s.l1:
+            return 0.0
+        return -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    def value(c):
+        return {-1: 1.0} | {i: k * s.scale / sum(c.values()) for i, k in c.items()}
+
+    for _ in range(s.epochs):
+        for c, y in zip(counts, labels, strict=True):
+            x = value(c)
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v * (1 if y else s.zero_weight)
+                w, more = weight(i), (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha
+                z[i] += g - more * w
+                n[i] += g * g
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(80)), "_y": labels, "text": texts})
+    blobs = [b.as_py() for out in qc.packed(iter([batch]), s) for b in out.column("features")]
+    w, bias = qc.ftrl(list(zip(blobs, labels, strict=True)), s)
+    assert np.allclose(w, [weight(i) for i in range(1 << s.bits)]) and math.isclose(bias, weight(-1))
+    assert np.count_nonzero(w) > 20
+
+
+def test_scores_are_plain_dot_products(make, rng):
+    s = qc.Settings(bits=10)
+    w, bias = np.random.default_rng(3).normal(size=1 << 10), 0.25
+    texts = {i: prose(rng, rng.randrange(40)) for i in range(50)} | {50: None, 51: prose(rng, 30_000)}
+    for r in qc.score(make(texts), (w, bias), s).collect():
+        data = np.frombuffer((texts[r.doc_id] or "").encode(), np.uint8)
+        c = Counter(qc.features(data, np.array([0, len(data)]), s)[0].tolist())
+        total = bias + sum(w[i] * k * s.scale / sum(c.values()) for i, k in c.items())
+        assert math.isclose(r.score, 1 / (1 + math.exp(-total)), rel_tol=1e-9) and r.predicted == (r.score >= 0.3)
+
+
+def test_bands_against_the_rule(make):
+    """Verdict, ratios and chunks, recomputed text by text from the limits."""
+    import zstandard
+
+    rng, bands = random.Random(21), qr.Bands()
+    compress = zstandard.ZstdCompressor(level=3).compress
+    pieces = [lambda: prose(rng, 300, 5000), lambda: "".join(chr(33 + rng.randrange(94)) for _ in range(900)) + " ", lambda: "same old words " * 90, lambda: prose(rng, 60, 9) + "\n", lambda: "é ü 漢字 " * 20]
+    texts = {i: " ".join(rng.choice(pieces)() for _ in range(rng.randrange(12))) for i in range(150)} | {999: None, 1000: prose(rng, 40_000)}
+    for r in qr.quality_rules(make(texts)).collect():
+        data = (texts[r.doc_id] or "").encode()
+        ratio = len(data) / len(compress(data)) if data else 0.0
+        low, high = [(a, b) for begin, a, b in bands.whole if len(data) >= begin][-1]
+        cuts = [data[i : i + 4096] for i in range(0, len(data), 4096)] if len(data) > 4096 else []
+        if cuts:
+            cuts[-1] = data[-4096:]
+        bad = sum(not 1.3 <= len(c) / len(compress(c)) <= 2.8 for c in cuts)
+        kept = not brute_rules(texts[r.doc_id])[-1] and low <= ratio <= high and not (cuts and bad > 0.2 * len(cuts))
+        assert (r.whole_ratio, r.n_chunks, r.bad_chunks, r.kept) == (ratio, len(cuts), bad, kept)
