@@ -33,7 +33,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the multiplier and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, SLICE_BYTES + 2)
         for i, base in enumerate((_MULT, _INV)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
