@@ -247,8 +247,11 @@ def _children(sets: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
+            # as many sets at once as have a million tokens to look at, over all their nodes
+            work = np.cumsum([len(x.as_buffer()) // 8 * len(p) for x, p in zip(whole.column("shingles"), whole.column("parents"), strict=True)])
+            cuts = [*np.flatnonzero(np.r_[True, work[1:] >> 20 != work[:-1] >> 20]).tolist(), whole.num_rows] if whole.num_rows else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                batch = whole.slice(a, b - a)
                 row, parent, child = _split(pa.chunked_array([batch.column("shingles")]), pa.chunked_array([batch.column("parents")]), s)
                 yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(row)), pa.array(parent), pa.array(child)], names=["rep", "parent", "node"])
 
