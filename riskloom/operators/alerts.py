@@ -8,7 +8,6 @@ thresholds first, in parallel, and only then folded.
 
 from __future__ import annotations
 
-import json
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -106,15 +105,16 @@ class Dispatcher:
 def fold(candidates: DataFrame, p: AlertParams = AlertParams()) -> DataFrame:
     """Candidates with ``outcome``, as if each were sent successfully at its time; ties go by type and entity.
 
-    One ordered pass over all candidates, batch by batch with constant memory: the rate limit is global.
+    One ordered pass over all candidates, batch by batch with constant memory: the rate limit is global.  The shuffle
+    before it leaves scans and threshold filters to as many tasks as they have, and only what passes is sent on.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = Dispatcher(lambda _: True, p)
         for pdf in batches:
             pdf = pdf.copy()
-            pdf["outcome"] = [state(t, json.loads(d), a, e) for t, e, a, d in zip(pdf["alert_type"], pdf["entity"], pdf["at"], pdf["details"], strict=True)]
+            pdf["outcome"] = [state(t, {}, a, e) for t, e, a in zip(pdf["alert_type"], pdf["entity"], pdf["at"], strict=True)]
             yield pdf
 
-    ordered = candidates.coalesce(1).sortWithinPartitions("at", "alert_type", "entity", "details")
+    ordered = candidates.repartition(1).sortWithinPartitions("at", "alert_type", "entity", "details")
     return ordered.mapInPandas(run, CANDIDATE + ", outcome string")

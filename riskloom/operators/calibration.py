@@ -1,8 +1,8 @@
 """Threshold calibration over a frame of (y_true 0/1, y_score double).
 
 All curves come from one aggregation by distinct score: running sums over the
-scores in descending order.  Scores with many distinct values are summed in
-two steps (ranges, then within a range), so no task holds the whole curve.
+scores in descending order, made in two steps (ranges of about as many scores
+each, then within a range), so that no task holds the whole curve.
 """
 
 from __future__ import annotations
@@ -23,30 +23,35 @@ def rates_at(scored: DataFrame, threshold: float) -> DataFrame:
 
 
 def cumulative(scored: DataFrame, ranges: int = 256) -> DataFrame:
-    """threshold, tp, fp (rows at or above it, by class), tot_pos, tot_neg, for every distinct score."""
-    per = scored.groupBy(F.col("y_score").cast("double").alias("threshold")).agg(F.sum(F.col("y_true").cast("long")).alias("p"), F.sum((1 - F.col("y_true")).cast("long")).alias("n"))
-    ends = per.agg(F.min("threshold").alias("_low"), F.max("threshold").alias("_high"), F.sum("p").alias("tot_pos"), F.sum("n").alias("tot_neg")).withColumn("_one", F.lit(1))
-    width = F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low")).otherwise(1.0)
-    ranged = per.withColumn("_one", F.lit(1)).join(F.broadcast(ends), "_one").withColumn("_range", F.floor((F.col("_high") - F.col("threshold")) / width * ranges))
-    above = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most ranges + 1 rows
-    before = ranged.groupBy("_range").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn")).select("_range", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("bp"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("bn"))
-    inner = Window.partitionBy("_range").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranged.join(F.broadcast(before), "_range").select("threshold", (F.col("bp") + F.sum("p").over(inner)).alias("tp"), (F.col("bn") + F.sum("n").over(inner)).alias("fp"), "tot_pos", "tot_neg")
-
+    """For every distinct score: threshold, tp, fp (rows at or above it, by class), p, n (rows at it), p_next, n_next (rows at
+    the next lower score; null for the last), tot_pos, tot_neg.
 
-def _with_neighbours(curve: DataFrame, *names: str) -> DataFrame:
-    """Adds previous and next values along the descending curve.  The curve has one row for each distinct score."""
-    w = Window.orderBy(F.desc("threshold"))
-    for c in names:
-        curve = curve.withColumn(f"{c}_before", F.lag(c).over(w)).withColumn(f"{c}_after", F.lead(c).over(w))
-    return curve
+    Scores are cut into ranges of about equal numbers; only sums and ends of ranges are ever in one task.
+    """
+    per = scored.groupBy(F.col("y_score").cast("double").alias("threshold")).agg(F.sum(F.col("y_true").cast("long")).alias("p"), F.sum((1 - F.col("y_true")).cast("long")).alias("n"))
+    cuts = [i / ranges for i in range(1, ranges)]
+    ends = per.agg(F.percentile_approx("threshold", F.array(*(F.lit(c) for c in cuts)), F.lit(10 * ranges)).alias("_cuts"), F.sum("p").alias("tot_pos"), F.sum("n").alias("tot_neg")).withColumn("_one", F.lit(1))
+    ranged = per.withColumn("_one", F.lit(1)).join(F.broadcast(ends), "_one").withColumn("_range", F.size(F.filter("_cuts", lambda c: c > F.col("threshold")))).drop("_cuts", "_one")
+    order = Window.orderBy("_range")  # at most ``ranges`` rows
+    above = order.rowsBetween(Window.unboundedPreceding, -1)
+    top = F.max_by(F.struct("p", "n"), "threshold")
+    sums = ranged.groupBy("_range").agg(F.sum("p").alias("rp"), F.sum("n").alias("rn"), top.alias("top"))
+    before = sums.select("_range", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("bp"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("bn"), F.lead("top").over(order).alias("below"))
+    place = Window.partitionBy("_range").orderBy(F.desc("threshold"))
+    inner = place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = lambda c: F.coalesce(F.lead(c).over(place), F.col(f"below.{c}")).alias(f"{c}_next")
+    return ranged.join(F.broadcast(before), "_range").select(
+        "threshold", (F.col("bp") + F.sum("p").over(inner)).alias("tp"), (F.col("bn") + F.sum("n").over(inner)).alias("fp"), "p", "n", after("p"), after("n"), "tot_pos", "tot_neg"
+    )
 
 
 def roc_curve(scored: DataFrame) -> DataFrame:
     """threshold, fpr, tpr: from (inf, 0, 0) down; inner points on a straight line are left out."""
-    c = _with_neighbours(cumulative(scored), "tp", "fp")
-    bend = lambda x: (F.col(f"{x}_after") - 2 * F.col(x) + F.col(f"{x}_before")) != 0
-    kept = c.where(F.col("tp_before").isNull() | F.col("tp_after").isNull() | bend("tp") | bend("fp"))
+    c = cumulative(scored)
+    first = (F.col("tp") == F.col("p")) & (F.col("fp") == F.col("n"))
+    # as many rows of a class at the next score as at this one: no bend
+    bend = (F.col("p_next") != F.col("p")) | (F.col("n_next") != F.col("n"))
+    kept = c.where(first | F.col("p_next").isNull() | bend)
     share = lambda x, n: F.when(F.col(n) > 0, F.col(x) / F.greatest(F.col(n), F.lit(1)))
     points = kept.select("threshold", share("fp", "tot_neg").alias("fpr"), share("tp", "tot_pos").alias("tpr"))
     first = c.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
@@ -64,8 +69,7 @@ def pr_curve(scored: DataFrame) -> DataFrame:
 
 def auc_ap(scored: DataFrame) -> DataFrame:
     """One row: roc_auc (trapezoids, ties grouped) and average_precision (steps)."""
-    w = Window.orderBy(F.desc("threshold"))
-    c = cumulative(scored).withColumn("tp0", F.coalesce(F.lag("tp").over(w), F.lit(0))).withColumn("fp0", F.coalesce(F.lag("fp").over(w), F.lit(0)))
+    c = cumulative(scored).withColumn("tp0", F.col("tp") - F.col("p")).withColumn("fp0", F.col("fp") - F.col("n"))
     area = F.sum((F.col("fp") - F.col("fp0")).cast("double") * (F.col("tp") + F.col("tp0"))) / 2 / F.nullif(F.max(F.col("tot_pos").cast("double") * F.col("tot_neg")), F.lit(0.0))
     steps = F.sum((F.col("tp") - F.col("tp0")).cast("double") / F.nullif(F.col("tot_pos"), F.lit(0)) * (F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))))
     return c.agg(area.alias("roc_auc"), F.coalesce(steps, F.lit(0.0)).alias("average_precision"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..config import ClusterParams
 from ..functions import micros
 from .components import components as linked
+from .durable import durable
 
 
 def nodes(events: DataFrame) -> DataFrame:
@@ -31,27 +35,26 @@ def shared_signals(events: DataFrame, p: ClusterParams = ClusterParams()) -> Dat
     return out.where(F.col("total_shared") >= p.min_shared_signals)
 
 
+@F.pandas_udf(LongType())
+def _close(a: pd.Series, b: pd.Series, width: pd.Series) -> pd.Series:
+    """Pairs of times of two sorted lists that lie within ``width`` of each other: two binary searches for each time of one."""
+    return pd.Series([int((np.searchsorted(y, x + w, "right") - np.searchsorted(y, x - w, "left")).sum()) for x, y, w in zip(a, b, width, strict=True)], dtype="int64")
+
+
 def temporal_overlap(events: DataFrame, pairs: DataFrame, hours: float) -> DataFrame:
     """src, dst, temporal_overlap: the share of event pairs of two users that lie within ``hours`` of each other.
 
-    A range join by bins: one side's events stand in their bin and its neighbours, so equal bins and one comparison suffice.
+    Times are sorted once a user; a pair of users is one row with two lists, never a row for each pair of events.
     """
-    width = int(hours * 3_600_000_000)
-    t = micros(F.col("timestamp"))
-    at = events.select("user_id", t.alias("t"), F.floor(t / width).alias("bin"))
-    n = events.groupBy("user_id").agg(F.count("*").alias("n"))
-    ends = pairs.select("src", "dst")
-    left = ends.join(at.toDF("src", "t", "bin"), "src").withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
-    close = left.join(at.toDF("dst", "u", "bin"), ["dst", "bin"]).where(F.abs(F.col("t") - F.col("u")) <= width).groupBy("src", "dst").agg(F.count("*").alias("close"))
-    return (
-        ends.join(n.toDF("src", "n_src"), "src").join(n.toDF("dst", "n_dst"), "dst").join(close, ["src", "dst"], "left")
-        .select("src", "dst", (F.coalesce("close", F.lit(0)).cast("double") / (F.col("n_src") * F.col("n_dst"))).alias("temporal_overlap"))
-    )
+    times = events.groupBy("user_id").agg(F.array_sort(F.collect_list(micros(F.col("timestamp")))).alias("t"))
+    both = pairs.select("src", "dst").join(times.toDF("src", "a"), "src").join(times.toDF("dst", "b"), "dst")
+    n = F.size("a").cast("double") * F.size("b")
+    return both.select("src", "dst", (_close("a", "b", F.lit(int(hours * 3_600_000_000))).cast("double") / n).alias("temporal_overlap"))
 
 
 def edges(events: DataFrame, p: ClusterParams = ClusterParams()) -> DataFrame:
     """src, dst, shared_ips, shared_devices, total_shared, temporal_overlap, weight = tanh(total) * (0.5 + 0.5 * overlap)."""
-    pairs = shared_signals(events, p)
+    pairs = durable(shared_signals(events, p))  # read twice
     out = pairs.join(temporal_overlap(events, pairs, p.temporal_window_hours), ["src", "dst"])
     return out.withColumn("weight", F.tanh(F.col("total_shared").cast("double")) * (0.5 + 0.5 * F.col("temporal_overlap")))
 

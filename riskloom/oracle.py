@@ -30,7 +30,7 @@ FIXTURES = {
         cast(null as varchar) as shared_ips, cast(null as varchar) as shared_devices from supplier""",
     "threshold_history": """select o_orderkey as threshold_id, case o_orderstatus when 'F' then 'combined_risk_score' when 'O' then 'zscore_value' else 'burst_score' end as metric_name,
         o_totalprice / cast(5000 as double) as threshold_value, cast(o_orderkey % 50 as double) / cast(1000 as double) as false_positive_rate,
-        cast(o_orderkey % 70 as double) / cast(1000 as double) as false_negative_rate, o_orderdate as updated_at, 'calibrator' as updated_by from orders where o_custkey % 10 = 0""",
+        cast(o_orderkey % 70 as double) / cast(1000 as double) as false_negative_rate, o_orderdate as updated_at, 'calibrator' as updated_by from orders""",
     "scored_labels": """select l.doc_id, l.toxic as y_true, cast((d.n_chars * 37 + l.doc_id * 11) % 1000 as double) / cast(10 as double) as y_score
         from labels l join documents d on l.doc_id = d.doc_id""",
     "latest_scores": """select * exclude (rn) from (select *, row_number() over (partition by user_id order by computed_at desc, score_id desc) as rn from anomaly_scores) s where rn = 1""",
@@ -63,26 +63,44 @@ def _sum(x: str) -> str:
 EV = "ts between timestamp '2024-01-01 00:00:00' and timestamp '2024-01-31 00:00:00'"
 _micro = "(epoch_us({}) - epoch_us({}))"
 
-_Q1 = _with("raw_events user_profiles",
-    f"counted as (select user_id, ts, count(*) over (partition by user_id order by ts range between interval '5 minutes' preceding and current row) as events_in_5min_window, count(*) over (partition by user_id) as n from raw_events where {EV})",
-    "found as (select *, n / cast(720 as double) / cast(12 as double) as expected from counted where n >= 5)",
-    "kept as (select *, events_in_5min_window / expected as ratio from found where events_in_5min_window > expected * 3 and events_in_5min_window >= 2)",
-    f"""select k.user_id, country, is_flagged as already_flagged, ts as burst_peak_ts, events_in_5min_window, {_r('expected', 2)} as expected_per_5min, {_r('ratio', 2)} as burst_ratio,
-       row_number() over (partition by k.user_id order by ratio desc, ts) as rank_within_user from kept k join user_profiles p on k.user_id = p.user_id""")
 
 
-def _ip(where: str) -> list[str]:
+def _dense(times: int) -> str:
+    start = "epoch_us(timestamp '2024-01-01 00:00:00')"
+    return f"dense as (select * replace (make_timestamp({start} + (epoch_us(ts) - {start}) // {times}) as ts) from raw_events)"
+
+
+def _burst(events: str, least: int) -> list[str]:
+    return [
+        f"counted as (select user_id, ts, count(*) over (partition by user_id order by ts range between interval '5 minutes' preceding and current row) as events_in_5min_window, count(*) over (partition by user_id) as n from {events} where {EV})",
+        "found as (select *, n / cast(720 as double) / cast(12 as double) as expected from counted where n >= 5)",
+        f"kept as (select *, events_in_5min_window / expected as ratio from found where events_in_5min_window > expected * 3 and events_in_5min_window >= {least})",
+        f"""select k.user_id, country, is_flagged as already_flagged, ts as burst_peak_ts, events_in_5min_window, {_r('expected', 2)} as expected_per_5min, {_r('ratio', 2)} as burst_ratio,
+       row_number() over (partition by k.user_id order by ratio desc, ts) as rank_within_user from kept k join user_profiles p on k.user_id = p.user_id""",
+    ]
+
+
+_Q1 = _with("raw_events user_profiles", *_burst("raw_events", 2))
+
+
+def _ip(where: str, events: str = "raw_events", bucket: str = "date_trunc('day', ts)") -> list[str]:
     return [
-        f"per_user as (select ip_address, date_trunc('day', ts) as bucket_start, user_id, count(*) as n from raw_events where {where} group by 1, 2, 3)",
+        f"per_user as (select ip_address, {bucket} as bucket_start, user_id, count(*) as n from {events} where {where} group by 1, 2, 3)",
         f"buckets as (select ip_address, bucket_start, count(*) as distinct_accounts, {_sum('n')} as total_events, string_agg(cast(user_id as varchar), ',' order by user_id) as account_list from per_user group by 1, 2 having count(*) >= 3)",
         "newest as (select p.ip_address, p.bucket_start, a.combined_risk_score as risk, row_number() over (partition by p.ip_address, p.bucket_start order by a.computed_at desc, a.score_id desc) as rn from per_user p join anomaly_scores a on p.user_id = a.user_id)",
     ]
 
 
-_Q2 = _with("raw_events anomaly_scores", *_ip(EV),
-    f"""select b.ip_address, b.bucket_start, b.bucket_start + interval '1' day as bucket_end, distinct_accounts, total_events, {_r('risk', 4)} as avg_risk_score,
+def _clusters(events: str, bucket: str, width: str) -> list[str]:
+    return [
+        *_ip(EV, events, bucket),
+        f"""select b.ip_address, b.bucket_start, b.bucket_start + interval '{width}' as bucket_end, distinct_accounts, total_events, {_r('risk', 4)} as avg_risk_score,
        dense_rank() over (order by distinct_accounts desc, risk desc) as severity_rank, account_list
-       from buckets b join newest n on b.ip_address = n.ip_address and b.bucket_start = n.bucket_start and n.rn = 1 where risk >= 0.4""")
+       from buckets b join newest n on b.ip_address = n.ip_address and b.bucket_start = n.bucket_start and n.rn = 1 where risk >= 0.4""",
+    ]
+
+
+_Q2 = _with("raw_events anomaly_scores", *_clusters("raw_events", "date_trunc('day', ts)", "1 day"))
 
 
 def _switches(where: str) -> list[str]:
@@ -106,13 +124,22 @@ def _sessions(where: str, since: str) -> list[str]:
     ]
 
 
-_Q4 = _with("raw_events aggregated_user_metrics user_profiles", *_sessions(EV, "timestamp '2023-12-02 00:00:00'"),
-    "select s.*, row_number() over (partition by s.user_id order by success_zscore, session_id) as rank_within_user, country, is_flagged as account_flagged from scored s join user_profiles p on s.user_id = p.user_id where success_zscore < -0.5")
-_Q5 = _with("raw_events aggregated_user_metrics user_profiles",
-    f"counted as (select user_id, date_trunc('day', ts) as window_start, count(distinct resource_id) as distinct_resources from raw_events where {EV} and resource_id is not null and action_type not in ('prefetch', 'cdn_hit', 'heartbeat') group by 1, 2 having count(distinct resource_id) >= 5)",
-    "medians as (select user_id, quantile_cont(action_count, 0.5) as med from aggregated_user_metrics where window_start >= timestamp '2023-12-25 00:00:00' group by user_id)",
-    "dense as (select c.*, med, rank() over (partition by c.user_id order by distinct_resources desc) as rank_within_user from counted c left join medians m on c.user_id = m.user_id where med is null or distinct_resources >= med * 2)",
-    f"select d.user_id, country, is_flagged, window_start, window_start + interval '1' day as window_end, distinct_resources, {_r('med', 2)} as baseline_median, {_r('distinct_resources / nullif(cast(med as double), 0)', 2)} as density_ratio, rank_within_user from dense d join user_profiles p on d.user_id = p.user_id")
+def _q4(below: float) -> str:
+    return _with("raw_events aggregated_user_metrics user_profiles", *_sessions(EV, "timestamp '2023-12-02 00:00:00'"),
+        f"select s.*, row_number() over (partition by s.user_id order by success_zscore, session_id) as rank_within_user, country, is_flagged as account_flagged from scored s join user_profiles p on s.user_id = p.user_id where success_zscore < {below}")
+
+
+def _density(events: str, bucket: str, width: str, least: int, factor: int) -> list[str]:
+    return [
+        f"counted as (select user_id, {bucket} as window_start, count(distinct resource_id) as distinct_resources from {events} where {EV} and resource_id is not null and action_type not in ('prefetch', 'cdn_hit', 'heartbeat') group by 1, 2 having count(distinct resource_id) >= {least})",
+        "medians as (select user_id, quantile_cont(action_count, 0.5) as med from aggregated_user_metrics where window_start >= timestamp '2023-12-25 00:00:00' group by user_id)",
+        f"dense_windows as (select c.*, med, rank() over (partition by c.user_id order by distinct_resources desc) as rank_within_user from counted c left join medians m on c.user_id = m.user_id where med is null or distinct_resources >= med * {factor})",
+        f"select d.user_id, country, is_flagged, window_start, window_start + interval '{width}' as window_end, distinct_resources, {_r('med', 2)} as baseline_median, {_r('distinct_resources / nullif(cast(med as double), 0)', 2)} as density_ratio, rank_within_user from dense_windows d join user_profiles p on d.user_id = p.user_id",
+    ]
+
+
+_Q4 = _q4(-0.5)
+_Q5 = _with("raw_events aggregated_user_metrics user_profiles", *_density("raw_events", "date_trunc('day', ts)", "1 day", 5, 2))
 
 
 def _cohorts(labels: tuple[str, str, str, str], where: str) -> list[str]:
@@ -250,7 +277,7 @@ def _recursive(*parts: str) -> str:
     return _with("feature_events", *parts).replace("with ", "with recursive ", 1)
 
 
-_SCORE_COLUMNS = f"cluster_id, size, {_r('round(density, 4)', 1)} as density, {_r('round(mw, 4)', 1)} as mean_edge_weight, {_r('round(risk, 2)', 1)} as risk_score"
+_SCORE_COLUMNS = "cluster_id, size, round_even(density, 4) as density, round_even(mw, 4) as mean_edge_weight, round_even(risk, 2) as risk_score"
 
 # -- calibration -------------------------------------------------------------
 
@@ -276,6 +303,10 @@ _CHECKS = {
 _WIDTHS = {"1min": 60, "5min": 300, "15min": 900, "1hr": 3600, "24hr": 86400}
 
 ORACLE_SQL: dict[str, str] = {
+    "q1_burst_defaults": _with("raw_events user_profiles", _dense(20), *_burst("dense", 1)),
+    "q2_ip_clusters_defaults": _with("raw_events anomaly_scores", _dense(200), *_clusters("dense", "time_bucket(interval '10 minutes', ts)", "10 minutes")),
+    "q4_session_success_defaults": _q4(-2.0),
+    "q5_resource_density_defaults": _with("raw_events aggregated_user_metrics user_profiles", _dense(5000), *_density("dense", "time_bucket(interval '2 minutes', ts)", "2 minutes", 10, 3)),
     "q1_burst": _Q1, "q2_ip_clusters": _Q2, "q3_device_reuse": _Q3, "q4_session_success": _Q4, "q5_resource_density": _Q5, "q6_cohort_abuse": _Q6, "q7_weekly_enforcement": _Q7,
     **{f"dash_{k}": v for k, v in _DASH.items()},
     "feat_action_frequency": _group([_ROLLED, _FREQ], "freq", _FEATURES[:6]),
@@ -287,24 +318,24 @@ ORACLE_SQL: dict[str, str] = {
     "score_zscore": _with("feature_events", *_MATRIX, _z(1.5), f"select user_id, {_r('zscore_share', 9)} as zscore_share from zs"),
     "score_blend_z_only": _with("feature_events", *_MATRIX, _z(3.0), _BLEND, f"select user_id, {_r('zscore_share', 4)} as zscore_share, {_r('cast(risk_score as double)', 4)} as risk_score from blended"),
     "score_threshold": _with("feature_events", *_MATRIX, _z(3.0), _BLEND, f"select {_r('quantile_cont(cast(risk_score as double), 0.99)', 4)} as quantile, {_r('greatest(quantile_cont(cast(risk_score as double), 0.99), 0)', 4)} as threshold from blended"),
-    "scored_events": _with("feature_events", *_MATRIX, _z(3.0), _BLEND, f"select f.user_id, event_id, {_r('coalesce(cast(risk_score as double), 0)', 4)} as risk_score, coalesce(risk_score >= 2, false) as is_anomaly from feature_events f left join blended b on f.user_id = b.user_id and b.user_id % 3 <> 0"),
+    "scored_events": _with("feature_events", *_MATRIX, _z(3.0), _BLEND, f"select f.user_id, event_id, {_r('coalesce(cast(risk_score as double), 0)', 4)} as risk_score, coalesce(risk_score >= 2, false) as is_anomaly from feature_events f left join blended b on f.user_id = b.user_id"),
     "graph_nodes": _with("feature_events", *_GRAPH, "select * from nodes"),
     "graph_edges": _with("feature_events", *_EDGES, f"select src, dst, shared_ips, shared_devices, total_shared, {_r('temporal_overlap', 9)} as temporal_overlap, {_r('weight', 9)} as weight from weighed"),
     "graph_components": _recursive(*_GRAPH, *_MEMBERS, "select user_id, cluster_id from members"),
     "graph_signal_components": _recursive(*_GRAPH, *_MEMBERS, "select user_id, cluster_id from members"),
     "graph_cluster_scores": _recursive(*_SCORED, f"select {_SCORE_COLUMNS} from scored"),
-    "graph_escalated": _recursive(*_SCORED, f"select {_SCORE_COLUMNS}, true as escalated from scored where round(risk, 2) >= 40"),
+    "graph_escalated": _recursive(*_SCORED, f"select {_SCORE_COLUMNS}, true as escalated from scored where round_even(risk, 2) >= 40"),
     "cal_rates_at_threshold": _with("scored_labels", "select cast(50 as double) as threshold, sum(case when y_score >= 50 and y_true = 0 then 1 else 0 end) / cast(sum(1 - y_true) as double) as fpr, sum(case when y_score < 50 and y_true = 1 then 1 else 0 end) / cast(sum(y_true) as double) as fnr from scored_labels"),
-    "cal_roc": _with("scored_labels", *_CURVE, "select threshold, fpr, tpr from roc"),
+    "cal_roc": _with("scored_labels", *_CURVE, "select threshold, fpr, tpr from roc union all select cast('infinity' as double), 0, 0"),
     "cal_pr": _with("scored_labels", *_CURVE, "select threshold, tp / cast(tp + fp as double) as precision, tp / cast(np as double) as recall from curve union all select null, 1, 0"),
     "cal_auc_ap": _with("scored_labels", *_CURVE, f"select {_r('roc_auc', 9)} as roc_auc, {_r('ap', 9)} as average_precision from areas"),
     "cal_optimal_threshold": _with("scored_labels", *_CURVE, "select threshold, fpr, tpr from best"),
     "cal_auto_adjust": _ADJUST,
     "cal_report": _with("scored_labels", *_CURVE, "select round(threshold, 6) as optimal_threshold, cast(0.2 as double) as max_fpr_constraint, round(fpr, 6) as fpr, round(tpr, 6) as tpr, round(1 - tpr, 6) as fnr, round(roc_auc, 6) as roc_auc, round(ap, 6) as average_precision, '1.0.0' as model_version from best cross join areas"),
-    "alert_candidates_user": _with("latest_scores", "select 'user_high_risk' as alert_type, cast(user_id as varchar) as entity from latest_scores where combined_risk_score * 100 >= 70"),
-    "alert_candidates_cluster": _with("abuse_clusters", "select 'cluster_high_risk' as alert_type, cast(cluster_id as varchar) as entity from abuse_clusters where case when avg_risk_score <= 1 then avg_risk_score * 100 else avg_risk_score end >= 70"),
+    "alert_candidates_user": _with("latest_scores", "select 'user_high_risk' as alert_type, cast(user_id as varchar) as entity, cast(0 as double) as at from latest_scores where combined_risk_score * 100 >= 70"),
+    "alert_candidates_cluster": _with("abuse_clusters", "select 'cluster_high_risk' as alert_type, cast(cluster_id as varchar) as entity, cast(0 as double) as at from abuse_clusters where case when avg_risk_score <= 1 then avg_risk_score * 100 else avg_risk_score end >= 70"),
     "alert_spike": _with("enforcement_actions",
-        "counts as (select date_trunc('month', triggered_at) as period, count(*) as n from enforcement_actions where triggered_at < timestamp '2001-06-01 00:00:00' group by 1)",
+        "counts as (select date_trunc('month', triggered_at) as period, count(*) as n from enforcement_actions group by 1)",
         "s as (select avg(cast(n as double)) as m, stddev_samp(cast(n as double)) as sd from counts where period < (select max(period) from counts))",
         "select period, n as enforcement_count, round(m, 2) as rolling_mean, round(sd, 2) as rolling_std, round((n - m) / sd, 4) as z_score, (n - m) / sd > 3 as is_spike from counts cross join s where period = (select max(period) from counts)"),
     "src_validate": _with(" ".join(_CHECKS), " union all ".join(f"select '{t}' as table_name, count(*) as violations from {t} where {c}" for t, c in _CHECKS.items())),

@@ -82,10 +82,11 @@ def q2_ip_clusters(events: DataFrame, scores: DataFrame, when: Lookback = Lookba
     """Addresses with several accounts in one time bucket, by severity."""
     buckets = ip_buckets(events.where(when.covers("ts")), width, min_accounts)
     risky = buckets.join(bucket_risk(buckets, scores, mode), ["ip_address", "bucket_start"]).where(F.col("risk") >= min_risk)
-    rank = F.dense_rank().over(Window.orderBy(F.desc("distinct_accounts"), F.desc("risk")))
-    return risky.select(
+    values = ["distinct_accounts", "risk"]  # only distinct ones are ranked
+    ranks = risky.select(*values).distinct().withColumn("_rank", F.dense_rank().over(Window.orderBy(*(F.desc(c) for c in values))))
+    return risky.join(ranks, values).select(
         "ip_address", "bucket_start", (F.col("bucket_start") + F.expr(f"interval {width}")).alias("bucket_end"), "distinct_accounts", "total_events",
-        rounded(F.col("risk"), 4).alias("avg_risk_score"), rank.alias("severity_rank"), accounts_text("accounts").alias("account_list"),
+        rounded(F.col("risk"), 4).alias("avg_risk_score"), F.col("_rank").alias("severity_rank"), accounts_text("accounts").alias("account_list"),
     )
 
 
@@ -111,7 +112,10 @@ def switch_summary(switches: DataFrame, min_accounts: int) -> DataFrame:
 def q3_device_reuse(events: DataFrame, when: Lookback = Lookback(), seconds: int = 1800, min_accounts: int = 2) -> DataFrame:
     """Devices on which accounts take turns within ``seconds``; accounts seen are those switched from."""
     summary = switch_summary(device_switches(events.where(when.covers("ts")), seconds), min_accounts)
-    return summary.withColumn("risk_rank", F.rank().over(Window.orderBy(F.desc("accounts_seen"), F.desc("total_switches"))))
+    values = ["accounts_seen", "total_switches"]  # only distinct ones are ranked, by how many devices stand above
+    above = Window.orderBy(*(F.desc(c) for c in values)).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = summary.groupBy(*values).agg(F.count("*").alias("_n")).select(*values, (F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).alias("risk_rank"))
+    return summary.join(ranks, values)
 
 
 def session_scores(events: DataFrame, metrics: DataFrame, min_events: int) -> DataFrame:

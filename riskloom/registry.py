@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .config import AlertParams, AnomalyParams, ClusterParams, Config
 from .functions import rounded
 from .operators import alerts, calibration, features, graph, scoring
+from .operators.durable import durable
 from .plans import dashboards, metadata
 from .plans import investigations as q
 from .sources import events as ev
@@ -72,12 +73,12 @@ def _score_threshold(t: Tables) -> DataFrame:
 
 
 def _scored_events(t: Tables) -> DataFrame:
-    scores = _scores(t).select("user_id", F.col("risk_score").cast("double").alias("risk_score"), (F.col("risk_score") >= 2.0).alias("is_anomaly")).where("user_id % 3 <> 0")
+    scores = _scores(t).select("user_id", F.col("risk_score").cast("double").alias("risk_score"), (F.col("risk_score") >= 2.0).alias("is_anomaly"))
     return _digits(sinks.merge_scores(_view(t).select("event_id", "user_id"), scores), 4)
 
 
 def _score_iforest(t: Tables) -> DataFrame:
-    matrix = features.feature_matrix(_view(t))
+    matrix = durable(features.feature_matrix(_view(t)))  # read to fit and to score
     return scoring.RiskModel.fit(matrix, Config()).predict(matrix)
 
 
@@ -91,11 +92,11 @@ def _cluster_scores(t: Tables) -> DataFrame:
 
 
 def _graph_scores(t: Tables) -> DataFrame:
-    return _digits(_cluster_scores(t), 1)
+    return _cluster_scores(t)
 
 
 def _escalated(t: Tables) -> DataFrame:
-    return _digits(graph.escalate(_cluster_scores(t), threshold=40.0), 1)
+    return graph.escalate(_cluster_scores(t), threshold=40.0)
 
 
 def _auto_adjust(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,15 +106,15 @@ def _auto_adjust(spark: SparkSession, folder: str) -> DataFrame:
 
 def _alert_users(t: Tables) -> DataFrame:
     newest = q.latest_scores(t.anomaly_scores).select("user_id", (F.col("combined_risk_score") * 100).alias("risk_score"))
-    return alerts.user_candidates(newest).select("alert_type", "entity")
+    return alerts.user_candidates(newest).select("alert_type", "entity", "at")
 
 
 def _alert_clusters(t: Tables) -> DataFrame:
-    return alerts.cluster_candidates(t.abuse_clusters.select("cluster_id", F.col("avg_risk_score").alias("cluster_score"))).select("alert_type", "entity")
+    return alerts.cluster_candidates(t.abuse_clusters.select("cluster_id", F.col("avg_risk_score").alias("cluster_score"))).select("alert_type", "entity", "at")
 
 
 def _daily(t: Tables) -> DataFrame:
-    return t.enforcement_actions.where(F.col("triggered_at") < F.lit("2001-06-01").cast("timestamp_ntz")).groupBy(F.date_trunc("month", "triggered_at").cast("timestamp_ntz").alias("period")).agg(F.count("*").alias("enforcement_count"))
+    return t.enforcement_actions.groupBy(F.date_trunc("month", "triggered_at").cast("timestamp_ntz").alias("period")).agg(F.count("*").alias("enforcement_count"))
 
 
 def _alert_fold(t: Tables) -> DataFrame:
@@ -140,6 +141,11 @@ def _normalised(t: Tables) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "q1_burst": _on(lambda t: q.q1_burst(t.raw_events, t.user_profiles, EVENTS, min_window_count=2)),
     "q2_ip_clusters": _on(lambda t: q.q2_ip_clusters(t.raw_events, t.anomaly_scores, EVENTS, width="1 day")),
+    # the defaults, over events that follow each other so closely that short windows hold several
+    "q1_burst_defaults": _on(lambda t: q.q1_burst(t.dense_events(20), t.user_profiles, EVENTS)),
+    "q2_ip_clusters_defaults": _on(lambda t: q.q2_ip_clusters(t.dense_events(200), t.anomaly_scores, EVENTS)),
+    "q4_session_success_defaults": _on(lambda t: q.q4_session_success(t.raw_events, t.aggregated_user_metrics, t.user_profiles, EVENTS)),
+    "q5_resource_density_defaults": _on(lambda t: q.q5_resource_density(t.dense_events(5000), t.aggregated_user_metrics, t.user_profiles, EVENTS)),
     "q3_device_reuse": _on(lambda t: q.q3_device_reuse(t.raw_events, EVENTS)),
     "q4_session_success": _on(lambda t: q.q4_session_success(t.raw_events, t.aggregated_user_metrics, t.user_profiles, EVENTS, below=-0.5)),
     "q5_resource_density": _on(lambda t: q.q5_resource_density(t.raw_events, t.aggregated_user_metrics, t.user_profiles, EVENTS, width="1 day", min_resources=5, factor=2.0)),
@@ -165,7 +171,7 @@ QUERIES: dict[str, Query] = {
     "graph_cluster_scores": _on(_graph_scores),
     "graph_escalated": _on(_escalated),
     "cal_rates_at_threshold": _on(lambda t: calibration.rates_at(t.scored_labels, 50.0)),
-    "cal_roc": _on(lambda t: calibration.roc_curve(t.scored_labels).where("threshold < 1000")),
+    "cal_roc": _on(lambda t: calibration.roc_curve(t.scored_labels)),
     "cal_pr": _on(lambda t: calibration.pr_curve(t.scored_labels)),
     "cal_auc_ap": _on(lambda t: _digits(calibration.auc_ap(t.scored_labels))),
     "cal_optimal_threshold": _on(lambda t: calibration.optimal_threshold(t.scored_labels, 0.2)),

@@ -35,6 +35,11 @@ class Tables:
             F.when(F.col("value") > 150, "rate_limit").alias("enforcement_action"),
         )
 
+    def dense_events(self, times: int) -> DataFrame:
+        """``raw_events`` with all distances of time from the start of 2024 divided by ``times``."""
+        start = "timestamp_ntz'2024-01-01 00:00:00'"
+        return self.raw_events.withColumn("ts", F.expr(f"timestampadd(microsecond, timestampdiff(microsecond, {start}, ts) div {times}, {start})"))
+
     @cached_property
     def user_profiles(self) -> DataFrame:
         nation = self.raw("nation").select("n_nationkey", F.col("n_name").alias("country"))
@@ -97,7 +102,7 @@ class Tables:
     def threshold_history(self) -> DataFrame:
         name = F.when(F.col("o_orderstatus") == "F", "combined_risk_score").when(F.col("o_orderstatus") == "O", "zscore_value").otherwise("burst_score")
         rate = lambda n: (F.col("o_orderkey") % n).cast("double") / F.lit(1000.0)
-        return self.raw("orders").where("o_custkey % 10 = 0").select(
+        return self.raw("orders").select(
             F.col("o_orderkey").alias("threshold_id"), name.alias("metric_name"), (F.col("o_totalprice") / F.lit(5000.0)).alias("threshold_value"),
             rate(50).alias("false_positive_rate"), rate(70).alias("false_negative_rate"), F.col("o_orderdate").alias("updated_at"), F.lit("calibrator").alias("updated_by"),
         )

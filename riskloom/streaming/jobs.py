@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import AlertParams
 from ..operators.alerts import Dispatcher
+from ..operators.durable import shared_dir
 
 RAW = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -46,7 +46,8 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "1 ho
 def deduplicated_alerts(candidates: DataFrame, p: AlertParams = AlertParams()) -> DataFrame:
     """Alerts (alert_type, entity, at) with outcome, by a state for each entity: the time of the last alert sent.
 
-    Dedup is per entity and runs in parallel; the global rate limit belongs to the sink (see ``sink``).
+    Dedup is per entity and runs in parallel; the global rate limit belongs to the sink (see ``sink``).  An entity's
+    state is one number; it has no timeout, since one by processing time never lets a stream over what is there end.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -75,13 +76,18 @@ def sink(dispatcher: Dispatcher):
 
 
 def run_to_end(stream: DataFrame, name: str | None = None, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns its output as a table in memory; for tests and small reports."""
-    name = name or f"out_{uuid.uuid4().hex}"
-    spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riskloom-stream-")
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    """Runs a stream over what is there and returns its output, which is written to the shared folder, one part a batch."""
+    spark, name = stream.sparkSession, name or f"out_{uuid.uuid4().hex}"
+    folder, schema, done = f"{shared_dir(spark)}/{name}", stream.schema, []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/parts/{epoch}")
+        done.append(epoch)
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    parts = sorted(set(done)) if mode == "append" else done[-1:]  # else each batch has the whole result
+    return spark.read.schema(schema).parquet(*(f"{folder}/parts/{e}" for e in parts)) if parts else spark.createDataFrame([], schema)
 
 
 def stream_windows_query(spark: SparkSession, folder: str) -> DataFrame:
