@@ -9,9 +9,9 @@ if they chose the same tokens, which similar ones do with a probability that
 falls with the depth as about 1 / depth, and others with one that falls
 exponentially.
 
-Every path goes ``depth`` levels down.  A node that then holds more than
-``block`` sets is split again, and so are its children, up to ``more`` levels,
-at which ``rate`` times as many tokens are chosen, so that pairs at the threshold
+Every path goes ``depth`` levels down.  With ``more`` (0 by default, since every
+level shuffles texts again), a node that then holds more than ``block`` sets is
+split again, and so are its children, up to as many levels, at which ``rate`` times as many tokens are chosen, so that pairs at the threshold
 hardly get lost.  Documents that only share a common passage (less than threshold
 / rate, or two fifths, of their shingles) part again so, however many they are.
 A node whose children hold more pairs than itself is not split, since its members
@@ -58,7 +58,8 @@ class Settings:
     recall: float = 0.9995
     depth: int = 2
     block: int = 512
-    more: int = 8
+    #: Further levels for large nodes; each shuffles the texts of their members once more.
+    more: int = 0
     rate: float = 2.0
 
     @property

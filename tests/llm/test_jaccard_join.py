@@ -129,7 +129,7 @@ def test_documents_that_share_a_passage_part_again(make):
     want = brute(corpus.items())
     flat, got, large = pairs_compared(make(corpus), jj.Settings(block=32, more=0))
     assert got == want and large > 0
-    split, got, large = pairs_compared(make(corpus), jj.Settings(block=32))
+    split, got, large = pairs_compared(make(corpus), jj.Settings(block=32, more=8))
     assert got == want and split * 3 < flat
     assert sum(n for _, n in want.values()) > 80
 
@@ -138,5 +138,5 @@ def test_sets_that_are_alike_are_not_split(make):
     rng = random.Random(16)
     base = prose(rng, 200)
     corpus = {i: near(rng, base, 1) for i in range(200)}
-    _, got, large = pairs_compared(make(corpus), jj.Settings(block=32))
+    _, got, large = pairs_compared(make(corpus), jj.Settings(block=32, more=8))
     assert got == brute(corpus.items()) and large > 0
