@@ -3,7 +3,7 @@
 Every stage works on all rows that the stage before it kept, and decides for
 good: rejected documents, repeated lines, near copies and contaminated documents
 are gone for the stages that follow.  SQL can't express the trained classifier,
-so there is no SQL for the whole; tests compare it with a brute-force version.
+so there is no SQL for the whole; tests check what becomes of planted documents.
 """
 
 from __future__ import annotations
