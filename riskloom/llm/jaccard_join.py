@@ -9,10 +9,11 @@ if they chose the same tokens, which similar ones do with a probability that
 falls with the depth as about 1 / depth, and others with one that falls
 exponentially.
 
-Every path goes ``depth`` levels down.  With ``more`` (0 by default, since every
-level shuffles texts again), a node that then holds more than ``block`` sets is
-split again, and so are its children, up to as many levels, at which ``rate`` times as many tokens are chosen, so that pairs at the threshold
-hardly get lost.  Documents that only share a common passage (less than threshold
+Every path goes ``depth`` levels down.  A node that then holds more than
+``block`` sets is split again, and so are its children, up to ``more`` levels,
+at which ``rate`` times as many tokens are chosen, so that pairs at the threshold
+hardly get lost.  The sets of all members are written once, dealt by id, so that
+no level shuffles them again, but only ids and nodes.  Documents that only share a common passage (less than threshold
 / rate, or two fifths, of their shingles) part again so, however many they are.
 A node whose children hold more pairs than itself is not split, since its members
 are alike.  Runs repeat until the miss probability at the threshold is below
@@ -47,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ._spark import durable
+from ._spark import bucketed, durable, shards
 from ._text import mix, shingle_sets, slices, utf8
 
 
@@ -58,8 +59,9 @@ class Settings:
     recall: float = 0.9995
     depth: int = 2
     block: int = 512
-    #: Further levels for large nodes; each shuffles the texts of their members once more.
-    more: int = 0
+    more: int = 8
+    #: Sets in one part of the table of sets, about.
+    part: int = 20_000
     rate: float = 2.0
 
     @property
@@ -259,17 +261,17 @@ def _children(sets: DataFrame, s: Settings) -> DataFrame:
     return sets.mapInArrow(run, "rep long, parent long, node long")
 
 
-def split_large(inside: DataFrame, sets_of, s: Settings) -> DataFrame:
+def split_large(inside: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """``inside`` (rep, bucket, n) with its large buckets split along further levels of the tree, where that parts their members.
 
-    ``sets_of`` gives the packed sets (rep, shingles) of the members of a frame.
+    ``sets`` has the packed set (rep, shingles) of every member.
     """
     for _ in range(s.more):
         large = inside.where(F.col("n") > s.block)
         if large.isEmpty():
             break
         parents = durable(large.groupBy("rep").agg(F.collect_list("bucket").alias("parents")))
-        found = durable(_children(sets_of(parents).join(parents, "rep"), s))
+        found = durable(_children(sets.join(parents, "rep"), s))
         # a node whose children hold more pairs than itself is done: its members are alike
         pairs = found.groupBy("parent", "node").agg(F.count("*").cast("double").alias("n")).where("n > 1").groupBy("parent").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
         sizes = large.groupBy("bucket").agg(F.max("n").cast("double").alias("n"))
@@ -284,36 +286,15 @@ def split_large(inside: DataFrame, sets_of, s: Settings) -> DataFrame:
     return inside
 
 
-def jaccard_join(docs: DataFrame, s: Settings | None = None) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its near-duplicate class) and n_links (other documents at the threshold or above)."""
-    s = s or Settings()
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    known = rows.where("id is not null")
-    sketches = durable(_sketches(known, s))
-    # rows of one doc_id: the one with the smallest set
-    repeated = not sketches.groupBy("id").count().where("count > 1").isEmpty()
-    if repeated:
-        sketches = durable(sketches.groupBy("id").agg(F.min(F.struct("set_key", "nodes")).alias("x")).select("id", "x.*"))
-    classes = durable(sketches.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("nodes").alias("nodes")))
-
-    met = classes.select("rep", F.explode("nodes").alias("node"))
-    inside = durable(met.withColumnRenamed("node", "bucket").join(_met(met), "bucket").select("rep", "bucket", "n"))
-
-    def sets_of(members: DataFrame) -> DataFrame:
-        sets = _sets(known.join(members.select(F.col("rep").alias("id")), "id", "left_semi"), s)
-        if repeated:  # the text whose set was taken above
-            keys = sketches.select(F.col("id").alias("rep"), "set_key")
-            sets = _keyed(sets).join(keys, ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).drop("set_key")
-        return sets
-
-    inside = split_large(inside, sets_of, s)
+def _links(sets: DataFrame, inside: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
+    """rep, links, root for every bucket, or two blocks of one, in which a member links to others."""
     lists = inside.groupBy("rep").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("sizes"))
-    sets = sets_of(lists).join(lists, "rep").join(classes.select("rep", "copies"), "rep")
+    rows = sets.join(lists.join(classes.select("rep", "copies"), "rep"), "rep")
 
     blocks = F.ceil(F.col("n") / s.block).cast("int")
     part = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     work = (
-        sets.select("rep", "copies", "shingles", "buckets", F.explode(F.arrays_zip("buckets", "sizes")).alias("b"))
+        rows.select("rep", "copies", "shingles", "buckets", F.explode(F.arrays_zip("buckets", "sizes")).alias("b"))
         .select("rep", "copies", "shingles", "buckets", F.col("b.buckets").alias("bucket"), F.col("b.sizes").alias("n"))
         .withColumn("blocks", blocks).withColumn("part", part)
         # block p takes part in the tasks (p, p), (p, q) and (q, p) with q above and below
@@ -332,7 +313,33 @@ def jaccard_join(docs: DataFrame, s: Settings | None = None) -> DataFrame:
         )
         return pa.table({"rep": pa.array(found[0], pa.int64()), "links": pa.array(found[1], pa.int64()), "root": pa.array(found[2], pa.int64())})
 
-    found = durable(work.groupBy("bucket", "i", "j").applyInArrow(run, "rep long, links long, root long"))
+    return work.groupBy("bucket", "i", "j").applyInArrow(run, "rep long, links long, root long")
+
+
+def jaccard_join(docs: DataFrame, s: Settings | None = None) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of its near-duplicate class) and n_links (other documents at the threshold or above)."""
+    s = s or Settings()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    known = rows.where("id is not null")
+    sketches = durable(_sketches(known, s))
+    # rows of one doc_id: the one with the smallest set
+    repeated = not sketches.groupBy("id").count().where("count > 1").isEmpty()
+    if repeated:
+        sketches = durable(sketches.groupBy("id").agg(F.min(F.struct("set_key", "nodes")).alias("x")).select("id", "x.*"))
+    classes = durable(sketches.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("nodes").alias("nodes")))
+
+    met = classes.select("rep", F.explode("nodes").alias("node"))
+    inside = durable(met.withColumnRenamed("node", "bucket").join(_met(met), "bucket").select("rep", "bucket", "n"))
+
+    members = inside.select("rep").distinct()
+    parts = shards(docs, s.part, members.count())
+    texts = (known if repeated else known.repartition(parts, "id")).join(members.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id", "left_semi")
+    sets = _sets(texts, s)
+    if repeated:  # the text whose set was taken above
+        keys = sketches.select(F.col("id").alias("rep"), "set_key")
+        sets = _keyed(sets).join(keys, ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).drop("set_key").repartition(parts, "rep")
+    with bucketed(sets, "rep", parts) as sets:
+        found = durable(_links(sets, split_large(inside, sets, s), classes, s))
     labels = components(found.where("rep <> root").select("rep", "root"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     facts = (
