@@ -15,7 +15,10 @@ holds its map from every state to the state after it, and maps are composed.
 
 Cases: null text or role counts as empty; null turns come first; rows of one
 turn are ordered by role, then text; a null conv_id is one conversation of its
-own; a conversation that the machine refuses is formatted, with valid = false.
+own; a conversation that the machine refuses is formatted, with valid = false;
+repeated rows are turns of their own; texts are read whole, a conversation being
+one row of the output, so at most 2 GB; an empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ hash of doc_id, never rows of the held-out fold; all rows are predicted, whole.
 
 Cases: null text or text without a letter: ``und`` with score 0; without any
 learned language everything is ``und``; null lang is not learned; ties between
-languages go to the first in code-point order; rows are judged one by one.
+languages go to the first in code-point order; rows are judged one by one,
+repeated or not, whatever their doc_id, and read whole; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -17,8 +17,9 @@ others by weight.  The fixed point is found in closed form: sources sorted by
 size per weight are filled up from the smallest.
 
 Cases: null text has size 0; documents of size 0 are never taken; a null source
-is a source, the last; equal rows queue one after the other; an empty table
-gives an empty result; other columns pass through (``_rl_`` begins the names of
+is a source, the last; equal rows queue one after the other, and rows of one
+doc_id (or of none) by size and a hash of the text; an empty table gives an
+empty result; other columns pass through (``_rl_`` begins the names of
 this module's own).
 """
 
@@ -71,17 +72,17 @@ def targets(sized: DataFrame, s: Settings | None = None) -> DataFrame:
 
 
 def sized(docs: DataFrame, s: Settings) -> DataFrame:
-    """Adds what the queue needs: _rl_source, _rl_size, _rl_h (a hash to shuffle by) and _rl_bucket (its first part)."""
+    """Adds what the queue needs: _rl_source, _rl_size, _rl_h (a hash to shuffle by), _rl_bucket (its first part) and _rl_tie (a hash of the text)."""
     h = F.md5(F.concat(F.lit(s.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     return (
         docs.withColumn("_rl_source", F.col("source")).withColumn("_rl_size", size_of(F.col("text").cast("string")))
-        .withColumn("_rl_h", h).withColumn("_rl_bucket", F.substring("_rl_h", 1, 3))
+        .withColumn("_rl_h", h).withColumn("_rl_bucket", F.substring("_rl_h", 1, 3)).withColumn("_rl_tie", F.xxhash64(F.col("text").cast("string")))
     )
 
 
 def queued(rows: DataFrame, buckets: DataFrame, s: Settings) -> DataFrame:
     """Adds _rl_rank, _rl_source_size, _rl_target, _rl_before (words of the source before the row) and _rl_at (its place in the bucket)."""
-    place = Window.partitionBy("_rl_rank", "_rl_bucket").orderBy("_rl_h", F.col("doc_id").asc_nulls_first(), "_rl_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = Window.partitionBy("_rl_rank", "_rl_bucket").orderBy("_rl_h", F.col("doc_id").asc_nulls_first(), "_rl_size", "_rl_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     b = buckets.withColumnRenamed("_rl_source", "_rl_source_b").withColumnRenamed("_rl_bucket", "_rl_bucket_b")
     return (
         rows.join(b, F.col("_rl_source").eqNullSafe(F.col("_rl_source_b")) & (F.col("_rl_bucket") == F.col("_rl_bucket_b"))).drop("_rl_source_b", "_rl_bucket_b")
@@ -107,7 +108,7 @@ def mix(docs: DataFrame, s: Settings | None = None) -> tuple[DataFrame, DataFram
     """
     s = s or Settings()
     rows = sized(docs, s)
-    light = durable(rows.select("doc_id", "_rl_source", "_rl_size", "_rl_h", "_rl_bucket"))
+    light = durable(rows.select("doc_id", "_rl_source", "_rl_size", "_rl_h", "_rl_bucket", "_rl_tie"))
     # source totals and the words of each source before each of its buckets
     before = Window.partitionBy("_rl_source").orderBy("_rl_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = light.groupBy("_rl_source", "_rl_bucket").agg(F.sum("_rl_size").alias("_rl_size"))

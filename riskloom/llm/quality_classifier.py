@@ -18,9 +18,9 @@ several, the one with the smallest features); a row's features have at most
 Cases: null text counts as empty and scores by the bias alone; null labels are
 skipped, a doc_id labelled twice takes its highest label; without any label the
 score is 0.5; a null doc_id is scored, with held_out false; repeated rows are
-scored each by itself; an empty table gives an empty result; columns besides
-doc_id and text are ignored, but for those asked for by ``keep``, of which any
-named like the columns that are added are replaced.
+scored each by itself; a text of any length is read whole; an empty table gives
+an empty result; columns besides doc_id and text are ignored, but for those asked
+for by ``keep``, of which any named like the columns that are added are replaced.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ document fails by chunks when more than ``chunk_share`` of them do.
 
 Cases: null text counts as empty; empty text has ratio 0 and fails by
 ``n_words < min_words``; one of any length is read whole; repeated rows are
-judged each by itself; columns besides ``doc_id`` and ``text`` are ignored.
+judged each by itself; a null doc_id is judged; an empty table gives an empty
+result; columns besides ``doc_id`` and ``text`` are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -28,7 +28,9 @@ CONTROL_TURN = "<|im_end|><|im_start|>assistant ok"
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     template = chat.Template()
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", CONTROL_TURN), (-1, 1, "assistant", CONTROL_TURN)], turns.schema)
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TURN).alias("text")
+    )
     rows = chat.format_chat(turns.unionByName(extra), template)
     out = rows.select("conv_id", "valid", chat.formatted(F.col("segments")).alias("_out"), chat.loss_text(F.col("segments"), template).alias("_loss"))
     out = out.withColumn("_turns", chat.parse(F.col("_out"), template))

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -64,3 +65,52 @@ def test_empty_tables(docs):
     none = docs.where("false")
     assert langid.language_id(none).count() == 0
     assert {r.lang_pred for r in langid.predict(docs.limit(5), langid.learn(none)).collect()} == {"und"}
+
+
+def plain_mixture(like, count, s):
+    """Expectation and maximisation n-gram by n-gram, for the best set of languages by penalised likelihood, added one by one."""
+    langs, grams = range(len(like)), range(len(count))
+    weight = [c * s.independent for c in count]
+    price = s.penalty * math.log(max(2.0, sum(weight)))
+    p = [[math.exp(like[j][g] - max(like[x][g] for x in langs)) for g in grams] for j in langs]
+
+    def fit(chosen):
+        share = {j: 1 / len(chosen) for j in chosen}
+        for _ in range(s.rounds if len(chosen) > 1 else 1):
+            got = dict.fromkeys(chosen, 0.0)
+            for g in grams:
+                total = sum(share[j] * p[j][g] for j in chosen)
+                for j in chosen:  # the part of this n-gram that language j answers for
+                    got[j] += weight[g] * share[j] * p[j][g] / total
+            share = {j: x / sum(weight) for j, x in got.items()}
+        return sum(weight[g] * math.log(sum(share[j] * p[j][g] for j in chosen)) for g in grams), share
+
+    first = max(langs, key=lambda j: (sum(like[j][g] * weight[g] for g in grams), -j))
+    chosen, (best, share) = [first], fit([first])
+    while len(chosen) < len(like):
+        (value, found), new = max(((fit([*chosen, j]), j) for j in langs if j not in chosen), key=lambda x: (x[0][0], -x[1]))
+        if value - best <= price:
+            break
+        chosen, best, share = [*chosen, new], value, found
+    return [share.get(j, 0.0) for j in langs]
+
+
+def test_mixture_against_plain_em(model):
+    rng, s, sets = random.Random(8), langid.Settings(), set()
+    for _ in range(60):
+        text = " ".join(write(rng, rng.choice(list(PARTS)[: rng.randrange(1, 4)]), rng.randrange(1, 40)) for _ in range(rng.randrange(1, 4)))
+        v = langid.grams(text, s.bits)
+        at = np.flatnonzero(v)
+        like = model[1][:, at].astype(np.float64)
+        want = plain_mixture(like.tolist(), v[at].tolist(), s)
+        assert np.allclose(langid.mixture(like, v[at].astype(np.float64), s), want, atol=1e-9)
+        sets.add(sum(x > 0 for x in want))
+    assert sets >= {1, 2}
+
+
+def test_ties_and_repeated_rows(spark, docs, model):
+    _, table = model
+    row = docs.where("doc_id = 1003").drop("score")
+    twice = row.unionByName(row).unionByName(row.withColumn("doc_id", F.lit(None).cast("long")))
+    got = langid.predict(twice, (["x", "y"], np.stack([table[1], table[1]]))).collect()
+    assert [r.lang_pred for r in got] == ["x"] * 3 and [r.score for r in got] == pytest.approx([1.0] * 3)

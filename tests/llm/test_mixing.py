@@ -89,3 +89,14 @@ def test_odd_rows(spark, rng):
     assert {r.taken for r in got if r.size == 0} == {0}
     assert mixing.mixed_sizes(docs.where("false")).count() == 0
     assert {r.taken for r in mixing.mixed_sizes(docs.where("doc_id < 4")).collect()} == {0}
+
+
+def test_rows_of_one_id_queue_by_their_texts(spark, rng):
+    rows = [(i, prose(rng, 6), "en", source, 0) for i in (7, None) for source in ("a", "b") for _ in range(40)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    orders = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        out = mixing.ordered(mixing.mix(spark.createDataFrame(rows, schema).repartition(3 + seed))[1], ["doc_id", "source", "text"])
+        orders.append([tuple(r) for r in out.collect()])
+    assert orders[0] == orders[1] and len(orders[0]) > 100

@@ -1,12 +1,23 @@
-"""The pipeline on planted documents, compared with what each stage is meant to do."""
+"""The pipeline on planted documents, compared with what each stage is meant to do, and recomputed by the definitions."""
 
+import hashlib
+import math
 import random
+from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from corpus_text import prose
+from pyspark.sql import functions as F
+from test_decontaminate import brute as leaks_by_windows
+from test_jaccard_join import brute as classes_by_sets
+from test_line_dedup import all_earlier
 from test_mixing import waterfill
 
+from riskloom.llm import line_dedup as ld
+from riskloom.llm import quality_classifier as qc
+
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
@@ -82,6 +93,81 @@ def test_run(spark, folder):
     assert max(r.copy for r in got) <= 2
 
 
+def plain_scores(texts, model):
+    """Dot products of weights and n-gram frequencies, text by text."""
+    s, (w, bias) = qc.Settings(), model
+    out = {}
+    for d, text in texts.items():
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        c = Counter(qc.features(data, np.array([0, len(data)]), s)[0].tolist())
+        out[d] = 1 / (1 + math.exp(-bias - sum(w[i] * k * s.scale / sum(c.values()) for i, k in c.items())))
+    return out
+
+
+def plain_mix(texts, source):
+    """(doc_id, copy) of all that the mix takes: one queue sorted by virtual finish time."""
+    size = {d: len((t or "").split()) for d, t in texts.items()}
+    sums = Counter()
+    for d, n in size.items():
+        sums[source[d]] += n
+    target, queue = waterfill(sums), []
+    rank = {s: i for i, s in enumerate(sorted(sums, key=lambda s: (s is None, s or "")))}
+    for s in sums:
+        mine, at = sorted((hashlib.md5(f"mix:{d}".encode()).hexdigest(), d) for d in texts if source[d] == s), 0
+        for copy in range(3):
+            for h, d in mine:
+                at += size[d]
+                if size[d]:
+                    queue.append((at / target[s], rank[s], h, d, copy))
+    total, taken = 0, []
+    for *_, d, copy in sorted(queue):
+        total += size[d]
+        if total > sum(sums.values()):
+            break
+        taken.append((d, copy))
+    return taken
+
+
+def test_run_against_the_definitions(spark, folder):
+    """Every stage by brute force over what the one before it left; only the weights come from the operator (see test_quality)."""
+    path = folder[0]
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    model = qc.train(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()}
+    texts = {d: r.text for d, r in rows.items()}
+    texts = {d: texts[d] for d, p in plain_scores(texts, model).items() if p >= 0.3}
+    cut = all_earlier(texts, ld.Settings())
+    texts = {d: cut[d] for d in texts if cut[d].split() or not (texts[d] or "").split()}
+    classes = classes_by_sets(texts)
+    texts = {d: t for d, t in texts.items() if classes[d][0] == d}
+    leaked = {d for d, *_ in leaks_by_windows(texts, items)}
+    texts = {d: t for d, t in texts.items() if d not in leaked}
+    want = plain_mix(texts, {d: rows[d].source for d in texts})
+    got = corpus_pipeline.run(spark, path).collect()
+    assert [(r.doc_id, r.copy) for r in got] == want
+    assert all((r.text, r.lang, r.source, r.n_chars) == (texts[r.doc_id], rows[r.doc_id].lang, rows[r.doc_id].source, len(r.text)) for r in got)
+
+
+def test_odd_tables(spark, tmp_path):
+    """No labels, no benchmark, repeated and null ids, clashing columns, a very long text."""
+    rng = random.Random(6)
+    long = "\n".join(prose(rng, 20, 5000) for _ in range(3000))
+    rows = [(i, prose(rng, 30), "en", "a", 0) for i in (1, 2, 2, None, None)] + [(3, None, None, None, None), (4, "", "en", "a", 0), (5, long, "en", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumn("score", F.lit("mine")).withColumn("n_words", F.lit("mine")).withColumn("copy", F.lit("mine")).withColumn("leaks", F.lit("mine"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        stage = spark.createDataFrame(f(spark, stage, str(tmp_path)).collect(), stage.schema)
+        assert stage.columns == docs.columns
+    assert {r.score for r in stage.collect()} == {r.copy for r in stage.collect()} == {"mine"}
+    assert Counter(r.doc_id for r in stage.collect()) == Counter(r[0] for r in rows)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= {1, 2, 5, None} and {r.copy for r in got} <= {0, 1, 2}
+
+
 def test_reruns_agree(spark, folder):
     first, second = ([tuple(r) for r in corpus_pipeline.run(spark, folder[0]).drop("virtual_finish").collect()] for _ in range(2))
     assert first == second
