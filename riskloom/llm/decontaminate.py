@@ -88,6 +88,13 @@ def signs(g: np.ndarray, blocks: int) -> np.ndarray:
     return bits.astype(np.int8) * np.int8(2) - np.int8(1)
 
 
+def running(g: np.ndarray, blocks: int) -> np.ndarray:
+    """Sums of the signs of the shingles before each position, one row more than there are shingles."""
+    out = np.zeros((len(g) + 1, 16 * blocks), np.int32)
+    out[1:] = signs(g, blocks)
+    return np.add.accumulate(out, axis=0, out=out)
+
+
 def simhash(g: np.ndarray, starts: np.ndarray, ends: np.ndarray, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(numbers of windows, their fingerprints as rows of blocks) of the windows [start, end) of ``g``, in groups.
 
@@ -106,7 +113,7 @@ def simhash(g: np.ndarray, starts: np.ndarray, ends: np.ndarray, s: Settings) ->
             a, b = starts[at:stop], ends[at:stop]
             done, before = np.zeros((1, 16 * s.blocks), np.int32), low
             for c in range(low, high, s.group):
-                sums = np.concatenate([done, done + np.cumsum(signs(g[c : min(c + s.group, high)], s.blocks), axis=0, dtype=np.int32)])
+                sums = done + running(g[c : min(c + s.group, high)], s.blocks)
                 for edge, sign in ((a, -1), (b, 1)):
                     here = np.flatnonzero((edge > before) & (edge <= c + s.group) | (edge == low) & (c == low))
                     total[here] += sign * sums[edge[here] - c]
@@ -178,11 +185,23 @@ class ItemIndex:
         """The items found in one document, given its shingles and which of them some item has."""
         best: dict[int, tuple[float, int, int]] = {}
         upto, share = np.r_[0, np.cumsum(hit)], self.s.threshold / (1 + self.s.threshold)
+        windows = []
         for size in self.lengths[self.lengths * self.s.threshold - 1e-9 <= len(g)].tolist():
             span = min(size, len(g))
             # a window can't share more shingles with an item than it has hits
             starts = np.flatnonzero(upto[span:] - upto[: len(upto) - span] >= share * (size + span) - 1e-9)
-            for which, prints in simhash(g, starts, starts + span, self.s):
+            if len(starts):
+                windows.append((size, span, starts))
+        low = min((int(starts[0]) for *_, starts in windows), default=0)
+        high = max((int(starts[-1]) + span for _, span, starts in windows), default=0)
+        # windows that lie close together share their running sums, whatever their lengths
+        sums = running(g[low:high], self.s.blocks) if high - low <= self.s.group else None
+        for size, span, starts in windows:
+            if sums is None:
+                hashed = simhash(g, starts, starts + span, self.s)
+            else:
+                hashed = [(np.arange(len(starts)), np.packbits(sums[starts + span - low] > sums[starts - low], axis=1).view(np.uint16))]
+            for which, prints in hashed:
                 for q, item in zip(*(x.tolist() for x in self.index.near(prints, np.full(len(which), size))), strict=True):
                     start = int(starts[which[q]])
                     sim = self.similarity(g[start : start + span], item)
