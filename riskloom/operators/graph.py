@@ -12,6 +12,7 @@ from ..config import ClusterParams
 from ..functions import micros
 from .components import components as linked
 from .durable import durable
+from .louvain import louvain
 
 
 def nodes(events: DataFrame) -> DataFrame:
@@ -65,6 +66,16 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("user_id").join(label, "user_id", "left").select("user_id", F.coalesce("label", "user_id").alias("cluster_id"))
 
 
+def communities(nodes: DataFrame, edges: DataFrame, method: str = "components") -> DataFrame:
+    """user_id, cluster_id by ``method``: connected components, or ``louvain`` communities within them by ``weight``."""
+    if method == "components":
+        return components(nodes, edges)
+    if method != "louvain":
+        raise ValueError(f"method is components or louvain, not {method}")
+    label = louvain(edges.select("src", "dst", "weight")).toDF("user_id", "label")
+    return nodes.select("user_id").join(label, "user_id", "left").select("user_id", F.coalesce("label", "user_id").alias("cluster_id"))
+
+
 def signal_components(events: DataFrame, p: ClusterParams = ClusterParams()) -> DataFrame:
     """The same components for min_shared_signals = 1 without making pairs: users of a signal link to its smallest user.
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dashboards
@@ -121,6 +122,21 @@ def evaluate_rules(t: dashboards.Warehouse, as_of: dt.datetime, rules: list[Rule
     return out
 
 
+def _rendered(template: str) -> Column:
+    """The template with ``value`` in the place and number of digits that it names."""
+    pattern = re.sub(r"\{value:(\.\d+)f\}", r"%\1f", template.replace("%", "%%"))
+    return F.format_string(pattern, F.col("value"))
+
+
+def alert_messages(t: dashboards.Warehouse, as_of: dt.datetime, rules: list[Rule] | None = None) -> DataFrame:
+    """rule_id, severity, channel, message: a row for each channel of each rule that fires."""
+    rules = rules or RULES
+    found = evaluate_rules(t, as_of, rules).where("fires")
+    by_rule = lambda f: F.coalesce(*(F.when(F.col("rule_id") == r.rule_id, f(r)) for r in rules))
+    channels = by_rule(lambda r: F.array(*map(F.lit, r.channels)))
+    return found.select("rule_id", "severity", F.explode(channels).alias("channel"), by_rule(lambda r: _rendered(r.message_template)).alias("message"))
+
+
 def spec(at: dt.datetime) -> dict:
     from .dashboards import EXTRACTS
 

@@ -86,6 +86,10 @@ def _members(t: Tables) -> DataFrame:
     return graph.components(graph.nodes(_view(t)), graph.shared_signals(_view(t), CLUSTERS))
 
 
+def _communities(t: Tables) -> DataFrame:
+    return graph.communities(graph.nodes(_view(t)), graph.edges(_view(t), CLUSTERS), "louvain")
+
+
 def _cluster_scores(t: Tables) -> DataFrame:
     nodes, edges = graph.nodes(_view(t)), graph.edges(_view(t), CLUSTERS)
     return graph.cluster_scores(nodes, edges, graph.components(nodes, edges))
@@ -153,6 +157,7 @@ QUERIES: dict[str, Query] = {
     "q7_weekly_enforcement": _on(lambda t: q.q7_weekly_enforcement(t.enforcement_actions, t.user_profiles, ORDERS, NOW_ORDERS)),
     **{f"dash_{name}": _dashboard(name) for name in dashboards.EXTRACTS},
     "dash_alert_rules": _on(lambda t: metadata.evaluate_rules(t, NOW_EVENTS)),
+    "dash_alert_messages": _on(lambda t: metadata.alert_messages(t, NOW_EVENTS)),
     "feat_action_frequency": _on(lambda t: _digits(features.action_frequency(_view(t)))),
     "feat_ip_entropy": _on(lambda t: _digits(features.ip_entropy(_view(t)))),
     "feat_device_reuse": _on(lambda t: _digits(features.device_reuse(_view(t)))),
@@ -168,6 +173,7 @@ QUERIES: dict[str, Query] = {
     "graph_edges": _on(lambda t: _digits(graph.edges(_view(t), CLUSTERS))),
     "graph_components": _on(_members),
     "graph_signal_components": _on(lambda t: graph.signal_components(_view(t), CLUSTERS)),
+    "graph_louvain": _on(_communities),
     "graph_cluster_scores": _on(_graph_scores),
     "graph_escalated": _on(_escalated),
     "cal_rates_at_threshold": _on(lambda t: calibration.rates_at(t.scored_labels, 50.0)),

@@ -5,7 +5,7 @@ import pytest
 
 from riskloom.config import ClusterParams
 from riskloom.operators import graph
-from riskloom.sources.synthetic import ring_events
+from riskloom.sources.synthetic import Model, Ring, ring_events
 
 SCHEMA = "user_id string, ip_address string, device_id string, timestamp timestamp_ntz"
 T0 = dt.datetime(2024, 1, 1)
@@ -67,7 +67,7 @@ def test_rings_are_found(spark):
     events = ring_events(spark)
     members = graph.signal_components(events).toPandas().groupby("cluster_id")["user_id"].apply(list)
     sizes = sorted((len(x) for x in members), reverse=True)
-    assert sizes[:3] == [8, 5, 4] and len(sizes) == 53
+    assert sizes[:4] == [12, 7, 3, 1] and len(sizes) == 43
     edges = graph.edges(events)
     by_pairs = graph.components(graph.nodes(events), edges).toPandas().groupby("cluster_id")["user_id"].apply(list)
     assert sorted(map(sorted, members)) == sorted(map(sorted, by_pairs))
@@ -87,3 +87,39 @@ def test_no_events(spark):
     events = spark.createDataFrame([], SCHEMA)
     nodes, edges = graph.nodes(events), graph.edges(events)
     assert graph.cluster_scores(nodes, edges, graph.components(nodes, edges)).count() == 0
+
+
+def test_synthetic_events(spark):
+    model = Model(singles=5, rings=(Ring("r", 4, 2, 1, 2.0),), events=10)
+    rows = ring_events(spark, model).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, ring_events(spark, model).repartition(3).collect()))
+    assert len({r.event_id for r in rows}) == len(rows) and len({r.user_id for r in rows}) == 9
+    ring = [r for r in rows if r.user_id.startswith("r-")]
+    assert max(r.timestamp for r in ring) - min(r.timestamp for r in ring) <= dt.timedelta(hours=2)
+    assert len({r.ip_address for r in ring}) == 2 and len({r.device_id for r in ring}) == 1
+    assert not {r.ip_address for r in ring} & {r.ip_address for r in rows if r not in ring}
+
+
+def plain_modularity(edges, label):
+    total, inside, degree = 0.0, {}, {}
+    for a, b, w in edges:
+        total += 2 * w
+        for x in (a, b):
+            degree[label[x]] = degree.get(label[x], 0.0) + w
+        if label[a] == label[b]:
+            inside[label[a]] = inside.get(label[a], 0.0) + 2 * w
+    return sum(inside.get(c, 0.0) / total - (k / total) ** 2 for c, k in degree.items())
+
+
+def test_louvain_parts_cliques_that_a_bridge_links(spark):
+    cliques = [list(range(10 * c, 10 * c + n)) for c, n in enumerate((6, 5, 7, 4))]
+    edges = [(a, b, 1.0) for x in cliques for a in x for b in x if a < b] + [(cliques[i][-1], cliques[(i + 1) % 4][0], 0.5) for i in range(4)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    nodes = spark.createDataFrame([(x,) for c in cliques for x in c] + [(99,)], "user_id long")
+    got = {r.user_id: r.cluster_id for r in graph.communities(nodes, df, "louvain").collect()}
+    want = {x: c[0] for c in cliques for x in c}
+    assert plain_modularity(edges, got) >= plain_modularity(edges, want) - 1e-9 and got == want | {99: 99}
+    assert {r.cluster_id for r in graph.communities(nodes, df).collect()} == {0, 99}
+    with pytest.raises(ValueError):
+        graph.communities(nodes, df, "other")
+    assert graph.communities(nodes, df.where("false"), "louvain").where("user_id <> cluster_id").count() == 0

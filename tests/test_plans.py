@@ -73,3 +73,13 @@ def test_constraints(spark):
     twice = spark.createDataFrame([("a",), ("a",), ("b",)], "user_id string")
     assert [(r.user_id, r.n) for r in schemas.duplicate_keys("user_profiles", twice).collect()] == [("a", 2)]
     assert len(schemas.SCHEMAS) == 8
+
+
+def test_messages_of_rules_that_fire(spark, data):
+    t, at = Tables(spark, data), dt.datetime(2024, 1, 31)
+    fired = {r.rule_id: r.value for r in metadata.evaluate_rules(t, at).collect() if r.fires}
+    rules = {r.rule_id: r for r in metadata.RULES}
+    got = {(r.rule_id, r.channel): r.message for r in metadata.alert_messages(t, at).collect()}
+    assert got == {(i, c): rules[i].message_template.format(value=v) for i, v in fired.items() for c in rules[i].channels}
+    low = metadata.Rule("any", "total_flagged_users", "gt", -1.0, "warning", 60, "{value:.1f}% of 100%", ("a", "b"), "total_flagged_users")
+    assert {r.message[-8:] for r in metadata.alert_messages(t, at, [low]).collect()} == {" of 100%"}
