@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, langid, line_dedup, mixing, pii, quality_classifier, quality_rules, suffix_dedup
+from . import chat, decontaminate, jaccard_join, langid, line_dedup, merkle, mixing, pii, quality_classifier, quality_rules, suffix_dedup
 from ._spark import table
 
 
@@ -79,6 +79,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    claim = merkle.leaf([F.when(tampered, F.col(c) + 1).otherwise(F.col(c)) if c == "n_chars" else F.col(c) for c in merkle.FIELDS])
+    return merkle.manifest(docs, claim).withColumn("proof_sha256", F.sha2("proof", 256)).drop("proof")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
@@ -90,8 +97,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
+#: crc32 of a text as DuckDB SQL: bits of its bytes through the reflected polynomial.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, 8 * strlen({0})::bigint), lambda i: i)), lambda c, i:
+  xor((xor(c, case when i % 8 = 0 then ascii(substr({0}, i // 8 + 1, 1))::bigint else 0 end)) >> 1, case when xor(c, case when i % 8 = 0 then ascii(substr({0}, i // 8 + 1, 1))::bigint else 0 end) % 2 = 1 then 3988292384::bigint else 0 end)))"""
+
+
+def _field(c: str) -> str:
+    """A field of a leaf as DuckDB SQL."""
+    return f"coalesce(cast(strlen(cast({c} as varchar)) as varchar) || ':' || cast({c} as varchar), '-')"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": r"""
 with turns as (
@@ -190,4 +208,35 @@ with recursive words as (
     select x as doc_id, count(*) as n from links group by x
 )
 select c.doc_id, c.class_id, coalesce(n, 0) as n_links from classes c left join degree d on d.doc_id = c.doc_id""",
+    "op11_merkle_manifest": """
+with recursive keyed as (
+    select *, coalesce(cast(doc_id as varchar), '') as key, n_chars as as_is from documents
+), tampered as (
+    select *, n_chars + case when doc_id is not null and CRC % 7 = 0 then 1 else 0 end as changed from keyed
+), hashed as (
+    select doc_id, coalesce('+' || lang, '') as tree, sha256(DOC_ID || SOURCE || LANG || AS_IS || TEXT) as leaf, sha256(DOC_ID || SOURCE || LANG || CHANGED || TEXT) as claim from tampered
+), leaves as (
+    select *, row_number() over () as r, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by tree) as n from hashed
+), nodes(tree, level, i, h, n) as (
+    select tree, 0, i, leaf, n from leaves
+    union all select tree, max(level) + 1, i // 2, sha256(string_agg(h, '' order by i)), (max(n) + 1) // 2 from nodes where n > 1 group by tree, i // 2
+), subroots as (
+    select tree, h as subroot, row_number() over (order by encode(tree)) - 1 as place, count(*) over () as trees from nodes where n = 1
+), tops(level, i, h, n) as (
+    select 0, place, subroot, trees from subroots
+    union all select max(level) + 1, i // 2, sha256(string_agg(h, '' order by i)), (max(n) + 1) // 2 from tops where n > 1 group by i // 2
+), ways(r, tree, level, i, n, proof, v) as (
+    select r, tree, 0, i, n, '', claim from leaves
+    union all
+    select w.r, w.tree, w.level + 1, w.i // 2, (w.n + 1) // 2, w.proof || coalesce(s.h, ''), sha256(case when s.h is null then v when w.i % 2 = 0 then v || s.h else s.h || v end)
+    from ways w left join nodes s on s.tree = w.tree and s.level = w.level and s.i = xor(w.i, 1) where w.n > 1
+), beyond(r, level, i, n, proof, v) as (
+    select r, 0, place, trees, proof, v from ways join subroots using (tree) where n = 1
+    union all
+    select w.r, w.level + 1, w.i // 2, (w.n + 1) // 2, w.proof || coalesce(s.h, ''), sha256(case when s.h is null then v when w.i % 2 = 0 then v || s.h else s.h || v end)
+    from beyond w left join tops s on s.level = w.level and s.i = xor(w.i, 1) where w.n > 1
+)
+select doc_id, leaf, subroot, t.h as root, sha256(b.proof) as proof_sha256, b.v as folded_root, b.v = t.h as verified
+from leaves l join beyond b on b.r = l.r and b.n = 1 join subroots s on s.tree = l.tree join tops t on t.n = 1""".replace("CRC", _CRC32.format("key"))
+    .replace("DOC_ID", _field("doc_id")).replace("SOURCE", _field("source")).replace("LANG", _field("lang")).replace("AS_IS", _field("as_is")).replace("CHANGED", _field("changed")).replace("TEXT", _field("text")),
 }
