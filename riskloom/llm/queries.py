@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, langid, line_dedup, merkle, mixing, pii, quality_classifier, quality_rules, suffix_dedup
+from . import chat, decontaminate, jaccard_join, langid, line_dedup, merkle, mixing, pii, quality_classifier, quality_rules, repair, suffix_dedup
 from ._spark import table
 
 
@@ -86,6 +86,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, claim).withColumn("proof_sha256", F.sha2("proof", 256)).drop("proof")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    lines = F.concat_ws("\n", F.transform("repaired", lambda x: F.concat(x["role"], F.lit(":"), x["text"])))
+    out = repair.repair(repair.damage(turns)).withColumn("repaired_sha256", F.sha2(lines, 256)).drop("repaired")
+    ids, same = turns.select("conv_id").distinct(), F.col("i.conv_id").eqNullSafe(F.col("o.conv_id"))
+    counts = [F.coalesce(f"o.{c}", F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return ids.alias("i").join(out.alias("o"), same, "left").select(
+        "i.conv_id", *counts, F.coalesce("o.audit", F.lit("")).alias("audit"), F.coalesce("o.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
@@ -98,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: crc32 of a text as DuckDB SQL: bits of its bytes through the reflected polynomial.
@@ -239,4 +251,47 @@ with recursive keyed as (
 select doc_id, leaf, subroot, t.h as root, sha256(b.proof) as proof_sha256, b.v as folded_root, b.v = t.h as verified
 from leaves l join beyond b on b.r = l.r and b.n = 1 join subroots s on s.tree = l.tree join tops t on t.n = 1""".replace("CRC", _CRC32.format("key"))
     .replace("DOC_ID", _field("doc_id")).replace("SOURCE", _field("source")).replace("LANG", _field("lang")).replace("AS_IS", _field("as_is")).replace("CHANGED", _field("changed")).replace("TEXT", _field("text")),
+    "op13_conversation_repair": r"""
+with recursive keyed as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations
+), cases as (
+    select *, CRC % 20 as c from keyed
+), damaged as (
+    select conv_id, turn, case when c = 4 then 'user' else role end as role, case c when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when c = 3 then [0, 1] else [0] end) as again
+    from cases where c <> 0
+), placed as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), again) as i, regexp_extract_all(text, '[^\x20\x09-\x0D]') as said from damaged
+), marked as (
+    select conv_id, turn, i, role, text, case when role[1] in ('s', 'u', 'a') then role[1] else '?' end as c,
+           case when len(said) = 0 then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate' when said[-1] not in ('.', '!', '?') then 'truncated' else '' end as fault
+    from placed
+), ahead(b, s, e, lines) as (
+    values (0, 0, '', ''), (0, 2, 'I', 'user:' || chr(10)), (0, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 1, '', ''), (1, 2, 'I', 'user:' || chr(10)), (1, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+           (2, 2, '', ''), (2, 3, 'I', 'assistant:' || chr(10)), (3, 3, '', ''), (3, 2, 'I', 'user:' || chr(10))
+), acts(e, s, c, t, cost) as (
+    values ('D', 0, '', 0, 4), ('D', 1, '', 1, 4), ('D', 2, '', 2, 4), ('D', 3, '', 3, 4), ('R', 0, '', 2, 3), ('R', 1, '', 2, 3), ('R', 2, '', 3, 3), ('R', 3, '', 2, 3),
+           ('K', 0, 's', 1, 0), ('K', 0, 'u', 2, 0), ('K', 1, 'u', 2, 0), ('K', 3, 'u', 2, 0), ('K', 2, 'a', 3, 0)
+), ways as (
+    select b, t, c, ahead.e || acts.e as e, cost + 3 * length(ahead.e) as cost, lines, acts.e as act from ahead join acts using (s)
+), best(conv_id, s, i, cost, audit, lines) using key (conv_id, s) as (
+    select distinct conv_id, 0, 0::bigint, 0::bigint, '', '' from marked
+    union
+    select conv_id, t, i, x.cost, x.audit, x.lines from (
+        select b.conv_id, w.t, m.i, min({'cost': b.cost + w.cost + case when m.fault = 'truncated' and act <> 'D' then 3 else 0 end, 'audit': b.audit || w.e,
+               'lines': b.lines || w.lines || case act when 'K' then m.role || ':' || m.text || chr(10) when 'R' then case w.t when 3 then 'assistant' else 'user' end || ':' || m.text || chr(10) else '' end}) as x
+        from best b join marked m on m.conv_id is not distinct from b.conv_id and m.i = b.i + 1
+        join ways w on w.b = b.s and (w.c = '' or w.c = m.c) and (act = 'D' or m.fault not in ('blank', 'duplicate'))
+        group by b.conv_id, w.t, m.i
+    )
+), counted as (
+    select conv_id, max(i) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+           count(*) filter (where fault = 'truncated') as truncated, count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal
+    from (select *, lag(c) over (partition by conv_id order by i) || c as pair from marked) m group by conv_id
+), repaired as (
+    select b.conv_id, min({'cost': b.cost + 3 * length(a.e), 'audit': b.audit || a.e, 'lines': b.lines || a.lines}) as x
+    from best b join ahead a on a.b = b.s and a.s in (0, 3) join counted k on k.conv_id is not distinct from b.conv_id and k.n = b.i group by b.conv_id
+)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+       coalesce(x.cost, 0)::bigint as cost, coalesce(x.audit, '') as audit, sha256(coalesce(left(x.lines, length(x.lines) - 1), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counted k on k.conv_id is not distinct from o.conv_id left join repaired r on r.conv_id is not distinct from o.conv_id""".replace("CRC", _CRC32.format("key")),
 }
