@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, langid, line_dedup, merkle, mixing, pii, quality_classifier, quality_rules, repair, suffix_dedup
+from . import chat, decontaminate, jaccard_join, langid, line_dedup, merkle, mixing, pii, quality_classifier, quality_rules, repair, suffix_dedup, toxicity
 from ._spark import table
 
 
@@ -86,6 +86,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, claim).withColumn("proof_sha256", F.sha2("proof", 256)).drop("proof")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("features")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     lines = F.concat_ws("\n", F.transform("repaired", lambda x: F.concat(x["role"], F.lit(":"), x["text"])))
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_toxicity": op12_toxicity,
     "op13_conversation_repair": op13_conversation_repair,
 }
 

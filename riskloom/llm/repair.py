@@ -168,20 +168,21 @@ def repair(turns: DataFrame, block: int = 256, per_batch: int = 50_000) -> DataF
     laid = ranged(rows, "conv", F.asc_nulls_first("turn"), "role", "_sha").select(
         "conv_id", "conv", "turn", "role", "text", "_sha", F.shiftleft("_part", 33).bitwiseOR(F.col("_row")).alias("at"),
         F.when(said == "", "blank").when(~F.substr(said, F.lit(-1)).isin(*".!?"), "truncated").alias("fault"),
-    ).withColumn("block", F.floor(F.col("at") / block))
+        (F.shiftleft("_part", 33) + F.floor(F.col("_row") / block)).alias("block"), (F.col("_row") % block == 0).alias("_cut"),
+    )
 
     # the first row of each text, counted before it is sent, so that a row that is repeated for ever stays one
     first = laid.groupBy("conv", "role", "_sha").agg(F.min("at").alias("at")).select("at", F.lit(True).alias("_first"))
     fault = F.when(F.col("fault") == "blank", "blank").when(F.col("_first").isNull(), "duplicate").otherwise(F.col("fault"))
-    skinny = laid.select("conv", "block", "at", "fault", F.substr("role", F.lit(1), F.lit(1)).alias("_initial")).join(first, "at", "left")
-    marked = skinny.select("conv", "block", "at", fault.alias("fault"), F.when(F.col("_initial").isin(*"sua"), F.col("_initial")).otherwise("?").alias("initial"))
+    skinny = laid.select("conv", "block", "at", "_cut", "fault", F.substr("role", F.lit(1), F.lit(1)).alias("_initial")).join(first, "at", "left")
+    marked = skinny.select("conv", "block", "at", "_cut", fault.alias("fault"), F.when(F.col("_initial").isin(*"sua"), F.col("_initial")).otherwise("?").alias("initial"))
     letter = F.when(F.col("fault").isin("blank", "duplicate"), _GONE).when(F.col("fault") == "truncated", F.translate("initial", _PLAIN, _CUT)).otherwise(F.col("initial"))
     count = lambda kind: F.sum(F.when(F.col("fault") == kind, 1).otherwise(0)).cast("long").alias(kind)
     joined = lambda c: F.concat_ws("", F.transform("_rows", lambda r: r[c]))
-    made = marked.groupBy("conv", "block").agg(F.sort_array(F.collect_list(F.struct("at", "initial", letter.alias("letter")))).alias("_rows"), count("blank"), count("duplicate"), count("truncated"))
+    made = marked.groupBy("conv", "block").agg(F.sort_array(F.collect_list(F.struct("at", "_cut", "initial", letter.alias("letter")))).alias("_rows"), count("blank"), count("duplicate"), count("truncated"))
     pairs = F.transform(F.sequence(F.lit(1), F.length("initials")), lambda i: F.substr("initials", i, F.lit(2)))
     blocks = durable(
-        made.select("conv", "block", "blank", "duplicate", "truncated", joined("initial").alias("initials"), joined("letter").alias("letters"), (F.get("_rows", F.lit(0))["at"] % block == 0).alias("within"))
+        made.select("conv", "block", "blank", "duplicate", "truncated", joined("initial").alias("initials"), joined("letter").alias("letters"), F.get("_rows", F.lit(0))["_cut"].alias("within"))
         .withColumn("illegal", F.size(F.filter(pairs, lambda p: (F.length(p) == 2) & ~p.isin("su", "ua", "au"))).cast("long"))
     )
     n = laid.count()
