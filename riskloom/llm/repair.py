@@ -49,9 +49,12 @@ _PLAIN, _CUT, _GONE = "sua?", "SUA!", "-"
 
 
 def _ahead(state: int) -> list[tuple[int, str]]:
-    """States that up to two insertions lead to; more would pass a state twice."""
-    one = _NEXT[state]
-    return [(state, ""), (one, "I"), (_NEXT[one], "II")]
+    """States that insertions lead to, none twice."""
+    found = {state: ""}
+    while (following := _NEXT[state]) not in found:
+        found[following] = found[state] + "I"
+        state = following
+    return list(found.items())
 
 
 def moves() -> list[tuple[int, str, int, int, str]]:
