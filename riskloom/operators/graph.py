@@ -13,6 +13,7 @@ from ..functions import micros
 from .components import components as linked
 from .durable import durable
 from .louvain import louvain
+from .quantile import quantile, written
 
 
 def nodes(events: DataFrame) -> DataFrame:
@@ -94,14 +95,14 @@ def cluster_scores(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> Da
 
     Risk is 100 times the mean of size, density, mean weight and activity scores, each within 0 and 1.
     """
-    top = nodes.agg(F.percentile(F.col("event_count").cast("double"), F.lit(0.95)).alias("p95")).select(F.when(F.col("p95") == 0, 1.0).otherwise(F.col("p95")).alias("p95"), F.lit(1).alias("_one"))
+    p95 = quantile(written(nodes, "event_count"), "event_count", 0.95) or 1.0
     groups = members.join(nodes, "user_id").groupBy("cluster_id").agg(F.count("*").alias("size"), F.avg("event_count").alias("mean_events"))
     inner = edges.join(members.toDF("src", "cluster_id"), "src").groupBy("cluster_id").agg(F.count("*").alias("n_edges"), F.avg("weight").alias("mean_weight"))
-    joined = groups.join(inner, "cluster_id", "left").withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one")  # one row
+    joined = groups.join(inner, "cluster_id", "left")
     size = F.col("size").cast("double")
     density = F.when(size > 1, 2 * F.coalesce("n_edges", F.lit(0)) / (size * F.greatest(size - 1, F.lit(1.0)))).otherwise(0.0)
     weight = F.coalesce("mean_weight", F.lit(0.0))
-    parts = [F.least(F.log2(size + 1) / F.log2(F.lit(101.0)), F.lit(1.0)), density, weight, F.least(F.col("mean_events") / F.col("p95"), F.lit(1.0))]
+    parts = [F.least(F.log2(size + 1) / F.log2(F.lit(101.0)), F.lit(1.0)), density, weight, F.least(F.col("mean_events") / F.lit(p95), F.lit(1.0))]
     risk = F.lit(100.0) * (parts[0] + parts[1] + parts[2] + parts[3]) / 4
     return joined.select("cluster_id", "size", F.bround(density, 4).alias("density"), F.bround(weight, 4).alias("mean_edge_weight"), F.bround(risk, 2).alias("risk_score"))
 

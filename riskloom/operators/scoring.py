@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import AnomalyParams, Config, ModelParams
 from . import iforest
 from .durable import durable
+from .quantile import quantile, written
 
 
 def baselines(features: DataFrame, columns: list[str]) -> DataFrame:
@@ -39,8 +40,13 @@ def blend(isolation: Column, zscore: Column, p: AnomalyParams = AnomalyParams())
 
 
 def calibrated_threshold(scores: DataFrame, p: AnomalyParams = AnomalyParams()) -> DataFrame:
-    """One row: threshold, the exact quantile at 1 - target_fpr but never below risk_score_high."""
-    return scores.agg(F.percentile(F.col("risk_score").cast("double"), F.lit(1 - p.target_fpr)).alias("quantile")).select("quantile", F.greatest("quantile", F.lit(p.risk_score_high)).alias("threshold"))
+    """One row: threshold, the exact quantile at 1 - target_fpr but never below risk_score_high.
+
+    The quantile is selected at once, in passes over the scores alone, which are written for it.
+    """
+    found = quantile(written(scores, "risk_score"), "risk_score", 1 - p.target_fpr)
+    value = F.lit(found).cast("double")
+    return scores.sparkSession.range(1).select(value.alias("quantile"), F.greatest(value, F.lit(p.risk_score_high)).alias("threshold"))
 
 
 def align(features: DataFrame, columns: list[str]) -> DataFrame:

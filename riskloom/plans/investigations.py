@@ -1,7 +1,8 @@
-"""The seven investigation queries.  Each takes frames and parameters and returns a lazy plan.
+"""The seven investigation queries.  Each takes frames and parameters and returns a frame.
 
-Rankings without a partition run over aggregated rows only.  Every order has a
-unique tie-break, so that results don't depend on the physical plan.
+Rankings without a partition are made by ranges (``order.ranks``), windows over
+time in slices (``sliced``).  Every order has a unique tie-break, so that results
+don't depend on the physical plan.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import age_cohort, bucket, micros, ratio, rounded, seconds_between, start_of
+from ..operators import sliced
+from ..operators.durable import durable
+from ..operators.order import ranks as global_ranks
 from ..sources.events import between, weekly_spine
 
 
@@ -41,17 +45,18 @@ def latest_scores(scores: DataFrame) -> DataFrame:
 
 def q1_burst(events: DataFrame, profiles: DataFrame, when: Lookback = Lookback(), minutes: int = 5, factor: float = 3.0, min_events: int = 5, min_window_count: int = 1) -> DataFrame:
     """Events whose trailing window (both ends closed, equal times included) holds more than ``factor`` times what the user's hourly rate predicts."""
-    seen = events.where(when.covers("ts")).select("user_id", "ts").withColumn("_t", micros(F.col("ts")))
-    user = Window.partitionBy("user_id")
-    trailing = user.orderBy("_t").rangeBetween(-minutes * 60_000_000, 0)
-    counted = seen.select("user_id", "ts", F.count("*").over(trailing).alias("events_in_5min_window"), F.count("*").over(user).alias("_n"))
+    seen = events.where(when.covers("ts")).select("user_id", "ts")
+    width = minutes * 60_000_000
+    cut = sliced.cut(seen, micros(F.col("ts")), sliced.SLICES_PER_WINDOW * 12 * width, width)
+    per_user = seen.groupBy("user_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_events)
+    counted = sliced.trailing(cut, "user_id", events_in_5min_window=(F.lit(1), width)).join(per_user, "user_id")
     expected = F.col("_n") / F.lit(when.hours) / F.lit(60.0 / minutes)
     found = (
-        counted.where(F.col("_n") >= min_events).withColumn("_expected", expected)
+        counted.withColumn("_expected", expected)
         .where((F.col("events_in_5min_window") > F.col("_expected") * factor) & (F.col("events_in_5min_window") >= min_window_count))
         .withColumn("_ratio", F.col("events_in_5min_window") / F.nullif("_expected", F.lit(0.0)))
     )
-    rank = F.row_number().over(user.orderBy(F.desc("_ratio"), "ts"))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("_ratio"), "ts"))  # over bursts only
     return (
         found.withColumn("rank_within_user", rank).join(profiles, "user_id")
         .select("user_id", "country", F.col("is_flagged").alias("already_flagged"), F.col("ts").alias("burst_peak_ts"), "events_in_5min_window",
@@ -82,22 +87,23 @@ def q2_ip_clusters(events: DataFrame, scores: DataFrame, when: Lookback = Lookba
     """Addresses with several accounts in one time bucket, by severity."""
     buckets = ip_buckets(events.where(when.covers("ts")), width, min_accounts)
     risky = buckets.join(bucket_risk(buckets, scores, mode), ["ip_address", "bucket_start"]).where(F.col("risk") >= min_risk)
-    values = ["distinct_accounts", "risk"]  # only distinct ones are ranked
-    ranks = risky.select(*values).distinct().withColumn("_rank", F.dense_rank().over(Window.orderBy(*(F.desc(c) for c in values))))
-    return risky.join(ranks, values).select(
+    risky = durable(risky)  # ranked and joined with the ranks
+    values = ["distinct_accounts", "risk"]
+    return risky.join(global_ranks(risky, dict.fromkeys(values, True)).withColumnRenamed("dense_rank", "_rank"), values).select(
         "ip_address", "bucket_start", (F.col("bucket_start") + F.expr(f"interval {width}")).alias("bucket_end"), "distinct_accounts", "total_events",
         rounded(F.col("risk"), 4).alias("avg_risk_score"), F.col("_rank").alias("severity_rank"), accounts_text("accounts").alias("account_list"),
     )
 
 
 GENERIC_DEVICES = ("", "unknown", "N/A")
+DEVICE_SLICE = 6 * 3600 * 1_000_000  # microseconds of a device's time that one task looks at
 
 
 def device_switches(events: DataFrame, seconds: int, generic: tuple[str, ...] = GENERIC_DEVICES) -> DataFrame:
     """device_id, user_from, switch_ts, gap: neighbouring events of one device by different accounts."""
-    w = Window.partitionBy("device_id").orderBy("ts", "event_id")
-    seen = events.where(~F.col("device_id").isin(*generic)).select("device_id", "user_id", "ts", F.lag("user_id").over(w).alias("user_from"), F.lag("ts").over(w).alias("_before"))
-    gap = seconds_between(F.col("ts"), F.col("_before"))
+    named = events.where(~F.col("device_id").isin(*generic)).select("device_id", "user_id", "ts", "event_id")
+    seen = sliced.before(sliced.cut(named, micros(F.col("ts")), DEVICE_SLICE), "device_id", ["ts", "event_id"], user_from="user_id", _previous="ts")
+    gap = seconds_between(F.col("ts"), F.col("_previous"))
     return seen.where((F.col("user_from") != F.col("user_id")) & (gap <= seconds)).select("device_id", "user_from", F.col("ts").alias("switch_ts"), gap.alias("gap"))
 
 
