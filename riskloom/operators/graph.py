@@ -13,6 +13,7 @@ from ..functions import micros
 from .components import components as linked
 from .durable import durable
 from .louvain import louvain
+from .pairs import shared
 from .quantile import quantile, written
 
 
@@ -28,30 +29,50 @@ def signals(events: DataFrame, p: ClusterParams = ClusterParams()) -> DataFrame:
     return both.where(~F.col("value").isin(*p.exclude_signals)) if p.exclude_signals else both
 
 
-def shared_signals(events: DataFrame, p: ClusterParams = ClusterParams()) -> DataFrame:
-    """src < dst, shared_ips, shared_devices, total_shared for pairs with enough in common."""
-    a = signals(events, p)
-    pairs = a.withColumnRenamed("user_id", "src").join(a.withColumnRenamed("user_id", "dst"), ["kind", "value"]).where("src < dst")
-    count = lambda kind: F.sum(F.when(F.col("kind") == kind, 1).otherwise(0))
-    out = pairs.groupBy("src", "dst").agg(count("ip").alias("shared_ips"), count("device").alias("shared_devices"), F.count("*").alias("total_shared"))
-    return out.where(F.col("total_shared") >= p.min_shared_signals)
+def shared_signals(events: DataFrame, p: ClusterParams = ClusterParams(), heavy: int = 1000) -> DataFrame:
+    """src < dst, shared_ips, shared_devices, total_shared for pairs with enough in common; signals of more than ``heavy`` users by classes."""
+    found = shared(signals(events, p), p.min_shared_signals, heavy)
+    return found.select("src", "dst", F.col("ip").alias("shared_ips"), F.col("device").alias("shared_devices"), (F.col("ip") + F.col("device")).alias("total_shared"))
 
 
 @F.pandas_udf(LongType())
-def _close(a: pd.Series, b: pd.Series, width: pd.Series) -> pd.Series:
-    """Pairs of times of two sorted lists that lie within ``width`` of each other: two binary searches for each time of one."""
-    return pd.Series([int((np.searchsorted(y, x + w, "right") - np.searchsorted(y, x - w, "left")).sum()) for x, y, w in zip(a, b, width, strict=True)], dtype="int64")
+def _not_later(early: pd.Series, late: pd.Series) -> pd.Series:
+    """Pairs of two sorted lists in which the second is not above the first: a binary search for each of the first."""
+    return pd.Series([int(np.searchsorted(y, x, "right").sum()) for x, y in zip(early, late, strict=True)], dtype="int64")
+
+
+#: Times of a user and bin that one row holds.
+CHUNK = 4096
 
 
 def temporal_overlap(events: DataFrame, pairs: DataFrame, hours: float) -> DataFrame:
     """src, dst, temporal_overlap: the share of event pairs of two users that lie within ``hours`` of each other.
 
-    Times are sorted once a user; a pair of users is one row with two lists, never a row for each pair of events.
+    Times are dealt to bins of that width.  Two events of one bin are always near, so counts tell; those of neighbouring bins
+    are near if the later one stands no later in its bin, which sorted offsets tell, ``CHUNK`` at most in a row; all others are
+    too far apart.  No row holds all times of a user, and none stands for one pair of events.  Without times the share is 0.
     """
-    times = events.groupBy("user_id").agg(F.array_sort(F.collect_list(micros(F.col("timestamp")))).alias("t"))
-    both = pairs.select("src", "dst").join(times.toDF("src", "a"), "src").join(times.toDF("dst", "b"), "dst")
-    n = F.size("a").cast("double") * F.size("b")
-    return both.select("src", "dst", (_close("a", "b", F.lit(int(hours * 3_600_000_000))).cast("double") / n).alias("temporal_overlap"))
+    width = int(hours * 3_600_000_000)
+    if width <= 0:
+        raise ValueError("hours has to be positive")
+    timed = events.select("user_id", micros(F.col("timestamp")).alias("t")).where("t is not null")
+    timed = timed.select("user_id", F.floor(F.col("t") / width).cast("long").alias("bin"), F.pmod("t", F.lit(width)).alias("offset"))
+    bins = durable(timed.groupBy("user_id", "bin").agg(F.count("*").alias("n")))
+    chunk = F.pmod(F.xxhash64("offset"), F.ceil(F.col("n") / CHUNK))
+    lists = durable(timed.join(bins, ["user_id", "bin"]).groupBy("user_id", "bin", chunk.alias("chunk")).agg(F.array_sort(F.collect_list("offset")).alias("offsets")))
+    both = durable(pairs.select("src", "dst"))
+    side = lambda df, user, *more: df.select(F.col("user_id").alias(user), "bin", *more)
+    same = both.join(side(bins, "src", F.col("n").alias("a")), "src").join(side(bins, "dst", F.col("n").alias("b")), ["dst", "bin"]).select("src", "dst", (F.col("a") * F.col("b")).alias("near"))
+
+    def neighbours(early: str, late: str) -> DataFrame:
+        """Pairs of an event of ``early`` and one of ``late`` in the next bin."""
+        first = both.join(side(lists, early, F.col("offsets").alias("x")), early).withColumn("bin", F.col("bin") + 1)
+        return first.join(side(lists, late, F.col("offsets").alias("y")), [late, "bin"]).select("src", "dst", _not_later("x", "y").alias("near"))
+
+    near = same.unionByName(neighbours("src", "dst")).unionByName(neighbours("dst", "src")).groupBy("src", "dst").agg(F.sum("near").alias("near"))
+    total = bins.groupBy("user_id").agg(F.sum("n").cast("double").alias("n"))
+    out = both.join(near, ["src", "dst"], "left").join(total.toDF("src", "na"), "src", "left").join(total.toDF("dst", "nb"), "dst", "left")
+    return out.select("src", "dst", F.coalesce(F.try_divide(F.col("near").cast("double"), F.col("na") * F.col("nb")), F.lit(0.0)).alias("temporal_overlap"))
 
 
 def edges(events: DataFrame, p: ClusterParams = ClusterParams()) -> DataFrame:

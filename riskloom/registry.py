@@ -83,7 +83,7 @@ def _score_iforest(t: Tables) -> DataFrame:
 
 
 def _members(t: Tables) -> DataFrame:
-    return graph.components(graph.nodes(_view(t)), graph.shared_signals(_view(t), CLUSTERS))
+    return graph.signal_components(_view(t), CLUSTERS)  # one shared signal is enough, so no pairs are needed
 
 
 def _communities(t: Tables) -> DataFrame:
@@ -95,10 +95,6 @@ def _cluster_scores(t: Tables) -> DataFrame:
     return graph.cluster_scores(nodes, edges, graph.components(nodes, edges))
 
 
-def _graph_scores(t: Tables) -> DataFrame:
-    return _cluster_scores(t)
-
-
 def _escalated(t: Tables) -> DataFrame:
     return graph.escalate(_cluster_scores(t), threshold=40.0)
 
@@ -174,7 +170,7 @@ QUERIES: dict[str, Query] = {
     "graph_components": _on(_members),
     "graph_signal_components": _on(lambda t: graph.signal_components(_view(t), CLUSTERS)),
     "graph_louvain": _on(_communities),
-    "graph_cluster_scores": _on(_graph_scores),
+    "graph_cluster_scores": _on(_cluster_scores),
     "graph_escalated": _on(_escalated),
     "cal_rates_at_threshold": _on(lambda t: calibration.rates_at(t.scored_labels, 50.0)),
     "cal_roc": _on(lambda t: calibration.roc_curve(t.scored_labels)),
