@@ -1,15 +1,17 @@
 """Alerts: candidates as frames, and the ordered fold of dedup, rate limit and dispatch.
 
 A candidate has alert_type, entity, at (seconds) and details (JSON).  The fold
-is sequential by nature: an alert is a duplicate of the last one *sent*, and
-the rate limit is shared by all entities.  So candidates are filtered by their
-thresholds first, in parallel, and only then folded.
+depends on the order: an alert is a duplicate of the last one *sent*, and the
+rate limit is shared by all entities.  Candidates are filtered by their
+thresholds in parallel, and folded in segments of time that are repaired until
+their states fit.
 """
 
 from __future__ import annotations
 
+import math
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -17,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AlertParams, AnomalyParams
+from .durable import durable
+from .order import ranged
 
 CANDIDATE = "alert_type string, entity string, at double, details string"
 
@@ -102,19 +106,61 @@ class Dispatcher:
         return "sent"
 
 
-def fold(candidates: DataFrame, p: AlertParams = AlertParams()) -> DataFrame:
-    """Candidates with ``outcome``, as if each were sent successfully at its time; ties go by type and entity.
+_STEP = f"_part long, _state boolean, {CANDIDATE}, outcome string"
 
-    One ordered pass over all candidates, batch by batch with constant memory: the rate limit is global.  The shuffle
-    before it leaves scans and threshold filters to as many tasks as they have, and only what passes is sent on.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = Dispatcher(lambda _: True, p)
-        for pdf in batches:
-            pdf = pdf.copy()
-            pdf["outcome"] = [state(t, {}, a, e) for t, e, a in zip(pdf["alert_type"], pdf["entity"], pdf["at"], strict=True)]
-            yield pdf
+def _segment(rows: pd.DataFrame, sent: pd.DataFrame, p: AlertParams) -> pd.DataFrame:
+    """The outcomes of a segment after the alerts ``sent`` before it, then what it leaves: alerts that still count at its end."""
+    keep = max(60.0, p.dedup_window_seconds)
+    left = [(t, e, a) for a, t, e in sorted(zip(sent["at"], sent["alert_type"], sent["entity"], strict=True))]
+    state = Dispatcher(lambda _: True, p, last_sent={(t, e): a for t, e, a in left}, recent=deque(a for *_, a in left))
+    rows = rows.sort_values("_row")
+    rows["outcome"] = [state(t, {}, a, e) for t, e, a in zip(rows["alert_type"], rows["entity"], rows["at"], strict=True)]
+    new = rows.loc[rows["outcome"] == "sent", ["alert_type", "entity", "at"]]
+    after = pd.concat([pd.DataFrame(left, columns=["alert_type", "entity", "at"]).astype({"at": float}), new], ignore_index=True)
+    after = after[after["at"] > rows["at"].iloc[-1] - keep].assign(_state=True, details=None, outcome=None)
+    out = pd.concat([rows.assign(_state=False).drop(columns="_row"), after], ignore_index=True)
+    out["_part"] = rows["_part"].iloc[0]
+    return out[["_part", "_state", "alert_type", "entity", "at", "details", "outcome"]].astype(object)
+
 
-    ordered = candidates.repartition(1).sortWithinPartitions("at", "alert_type", "entity", "details")
-    return ordered.mapInPandas(run, CANDIDATE + ", outcome string")
+def fold(candidates: DataFrame, p: AlertParams = AlertParams(), per_segment: int = 20_000) -> DataFrame:
+    """Candidates with ``outcome``, in order, as if each were sent successfully at its time; ties go by type and entity.
+
+    Dedup and rate limit run over all candidates in order of time, but what counts of the past is only what was sent within
+    the longer of the dedup window and a minute, which the rate limit bounds.  So time is cut into segments that are folded
+    in parallel, first as if nothing had been sent before; then each gets what the segment before it leaves, and those that
+    this changes are folded again, until none is.  The first segments are right after as many rounds, so this ends; usually
+    it takes a few, since a segment forgets what came before it.
+    """
+    order = ["at", "alert_type", "entity", "details"]
+    named = candidates.select("alert_type", "entity", F.col("at").cast("double").alias("at"), "details")
+    laid = durable(named)
+    cut = ranged(laid, *order, parts=max(1, math.ceil(laid.count() / per_segment)))
+    parts = sorted(r._part for r in cut.select("_part").distinct().collect())  # a number for each segment
+    none = cut.sparkSession.createDataFrame([], "_part long, alert_type string, entity string, at double")
+
+    def run(segments: list[int], sent: DataFrame) -> DataFrame:
+        rows = cut.where(F.col("_part").isin(segments)) if len(segments) < len(parts) else cut
+        return durable(rows.groupBy("_part").cogroup(sent.groupBy("_part")).applyInPandas(lambda r, s: _segment(r, s, p) if len(r) else pd.DataFrame(columns=["_part", "_state", *order, "outcome"]), _STEP))
+
+    def left(done: DataFrame) -> dict[int, str]:
+        state = F.sort_array(F.collect_list(F.struct("at", "alert_type", "entity")))
+        return {r._part: r.digest for r in done.where("_state").groupBy("_part").agg(F.sha2(F.to_json(state), 256).alias("digest")).collect()}
+
+    following = dict(zip(parts, parts[1:], strict=False))
+    after = F.create_map(*(F.lit(x).cast("long") for pair in following.items() for x in pair)) if following else None
+    done = run(parts, none) if parts else None
+    given = dict.fromkeys(parts, "")
+    while following:
+        leaves = left(done)
+        now = {p_: leaves.get(before, "") for before, p_ in following.items()}
+        stale = [p_ for p_, digest in now.items() if digest != given[p_]]
+        if not stale:
+            break
+        given |= now
+        sent = done.where("_state").select(F.element_at(after, F.col("_part")).alias("_part"), "alert_type", "entity", "at").where(F.col("_part").isin(stale))
+        done = durable(done.where(~F.col("_part").isin(stale)).unionByName(run(stale, sent)))
+    if done is None:
+        return named.withColumn("outcome", F.lit(None).cast("string"))
+    return done.where(~F.col("_state")).select("alert_type", "entity", "at", "details", "outcome").orderBy(*order)

@@ -332,6 +332,18 @@ ORACLE_SQL: dict[str, str] = {
     "cal_optimal_threshold": _with("scored_labels", *_CURVE, "select threshold, fpr, tpr from best"),
     "cal_auto_adjust": _ADJUST,
     "cal_report": _with("scored_labels", *_CURVE, "select round(threshold, 6) as optimal_threshold, cast(0.2 as double) as max_fpr_constraint, round(fpr, 6) as fpr, round(tpr, 6) as tpr, round(1 - tpr, 6) as fnr, round(roc_auc, 6) as roc_auc, round(ap, 6) as average_precision, '1.0.0' as model_version from best cross join areas"),
+    "alert_fold": _with("anomaly_scores",
+        """candidates as (select *, row_number() over (order by tt, entity, details) as i from (
+            select 'user_high_risk' as alert_type, cast(user_id as varchar) as entity, cast(epoch(computed_at) as double) as tt,
+                   '{"user_id":' || user_id || ',"risk_score":' || cast(combined_risk_score * 100 as varchar) || ',"threshold":70.0}' as details from anomaly_scores where combined_risk_score * 100 >= 70) c)""",
+        """folded(i, outcome, sent) as (
+            select 0::bigint, '', []::struct(k varchar, t double)[]
+            union all
+            select i, outcome, case when outcome = 'sent' then list_append(kept, {'k': entity, 't': tt}) else kept end from (
+                select c.i, c.entity, c.tt, list_filter(f.sent, lambda x: c.tt - x.t < 2592000) as kept,
+                       case when len(list_filter(f.sent, lambda x: x.k = c.entity and c.tt - x.t < 2592000)) > 0 then 'deduplicated' when len(list_filter(f.sent, lambda x: c.tt - x.t < 60)) >= 5 then 'rate_limited' else 'sent' end as outcome
+                from folded f join candidates c on c.i = f.i + 1) step)""",
+        "select alert_type, entity, tt as at, details, outcome from folded join candidates using (i)").replace("with ", "with recursive ", 1),
     "alert_candidates_user": _with("latest_scores", "select 'user_high_risk' as alert_type, cast(user_id as varchar) as entity, cast(0 as double) as at from latest_scores where combined_risk_score * 100 >= 70"),
     "alert_candidates_cluster": _with("abuse_clusters", "select 'cluster_high_risk' as alert_type, cast(cluster_id as varchar) as entity, cast(0 as double) as at from abuse_clusters where case when avg_risk_score <= 1 then avg_risk_score * 100 else avg_risk_score end >= 70"),
     "alert_spike": _with("enforcement_actions",

@@ -119,7 +119,7 @@ def _daily(t: Tables) -> DataFrame:
 
 def _alert_fold(t: Tables) -> DataFrame:
     scored = t.anomaly_scores.select("user_id", (F.col("combined_risk_score") * 100).alias("risk_score"), F.unix_seconds(F.col("computed_at").cast("timestamp")).alias("at"))
-    return alerts.fold(alerts.user_candidates(scored, at=F.col("at")), AlertParams(rate_limit_per_minute=5, dedup_window_seconds=30 * 86_400.0)).select("alert_type", "entity", "at", "outcome")
+    return alerts.fold(alerts.user_candidates(scored, at=F.col("at")), AlertParams(rate_limit_per_minute=5, dedup_window_seconds=30 * 86_400.0))
 
 
 def _valid(t: Tables) -> DataFrame:

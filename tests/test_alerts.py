@@ -62,6 +62,21 @@ def test_fold_equals_a_loop(spark):
     assert [tuple(r) for r in got] == want
 
 
+@pytest.mark.parametrize(("per_segment", "limit", "window"), [(10_000, 3, 300.0), (12, 2, 45.0), (7, 5, 1e9)])
+def test_segments_of_any_length_give_the_same(spark, per_segment, limit, window):
+    rng = random.Random(per_segment)
+    rows = [(rng.choice("ab"), f"u{rng.randrange(6)}", rng.choice([float(rng.randrange(900)), 100.0, 101.0]), json.dumps(i % 3)) for i in range(45)]
+    p = AlertParams(rate_limit_per_minute=limit, dedup_window_seconds=window)
+    got = alerts.fold(spark.createDataFrame(rows, alerts.CANDIDATE).repartition(3), p, per_segment).collect()
+    d = alerts.Dispatcher(lambda _: True, p)
+    want = [(*r, d(r[0], {}, r[2], r[1])) for r in sorted(rows, key=lambda r: (r[2], r[0], r[1], r[3]))]
+    assert [tuple(r) for r in got] == want and len({r.outcome for r in got}) >= 2
+
+
+def test_nothing_to_fold(spark):
+    assert alerts.fold(spark.createDataFrame([], alerts.CANDIDATE), P).count() == 0
+
+
 def test_webhook_retries_with_growing_pauses():
     answers, pauses = [500, OSError("down"), 200], []
 
