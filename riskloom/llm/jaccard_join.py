@@ -30,8 +30,9 @@ member of its part of the bucket, never the pairs, so rows out are in proportion
 to rows in.  Classes of linked documents are then found by label propagation.
 
 Cases: documents without a word, null or empty, link to nothing, nor do rows
-without doc_id; repeated rows of one doc_id are one document, and of several
-texts of one doc_id the one with the smallest set hash stands for it; ids are
+without doc_id; equal rows of one doc_id are one document, and different texts of
+one doc_id are compared each by itself: no link of any is lost, the document's
+links are their sum, and it joins the classes that its texts are in; ids are
 integers; an empty table gives an empty result; a text of any length is read
 whole; other columns are ignored, whatever their names.
 """
@@ -44,10 +45,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
+from ..operators.order import positions
 from ._spark import bucketed, durable, shards
 from ._text import mix, shingle_sets, slices, utf8
 
@@ -156,17 +158,6 @@ def _sets(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.mapInArrow(run, "rep long, shingles binary")
 
 
-def _keyed(sets: DataFrame) -> DataFrame:
-    """Adds the key of each packed set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, off = _unpacked(pa.chunked_array([batch.column("shingles")]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_set_key(values.view(np.uint64), off).view(np.int64))], names=["rep", "shingles", "set_key"])
-
-    return sets.mapInArrow(run, "rep long, shingles binary, set_key long")
-
-
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Values and offsets of a list column."""
     size = np.concatenate([np.diff(np.asarray(c.offsets)) for c in column.chunks]) if column.num_chunks else np.zeros(0, np.int64)
@@ -316,29 +307,17 @@ def _links(sets: DataFrame, inside: DataFrame, classes: DataFrame, s: Settings)
     return work.groupBy("bucket", "i", "j").applyInArrow(run, "rep long, links long, root long")
 
 
-def jaccard_join(docs: DataFrame, s: Settings | None = None) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its near-duplicate class) and n_links (other documents at the threshold or above)."""
-    s = s or Settings()
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    known = rows.where("id is not null")
-    sketches = durable(_sketches(known, s))
-    # rows of one doc_id: the one with the smallest set
-    repeated = not sketches.groupBy("id").count().where("count > 1").isEmpty()
-    if repeated:
-        sketches = durable(sketches.groupBy("id").agg(F.min(F.struct("set_key", "nodes")).alias("x")).select("id", "x.*"))
+def _by_row(known: DataFrame, sketches: DataFrame, s: Settings) -> DataFrame:
+    """id, class_id (smallest id of its class), n_links for ``known`` (id, text), whose ids are unique; ``sketches`` are theirs."""
     classes = durable(sketches.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("nodes").alias("nodes")))
 
     met = classes.select("rep", F.explode("nodes").alias("node"))
     inside = durable(met.withColumnRenamed("node", "bucket").join(_met(met), "bucket").select("rep", "bucket", "n"))
 
     members = inside.select("rep").distinct()
-    parts = shards(docs, s.part, members.count())
-    texts = (known if repeated else known.repartition(parts, "id")).join(members.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id", "left_semi")
-    sets = _sets(texts, s)
-    if repeated:  # the text whose set was taken above
-        keys = sketches.select(F.col("id").alias("rep"), "set_key")
-        sets = _keyed(sets).join(keys, ["rep", "set_key"], "left_semi").dropDuplicates(["rep"]).drop("set_key").repartition(parts, "rep")
-    with bucketed(sets, "rep", parts) as sets:
+    parts = shards(known, s.part, members.count())
+    texts = known.repartition(parts, "id").join(members.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id", "left_semi")
+    with bucketed(_sets(texts, s), "rep", parts) as sets:
         found = durable(_links(sets, split_large(inside, sets, s), classes, s))
     labels = components(found.where("rep <> root").select("rep", "root"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -346,8 +325,61 @@ def jaccard_join(docs: DataFrame, s: Settings | None = None) -> DataFrame:
         classes.select("set_key", "rep", "copies").join(links, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         .select("set_key", F.coalesce("label", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
-    known_ids = sketches.select("id", "set_key").join(facts, "set_key").select("id", "class_id", "n_links")
+    return sketches.select("id", "set_key").join(facts, "set_key").select("id", "class_id", "n_links")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+
+
+def _sha(text: Column) -> Column:
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
+def _joined(known: DataFrame, s: Settings) -> tuple[DataFrame, bool]:
+    """id, class_id, n_links by id and False; where ids repeat, a row for each id and text, with ``sha`` and ``class_sha``, and True."""
+    sketches = durable(_sketches(known, s))
+    if sketches.groupBy("id").count().where("count > 1").isEmpty():
+        return _by_row(known, sketches, s), False
+    # numbers in the order of the ids stand for the distinct rows
+    told = known.withColumn("sha", _sha(F.col("text")))
+    keys = durable(positions(told.select("id", "sha").distinct(), "id", "sha").withColumnRenamed("_at", "key"))
+    rows = durable(told.join(keys, ["id", "sha"]).select(F.col("key").alias("id"), "text").dropDuplicates(["id"]))
+    found = _by_row(rows, durable(_sketches(rows, s)), s).withColumnRenamed("id", "key")
+    first = keys.select(F.col("key").alias("_first"), F.col("id").alias("class_id"), F.col("sha").alias("class_sha"))
+    named = keys.join(found.withColumnRenamed("class_id", "_first"), "key", "left")
+    # texts without a word are in no class, and no others link to them
+    out = named.join(first, "_first", "left").select("id", "sha", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_sha", "sha").alias("class_sha"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return durable(out), True
+
+
+def jaccard_join(docs: DataFrame, s: Settings | None = None) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of its near-duplicate class) and n_links (other documents at the threshold or above).
+
+    Different texts of one doc_id are rows of their own: all are compared, n_links is the sum over them, and the document
+    links what they are in to one class.
+    """
+    s = s or Settings()
+    rows = _rows(docs)
+    found, repeated = _joined(rows.where("id is not null"), s)
+    if repeated:
+        links = found.groupBy("id").agg(F.sum("n_links").alias("n_links"))
+        label = components(found.where("id <> class_id").select("id", "class_id").distinct()).toDF("id", "class_id")
+        found = links.join(label, "id", "left")
     return (
-        rows.select("id").distinct().join(known_ids, "id", "left")
+        rows.select("id").distinct().join(found.select("id", "class_id", "n_links"), "id", "left")
         .select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
+
+
+def one_of_each(docs: DataFrame, s: Settings | None = None) -> DataFrame:
+    """The rows of ``docs`` without near copies of others: of each class, those of the smallest doc_id (then of the text with the smallest hash).
+
+    Rows are told apart by doc_id and text, so a text that is nowhere else stays, whatever other rows have its doc_id.
+    """
+    s = s or Settings()
+    found, repeated = _joined(_rows(docs).where("id is not null"), s)
+    if not repeated:
+        return docs.join(found.where("id <> class_id").select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    gone = found.where((F.col("id") != F.col("class_id")) | (F.col("sha") != F.col("class_sha"))).select(F.col("id").alias("doc_id"), F.col("sha").alias("_rl_sha"))
+    return docs.withColumn("_rl_sha", _sha(F.col("text"))).join(gone, ["doc_id", "_rl_sha"], "left_anti").select(*docs.columns)

@@ -93,6 +93,44 @@ def test_odd_rows(make, rng):
     assert jj.jaccard_join(make({})).count() == 0
 
 
+def by_rows(rows):
+    """Links and classes of ids, and the rows that stay, from all pairs of different (doc_id, text)."""
+    import hashlib
+
+    texts = sorted({(d, t or "") for d, t in rows if d is not None}, key=lambda r: (r[0], hashlib.sha256(r[1].encode()).hexdigest()))
+    found = brute(enumerate(t for _, t in texts))
+    links, parent = Counter(), {d: d for d, _ in texts}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (d, _) in enumerate(texts):
+        links[d] += found[i][1]
+        a, b = top(d), top(texts[found[i][0]][0])
+        parent[max(a, b)] = min(a, b)
+    kept = {r for i, r in enumerate(texts) if found[i][0] == i}
+    return {d: (top(d), links[d]) for d, _ in texts}, Counter((d, t) for d, t in rows if d is None or (d, t or "") in kept)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repeated_ids_lose_neither_links_nor_texts(make, seed):
+    """Ids with several texts, in both orders of their hashes, null ids, empty texts, equal rows."""
+    rng = random.Random(seed)
+    bases = [prose(rng, rng.randrange(8, 60)) for _ in range(12)]
+    pool = bases + [near(rng, b, 1) for b in bases] + ["", None, "one two"]
+    rows = [(rng.choice([None, *range(25)]), rng.choice(pool)) for _ in range(70)]
+    if seed == 0:
+        rows = [(1, bases[1]), (5, bases[0]), (5, bases[1]), (6, bases[1]), (7, bases[0])]
+    if seed == 1:
+        rows = [(1, bases[0]), (5, bases[0]), (5, bases[1]), (6, bases[1]), (7, bases[0])]
+    want, kept = by_rows(rows)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jj.jaccard_join(make(rows)).collect() if r.doc_id is not None}
+    assert got == want
+    assert Counter((r.doc_id, r.text) for r in jj.one_of_each(make(rows)).collect()) == kept
+
+
 def test_common_counts():
     rng = np.random.default_rng(2)
     lists = [np.unique(rng.integers(0, 60, rng.integers(0, 30))) for _ in range(25)]
