@@ -10,10 +10,10 @@ Cases: what the operators say of nulls, ties, repeated rows and long texts holds
 for each stage.  A null or empty text is scored by the bias alone, repeats
 nothing, resembles nothing and has size 0, so the mix leaves it out.  Without
 labels every score is 0.5, which passes; without a benchmark nothing leaks; an
-empty table gives an empty mix.  Rows of one doc_id go by the operators' rules:
-where that id is a copy of a smaller one, all its rows go.  Columns that clash
-with those that a stage adds keep their place and values, but for copy and
-virtual_finish, which the mix replaces.
+empty table gives an empty mix.  Rows of one doc_id are told apart by their
+texts: a text that is nowhere else stays, though another row of its id is a copy.
+Columns that clash with those that a stage adds keep their place and values, but
+for copy and virtual_finish, which the mix replaces.
 """
 
 from __future__ import annotations
@@ -60,10 +60,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the smallest doc_id."""
-    found = jaccard_join.jaccard_join(docs)
-    copies = found.where("doc_id <> class_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate class: the one with the smallest doc_id; different texts of one doc_id are told apart."""
+    return jaccard_join.one_of_each(docs)
 
 
 @_own_names
