@@ -356,5 +356,13 @@ ORACLE_SQL: dict[str, str] = {
     "ext_aum_daily": _with("aggregated_user_metrics", "select *, window_start + interval '1' day as window_end from aggregated_user_metrics"),
     "ext_window_activity": _with("raw_events", "counted as (" + " union all ".join(f"select user_id, '{k}' as window_type, make_timestamp((epoch_us(ts) // {s * 1_000_000}) * {s * 1_000_000}) as window_start, count(*) as action_count from raw_events group by 1, 2, 3" for k, s in _WIDTHS.items()) + ")",
         "select user_id, window_type, window_start, action_count, cast(action_count as double) / max(action_count) over (partition by window_type) as burst_score from counted"),
+    "ext_stream_alerts": """with recursive candidates as (
+            select event_type as alert_type, cast(user_id as varchar) as entity, epoch_us(ts) / 1e6::double as tt from events
+        ), firsts(alert_type, entity, tt) as (
+            select alert_type, entity, min(tt) from candidates group by 1, 2
+            union all
+            select f.alert_type, f.entity, min(c.tt) from firsts f join candidates c on c.alert_type = f.alert_type and c.entity = f.entity and c.tt - f.tt >= 86400 group by f.alert_type, f.entity, f.tt
+        ) select c.alert_type, c.entity, c.tt as at, case when f.tt is not null and c.n = 1 then 'sent' else 'deduplicated' end as outcome
+        from (select *, row_number() over (partition by alert_type, entity, tt) as n from candidates) c left join firsts f on f.alert_type = c.alert_type and f.entity = c.entity and f.tt = c.tt""",
     "ext_stream_windows": "select user_id, date_trunc('day', ts) as window_start, count(*) as action_count from events group by 1, 2",
 }

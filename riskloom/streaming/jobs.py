@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import math
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..config import AlertParams
 from ..operators.alerts import Dispatcher
@@ -43,26 +46,54 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "1 ho
     return grouped.agg(F.count("*").alias("n_events")).select("user_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n_events")
 
 
-def deduplicated_alerts(candidates: DataFrame, p: AlertParams = AlertParams()) -> DataFrame:
-    """Alerts (alert_type, entity, at) with outcome, by a state for each entity: the time of the last alert sent.
+#: State in RocksDB, on the executors' disks and in the checkpoint, which ``transformWithState`` needs.
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
-    Dedup is per entity and runs in parallel; the global rate limit belongs to the sink (see ``sink``).  An entity's
-    state is one number; it has no timeout, since one by processing time never lets a stream over what is there end.
-    """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else float("-inf")
-        rows = pd.concat(list(batches)).sort_values("at")
+class LastSent(StatefulProcessor):
+    """An entity's state: the time of the last alert sent, until the watermark has passed its dedup window."""
+
+    def __init__(self, window: float) -> None:
+        self.window = window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = last = self.last.get()[0] if self.last.exists() else float("-inf")
+        batch = pd.concat(list(rows)).sort_values("at")
         outcome = []
-        for at in rows["at"]:
-            fresh = at - last >= p.dedup_window_seconds
+        for at in batch["at"]:
+            fresh = at - last >= self.window
             outcome.append("sent" if fresh else "deduplicated")
             last = at if fresh else last
-        state.update((float(last),))
-        yield pd.DataFrame({"alert_type": key[0], "entity": key[1], "at": rows["at"], "outcome": outcome})
+        if last != before:
+            self.last.update((float(last),))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(math.ceil((last + self.window) * 1000))
+        yield pd.DataFrame({"alert_type": key[0], "entity": key[1], "at": batch["at"], "outcome": outcome})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """No row that is still to come is within the window, as rows behind the watermark are left out."""
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def deduplicated_alerts(candidates: DataFrame, p: AlertParams = AlertParams(), late: str = "1 hour") -> DataFrame:
+    """Alerts (alert_type, entity, at in seconds) with outcome, by a state for each entity: the time of the last alert sent.
 
+    Dedup is per entity and runs in parallel; the global rate limit belongs to the sink (see ``sink``).  A state ends by a timer
+    when the watermark passes its dedup window, so the store holds the entities of the last window only.  Candidates later
+    than ``late`` are left out.
+    """
     out = "alert_type string, entity string, at double, outcome string"
-    return candidates.groupBy("alert_type", "entity").applyInPandasWithState(step, out, "last double", "append", GroupStateTimeout.NoTimeout)
+    timed = candidates.select("alert_type", "entity", "at", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("_time")).withWatermark("_time", late)
+    return timed.groupBy("alert_type", "entity").transformWithStateInPandas(LastSent(p.dedup_window_seconds), out, "append", "eventTime")
 
 
 def sink(dispatcher: Dispatcher):
@@ -75,8 +106,11 @@ def sink(dispatcher: Dispatcher):
     return send
 
 
-def run_to_end(stream: DataFrame, name: str | None = None, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns its output, which is written to the shared folder, one part a batch."""
+def run(stream: DataFrame, name: str | None = None, mode: str = "append", keys: tuple[str, ...] = ()) -> tuple[DataFrame, StreamingQuery]:
+    """Runs a stream over what is there; its output, written to the shared folder, one part a batch, and the query that ended.
+
+    In update mode the last row of each of ``keys`` counts, whichever batch it came in; in complete mode the last batch.
+    """
     spark, name = stream.sparkSession, name or f"out_{uuid.uuid4().hex}"
     folder, schema, done = f"{shared_dir(spark)}/{name}", stream.schema, []
 
@@ -84,24 +118,43 @@ def run_to_end(stream: DataFrame, name: str | None = None, mode: str = "append")
         batch.write.mode("overwrite").parquet(f"{folder}/parts/{epoch}")
         done.append(epoch)
 
-    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    kept = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:
+        query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
-    parts = sorted(set(done)) if mode == "append" else done[-1:]  # else each batch has the whole result
-    return spark.read.schema(schema).parquet(*(f"{folder}/parts/{e}" for e in parts)) if parts else spark.createDataFrame([], schema)
+    parts = done[-1:] if mode == "complete" else sorted(set(done))
+    if not parts:
+        return spark.createDataFrame([], schema), query
+    if mode != "update":
+        return spark.read.schema(schema).parquet(*(f"{folder}/parts/{e}" for e in parts)), query
+    every = [spark.read.schema(schema).parquet(f"{folder}/parts/{e}").withColumn("_epoch", F.lit(e)) for e in parts]
+    rows = functools.reduce(DataFrame.unionByName, every)
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_epoch").alias("_last")).select(*(F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in stream.columns)), query
+
+
+def run_to_end(stream: DataFrame, name: str | None = None, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """The output of a stream over what is there (see ``run``)."""
+    return run(stream, name, mode, keys)[0]
 
 
 def stream_windows_query(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily counts a user from the event file read as a stream; complete mode, so all windows are there."""
-    events = _one_file(spark, folder)
+    """Daily counts a user from the event file read as a stream; in update mode, so open windows are there, and closed ones leave the store."""
+    events = _one_file(spark, folder).withWatermark("ts", "1 day")
     counts = events.groupBy("user_id", F.window("ts", "1 day")).agg(F.count("*").alias("action_count"))
     out = counts.select("user_id", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "action_count")
-    return run_to_end(out, mode="complete")
+    return run_to_end(out, mode="update", keys=("user_id", "window_start"))
 
 
 def stream_alerts_query(spark: SparkSession, folder: str) -> DataFrame:
-    """Dedup of one alert for every event of large value, by user, over the event file read as a stream."""
-    events = _one_file(spark, folder).where("value > 100")
-    candidates = events.select(F.lit("large_value").alias("alert_type"), F.col("user_id").cast("string").alias("entity"), (F.unix_micros("ts") / 1e6).alias("at"))
+    """Dedup of one alert for every event, by user and kind, over the event file read as a stream."""
+    events = _one_file(spark, folder)
+    candidates = events.select(F.col("event_type").alias("alert_type"), F.col("user_id").cast("string").alias("entity"), (F.unix_micros("ts") / 1e6).alias("at"))
     return run_to_end(deduplicated_alerts(candidates, AlertParams(dedup_window_seconds=86_400.0)))
 
 

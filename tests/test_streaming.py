@@ -41,3 +41,25 @@ def test_alert_state_and_sink(spark, tmp_path):
     sent = []
     jobs.sink(Dispatcher(lambda x: sent.append(x) or True, AlertParams(dedup_window_seconds=0)))(got, 0)
     assert len(sent) == 3
+
+
+def test_state_ends_behind_the_watermark(spark, tmp_path):
+    """Two entities are stored; when the watermark has passed their dedup windows, only that of the last event is left."""
+    from pyspark.sql import functions as F
+
+    stream = files(spark, tmp_path, [(1, 0, 1), (2, 1, 1), (3, 2, 2)], [(4, 3, 2), (5, 500, 3)], [(6, 501, 3)])
+    candidates = stream.select(F.lit("t").alias("alert_type"), F.col("user_id").cast("string").alias("entity"), F.unix_seconds("ts").cast("double").alias("at"))
+    got, query = jobs.run(jobs.deduplicated_alerts(candidates, AlertParams(dedup_window_seconds=600), late="10 minutes"))
+    assert sorted((r.entity, r.outcome) for r in got.collect()) == [("1", "deduplicated"), ("1", "sent"), ("2", "deduplicated"), ("2", "sent"), ("3", "deduplicated"), ("3", "sent")]
+    sizes = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert max(sizes) > sizes[-1] and all(r is not None for r in sizes)
+
+
+def test_updated_windows_keep_their_last_row(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    stream = files(spark, tmp_path, [(1, 0, 1), (2, 1, 2)], [(3, 2, 1)], [(4, 3000, 1)])
+    counts = stream.withWatermark("ts", "1 hour").groupBy("user_id", F.window("ts", "1 day")).agg(F.count("*").alias("n")).select("user_id", F.col("window.start").alias("start"), "n")
+    got, query = jobs.run(counts, mode="update", keys=("user_id", "start"))
+    assert sorted((r.user_id, r.n) for r in got.collect()) == [(1, 1), (1, 2), (2, 1)]
+    assert [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators][-1] == 1
