@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -93,6 +93,15 @@ def auto_adjust(current: float, observed_fpr: float, target_fpr: float) -> float
     return max(0.0, min(100.0, current + step))
 
 
+def adjusted(current: Column, observed_fpr: Column, target_fpr: float) -> Column:
+    """``auto_adjust`` as an expression, for thresholds that are rows; null where either is."""
+    if target_fpr <= 0:
+        raise ValueError("target_fpr must be positive")
+    bounded = lambda x, low, high: F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
+    step = bounded((observed_fpr - F.lit(target_fpr)) / F.lit(target_fpr) * F.lit(2.0), -5.0, 5.0)
+    return bounded(current + step, 0.0, 100.0)
+
+
 @dataclass
 class Report:
     """A one-row summary and the two curves, which stay frames."""

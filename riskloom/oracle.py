@@ -289,9 +289,6 @@ _CURVE = [
     "best as (select * from roc where fpr <= 0.2 order by tpr desc, threshold desc limit 1)",
     "areas as (select sum((fp - coalesce(fp0, 0)) * cast(tp + coalesce(tp0, 0) as double)) / 2 / max(cast(np as double) * nn) as roc_auc, sum((tp - coalesce(tp0, 0)) / cast(np as double) * (tp / cast(tp + fp as double))) as ap from bent)",
 ]
-_ADJUST = "select i as case_id, c as \"current\", o as observed, 0.02::double as target, greatest(0, least(100, c + greatest(-5, least(5, (o - 0.02::double) / 0.02::double * 2)))) as adjusted from (values " + ", ".join(
-    f"({i}::bigint, {c}::double, {o}::double)" for i, (c, o) in enumerate((c, o) for c in (1.0, 50.0, 99.0) for o in (0.0, 0.01, 0.02, 0.03, 0.2))
-) + ") v(i, c, o)"
 _CHECKS = {
     "user_profiles": "account_age_days < 0",
     "aggregated_user_metrics": "action_count < 0 or success_rate < 0 or success_rate > 1",
@@ -330,7 +327,7 @@ ORACLE_SQL: dict[str, str] = {
     "cal_pr": _with("scored_labels", *_CURVE, "select threshold, tp / cast(tp + fp as double) as precision, tp / cast(np as double) as recall from curve union all select null, 1, 0"),
     "cal_auc_ap": _with("scored_labels", *_CURVE, f"select {_r('roc_auc', 9)} as roc_auc, {_r('ap', 9)} as average_precision from areas"),
     "cal_optimal_threshold": _with("scored_labels", *_CURVE, "select threshold, fpr, tpr from best"),
-    "cal_auto_adjust": _ADJUST,
+    "cal_auto_adjust": _with("threshold_history", "select threshold_id, metric_name, threshold_value as \"current\", false_positive_rate as observed, 0.02::double as target, greatest(0::double, least(100::double, threshold_value + greatest(-5::double, least(5::double, (false_positive_rate - 0.02::double) / 0.02::double * 2::double)))) as adjusted from threshold_history"),
     "cal_report": _with("scored_labels", *_CURVE, "select round(threshold, 6) as optimal_threshold, cast(0.2 as double) as max_fpr_constraint, round(fpr, 6) as fpr, round(tpr, 6) as tpr, round(1 - tpr, 6) as fnr, round(roc_auc, 6) as roc_auc, round(ap, 6) as average_precision, '1.0.0' as model_version from best cross join areas"),
     "alert_fold": _with("anomaly_scores",
         """candidates as (select *, row_number() over (order by tt, entity, details) as i from (
@@ -352,7 +349,9 @@ ORACLE_SQL: dict[str, str] = {
         "select period, n as enforcement_count, round(m, 2) as rolling_mean, round(sd, 2) as rolling_std, round((n - m) / sd, 4) as z_score, (n - m) / sd > 3 as is_spike from counts cross join s where period = (select max(period) from counts)"),
     "src_validate": _with(" ".join(_CHECKS), " union all ".join(f"select '{t}' as table_name, count(*) as violations from {t} where {c}" for t, c in _CHECKS.items())),
     "src_dedup_events": _with("feature_events", "select event_id, user_id, timestamp, action, ip_address, device_id, enforced from (select *, date_trunc('day', ts) as timestamp, row_number() over (partition by user_id, date_trunc('day', ts), action order by event_id) as rn from feature_events) e where rn = 1"),
-    "src_weekly_spine": f"with {_SPINE} select week_start from spine",
+    "src_weekly_spine": _with("enforcement_actions", "counted as (select date_trunc('week', triggered_at) as w, count(*) as n from enforcement_actions where triggered_at is not null group by 1)",
+        "spine as (select unnest(generate_series((select min(w) from counted), (select max(w) from counted), interval '7 days')) as week_start)",
+        "select cast(week_start as timestamp) as week_start, coalesce(n, 0) as events from spine left join counted on w = week_start"),
     "ext_aum_daily": _with("aggregated_user_metrics", "select *, window_start + interval '1' day as window_end from aggregated_user_metrics"),
     "ext_window_activity": _with("raw_events", "counted as (" + " union all ".join(f"select user_id, '{k}' as window_type, make_timestamp((epoch_us(ts) // {s * 1_000_000}) * {s * 1_000_000}) as window_start, count(*) as action_count from raw_events group by 1, 2, 3" for k, s in _WIDTHS.items()) + ")",
         "select user_id, window_type, window_start, action_count, cast(action_count as double) / max(action_count) over (partition by window_type) as burst_score from counted"),

@@ -99,9 +99,10 @@ def _escalated(t: Tables) -> DataFrame:
     return graph.escalate(_cluster_scores(t), threshold=40.0)
 
 
-def _auto_adjust(spark: SparkSession, folder: str) -> DataFrame:
-    cases = [(t, o, 0.02) for t in (1.0, 50.0, 99.0) for o in (0.0, 0.01, 0.02, 0.03, 0.2)]
-    return spark.createDataFrame([(i, *c, calibration.auto_adjust(*c)) for i, c in enumerate(cases)], "case_id long, current double, observed double, target double, adjusted double")
+def _auto_adjust(t: Tables) -> DataFrame:
+    """What the next threshold would be after each entry of the history, for a target of 2 % false positives."""
+    now, rate = F.col("threshold_value"), F.col("false_positive_rate")
+    return t.threshold_history.select("threshold_id", "metric_name", now.alias("current"), rate.alias("observed"), F.lit(0.02).alias("target"), calibration.adjusted(now, rate, 0.02).alias("adjusted"))
 
 
 def _alert_users(t: Tables) -> DataFrame:
@@ -177,7 +178,7 @@ QUERIES: dict[str, Query] = {
     "cal_pr": _on(lambda t: calibration.pr_curve(t.scored_labels)),
     "cal_auc_ap": _on(lambda t: _digits(calibration.auc_ap(t.scored_labels))),
     "cal_optimal_threshold": _on(lambda t: calibration.optimal_threshold(t.scored_labels, 0.2)),
-    "cal_auto_adjust": _auto_adjust,
+    "cal_auto_adjust": _on(_auto_adjust),
     "cal_report": _on(lambda t: calibration.report(t.scored_labels, 0.2).summary),
     "alert_candidates_user": _on(_alert_users),
     "alert_candidates_cluster": _on(_alert_clusters),
@@ -185,7 +186,7 @@ QUERIES: dict[str, Query] = {
     "alert_fold": _on(_alert_fold),
     "src_validate": _on(_valid),
     "src_dedup_events": _on(_normalised),
-    "src_weekly_spine": lambda spark, folder: ev.weekly_spine(spark, ORDERS.start, ORDERS.end),
+    "src_weekly_spine": _on(lambda t: ev.weekly_counts(t.enforcement_actions, "triggered_at")),
     "ext_aum_daily": _on(lambda t: producers.daily_metrics(t.raw_events)),
     "ext_window_activity": _on(lambda t: producers.window_activity(t.raw_events)),
     "ext_stream_windows": jobs.stream_windows_query,

@@ -68,3 +68,12 @@ def weekly_spine(spark: SparkSession, start: dt.datetime, end: dt.datetime) -> D
     a, b = (F.lit(x.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz") for x in (start, end))
     week = lambda x: F.date_trunc("week", x).cast("timestamp_ntz")
     return spark.range(1).select(F.explode(F.sequence(week(a), week(b), F.expr("interval 7 days"))).alias("week_start"))
+
+
+def weekly_counts(events: DataFrame, column: str) -> DataFrame:
+    """``week_start`` and ``events`` for every week from that of the first to that of the last time in ``column``, empty weeks too."""
+    week = F.date_trunc("week", F.col(column)).cast("timestamp_ntz")
+    counted = events.where(F.col(column).isNotNull()).groupBy(week.alias("week_start")).agg(F.count("*").alias("events"))
+    ends = counted.agg(F.min("week_start").alias("a"), F.max("week_start").alias("b")).where("a is not null")
+    spine = ends.select(F.explode(F.sequence("a", "b", F.expr("interval 7 days"))).alias("week_start"))
+    return spine.join(counted, "week_start", "left").select("week_start", F.coalesce("events", F.lit(0)).alias("events"))

@@ -61,6 +61,15 @@ def test_auto_adjust(args, want):
     assert cal.auto_adjust(*args) == pytest.approx(want)
 
 
+def test_adjusted_is_auto_adjust_for_rows(spark):
+    cases = [(c, o) for c in (0.0, 1.0, 50.0, 99.0, 100.0) for o in (0.0, 0.01, 0.02, 0.03, 0.5)]
+    df = spark.createDataFrame([*cases, (None, 0.1), (5.0, None)], "c double, o double")
+    got = {(r.c, r.o): r.x for r in df.withColumn("x", cal.adjusted(df.c, df.o, 0.02)).collect()}
+    assert got == {k: cal.auto_adjust(*k, 0.02) for k in cases} | {(None, 0.1): None, (5.0, None): None}
+    with pytest.raises(ValueError):
+        cal.adjusted(df.c, df.o, 0)
+
+
 def test_auto_adjust_rejects_a_target_of_zero():
     with pytest.raises(ValueError):
         cal.auto_adjust(50, 0.1, 0)
