@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import dashboards
+from . import dashboards, sqltext
 
 
 @dataclass(frozen=True)
@@ -138,14 +138,12 @@ def alert_messages(t: dashboards.Warehouse, as_of: dt.datetime, rules: list[Rule
 
 
 def spec(at: dt.datetime) -> dict:
-    from .dashboards import EXTRACTS
-
     return {
         "schema_version": "1.0.0",
         "generated_at": at.strftime("%Y-%m-%dT%H:%M:%SZ"),
         "executive_metrics": {m.metric_id: asdict(m) for m in EXECUTIVE},
         "analyst_metrics": {m.metric_id: asdict(m) for m in ANALYST},
-        "extracts": {name: (f.__doc__ or name).strip() for name, f in EXTRACTS.items()},
+        "extracts": {name: {"sql": text, "parameters": {"as_of": None, **sqltext.DEFAULTS.get(name, {})}} for name, text in sqltext.SQL.items()},
         "visualization_mapping": {c.metric_id: asdict(c) for c in CHARTS},
         "alert_rules": [asdict(r) for r in RULES],
     }
