@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from .plans.metadata import RULES
+
 #: The derived tables as common table expressions.
 FIXTURES = {
     "raw_events": """select event_id, user_id, ts,
@@ -200,6 +204,34 @@ _DASH = {
         "select age_cohort, total_users, flagged_users, flagged_rate_pct, avg_risk_score, avg_enf as avg_enforcements from cohorts"),
 }
 
+_DAY_BACK = f"cast(floor((epoch({_NOW_E}) - epoch(triggered_at)) / 86400) as bigint)"
+_RULE_VALUES = {
+    "exec_high_risk_rate": f"select {_r('cast(100 as double) * sum(case when is_flagged then 1 else 0 end) / count(*)', 2)} from latest_scores",
+    "exec_enforcement_spike": "select case when stddev_samp(n) filter (where back > 0) >= 1e-9 then (coalesce(max(n) filter (where back = 0), 0) - avg(n) filter (where back > 0)) / stddev_samp(n) filter (where back > 0) end from days",
+    "exec_fpr_breach": "select false_positive_rate from (select * from threshold_history where metric_name = 'combined_risk_score' order by updated_at desc, threshold_id desc limit 1) h",
+    "analyst_cluster_surge": f"select count(*) from abuse_clusters where detected_at >= {_NOW_E} - interval '7 days' and avg_risk_score > 0.5",
+    "analyst_new_account_abuse": f"select {_r('cast(100 as double) * sum(case when is_flagged then 1 else 0 end) / count(*)', 2)} from user_profiles where account_age_days < 7",
+    "analyst_burst_heatmap_saturation": f"select count(*) from time_window_activity w join user_profiles p on w.user_id = p.user_id where window_start >= {_NOW_E} - interval '1 hour' and window_type = '5min' and burst_score > 0.75",
+    "analyst_device_reuse_surge": "select count(*) from summary",
+    "analyst_ip_multi_account_surge": "select count(*) from buckets",
+}
+_RULES = [
+    *_switches(f"ts >= {_NOW_E} - interval '24 hours'"), *_ip(f"ts >= {_NOW_E} - interval '24 hours'", "raw_events", "time_bucket(interval '10 minutes', ts)"),
+    f"days as (select {_DAY_BACK} as back, cast(count(*) as double) as n from enforcement_actions where {_DAY_BACK} between 0 and 30 group by 1)",
+    "ruled as (" + " union all ".join(
+        f"select '{r.rule_id}' as rule_id, '{r.metric_id}' as metric_id, '{r.severity}' as severity, {_r(f'cast(({_RULE_VALUES[r.rule_id]}) as double)', 9)} as value, cast({r.threshold} as double) as threshold" for r in RULES
+    ) + ")",
+    "evaluated as (select *, coalesce(value > threshold, false) as fires from ruled)",
+]
+_RULE_TABLES = "raw_events user_profiles latest_scores enforcement_actions threshold_history abuse_clusters time_window_activity"
+
+
+def _message(r) -> str:
+    """The rendered message of a rule, of each channel."""
+    before, digits, after = re.fullmatch(r"(.*)\{value:\.(\d)f\}(.*)", r.message_template).groups()
+    return f"select rule_id, severity, unnest({list(r.channels)}) as channel, '{before}' || printf('%.{digits}f', value) || '{after}' as message from evaluated where fires and rule_id = '{r.rule_id}'"
+
+
 # -- features ----------------------------------------------------------------
 
 _WINDOWS = (5, 15, 60)
@@ -329,6 +361,8 @@ ORACLE_SQL: dict[str, str] = {
     "cal_optimal_threshold": _with("scored_labels", *_CURVE, "select threshold, fpr, tpr from best"),
     "cal_auto_adjust": _with("threshold_history", "select threshold_id, metric_name, threshold_value as \"current\", false_positive_rate as observed, 0.02::double as target, greatest(0::double, least(100::double, threshold_value + greatest(-5::double, least(5::double, (false_positive_rate - 0.02::double) / 0.02::double * 2::double)))) as adjusted from threshold_history"),
     "cal_report": _with("scored_labels", *_CURVE, "select round(threshold, 6) as optimal_threshold, cast(0.2 as double) as max_fpr_constraint, round(fpr, 6) as fpr, round(tpr, 6) as tpr, round(1 - tpr, 6) as fnr, round(roc_auc, 6) as roc_auc, round(ap, 6) as average_precision, '1.0.0' as model_version from best cross join areas"),
+    "dash_alert_rules": _with(_RULE_TABLES, *_RULES, "select * from evaluated"),
+    "dash_alert_messages": _with(_RULE_TABLES, *_RULES, " union all ".join(map(_message, RULES))),
     "alert_fold": _with("anomaly_scores",
         """candidates as (select *, row_number() over (order by tt, entity, details) as i from (
             select 'user_high_risk' as alert_type, cast(user_id as varchar) as entity, cast(epoch(computed_at) as double) as tt,

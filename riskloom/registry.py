@@ -153,7 +153,7 @@ QUERIES: dict[str, Query] = {
     "q6_cohort_abuse": _on(lambda t: q.q6_cohort_abuse(t.user_profiles, t.anomaly_scores, t.enforcement_actions, ORDERS)),
     "q7_weekly_enforcement": _on(lambda t: q.q7_weekly_enforcement(t.enforcement_actions, t.user_profiles, ORDERS, NOW_ORDERS)),
     **{f"dash_{name}": _dashboard(name) for name in dashboards.EXTRACTS},
-    "dash_alert_rules": _on(lambda t: metadata.evaluate_rules(t, NOW_EVENTS)),
+    "dash_alert_rules": _on(lambda t: _digits(metadata.evaluate_rules(t, NOW_EVENTS))),
     "dash_alert_messages": _on(lambda t: metadata.alert_messages(t, NOW_EVENTS)),
     "feat_action_frequency": _on(lambda t: _digits(features.action_frequency(_view(t)))),
     "feat_ip_entropy": _on(lambda t: _digits(features.ip_entropy(_view(t)))),
