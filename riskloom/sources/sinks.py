@@ -8,9 +8,11 @@ import logging
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from logging.handlers import RotatingFileHandler
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +79,47 @@ class IncidentLog:
         at = dt.datetime.fromtimestamp(now, dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
         line = json.dumps({"timestamp": at, "alert_type": alert_type, "details": details})
         self.handler.emit(logging.LogRecord("incident", logging.INFO, "", 0, line, None, None))
+
+
+LOGGED = "alert_id string, alert_type string, entity string, at double, details string, delivered boolean"
+
+
+@dataclass(frozen=True)
+class EpochSink:
+    """For ``foreachBatch``: a batch's alerts are sent by tasks and logged as JSON lines in a shared folder, once an epoch.
+
+    The log of an epoch is committed as a whole by Spark's writer.  An epoch that is replayed after that neither sends nor logs
+    anything; one that fell over before is sent again, and so may be a task that is run again, with the same ``alert_id`` in each
+    payload, a hash of type, entity and time, by which the receiver can tell.  ``sender`` makes the function that sends, in each
+    task; its answer is logged as ``delivered``.  Nothing passes through the driver.
+    """
+
+    folder: str
+    sender: Callable[[], Callable[[dict], bool]]
+
+    def path(self, epoch: int) -> str:
+        return f"{self.folder}/epoch={epoch}"
+
+    def committed(self, spark: SparkSession, epoch: int) -> bool:
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(epoch)}/_SUCCESS")
+        return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        """``batch``: alert_type, entity, at (seconds) and, if there is one, details (JSON)."""
+        if self.committed(batch.sparkSession, epoch):
+            return
+        make = self.sender
+        details = F.col("details") if "details" in batch.columns else F.lit(None).cast("string")
+        rows = batch.select(F.sha2(F.to_json(F.struct("alert_type", "entity", "at")), 256).alias("alert_id"), "alert_type", "entity", F.col("at").cast("double").alias("at"), details.alias("details"))
+
+        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            deliver = make()
+            for pdf in batches:
+                payloads = [{"alert_id": i, "alert_type": t, "timestamp": a, "details": json.loads(d) if d else {"entity": e}} for i, t, e, a, d in pdf.itertuples(index=False)]
+                yield pdf.assign(delivered=[bool(deliver(x)) for x in payloads])
+
+        rows.mapInPandas(send, LOGGED).write.mode("overwrite").json(self.path(epoch))
+
+    def incidents(self, spark: SparkSession) -> DataFrame:
+        """The log: ``LOGGED`` and epoch."""
+        return spark.read.schema(f"{LOGGED}, epoch long").json(self.folder)
