@@ -5,6 +5,7 @@ import pytest
 
 from riskloom import registry
 from riskloom.plans import dashboards, metadata, sqltext
+from riskloom.plans import investigations as q
 from riskloom.sources.fixtures import Tables
 
 
@@ -44,6 +45,32 @@ def test_text_and_plan_give_the_same_rows(spark, tables, name):
     assert got == rows(plan, plan.columns) and got
 
 
+CASES = {
+    "q1_burst": (registry.EVENTS, {"min_window_count": 2}),
+    "q2_ip_clusters": (registry.EVENTS, {"width": "1 day"}),
+    "q3_device_reuse": (registry.EVENTS, {}),
+    "q4_session_success": (registry.EVENTS, {"below": 9.0, "min_events": 2}),
+    "q5_resource_density": (registry.EVENTS, {"width": "1 day", "min_resources": 5, "factor": 2.0}),
+    "q6_cohort_abuse": (registry.ORDERS, {}),
+    "q7_weekly_enforcement": (registry.ORDERS, {}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_investigations_give_the_rows_of_their_plans(spark, tables, name):
+    import inspect
+
+    when, given = CASES[name]
+    plan = getattr(q, name)
+    frames = {"events": "raw_events", "profiles": "user_profiles", "scores": "anomaly_scores", "metrics": "aggregated_user_metrics", "actions": "enforcement_actions"}
+    own = {p: getattr(tables, frames[p]) for p in inspect.signature(plan).parameters if p in frames}
+    at = {"as_of": registry.NOW_ORDERS} if "as_of" in inspect.signature(plan).parameters else {}
+    want = plan(**own, when=when, **at, **given)
+    got = sqltext.investigate(spark, name, when, **at, **given)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got, want.columns) == rows(want, want.columns) and not got.isEmpty()
+
+
 def test_defaults_are_those_of_the_plans():
     import inspect
 
