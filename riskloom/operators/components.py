@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import durable
+from .durable import durable, settled
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,12 +18,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.toDF("node", "to")
     both = durable(pairs.union(pairs.select("to", "node")).distinct())
-    labels = durable(both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("label")))
+    labels = settled(both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("label")))
     while True:
         around = both.join(labels.toDF("to", "near"), "to").groupBy("node").agg(F.min("near").alias("near"))
-        moved = durable(labels.join(around, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")))
+        moved = settled(labels.join(around, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")))
         top = moved.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        new = durable(moved.join(top, "label", "left").select("node", F.least("label", F.coalesce("top", "label")).alias("label"), "was"))
+        new = settled(moved.join(top, "label", "left").select("node", F.least("label", F.coalesce("top", "label")).alias("label"), "was"))
         labels = new.select("node", "label")
         if new.where("label <> was").isEmpty():
             return labels

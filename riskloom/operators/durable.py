@@ -1,8 +1,9 @@
-"""Cutting lineage by checkpoints in the folder that the cluster names."""
+"""Cutting lineage by checkpoints and files in the folder that the cluster names."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,15 @@ def durable(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to files of the shared folder and reads them, for what a loop makes of its own earlier frames.
+
+    A checkpoint keeps the size that was estimated for its plan, and a join multiplies the sizes of its sides.  So a frame
+    that a round joins with itself gets an estimate of twice the digits every round, until planning takes all the time;
+    files have the size that they have.  They stay until the folder is emptied.
+    """
+    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,51 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import durable
+from .durable import durable, settled
 
 
-def modularity(links: DataFrame, labels: DataFrame) -> float:
-    """Of ``labels`` (node, label) over ``links`` (node, to, w), which has every edge both ways and loops twice their weight."""
-    placed = links.join(labels, "node").join(labels.toDF("to", "other"), "to")
-    total = links.agg(F.sum("w")).first()[0]
-    if not total:
-        return 0.0
-    sums = placed.groupBy("label").agg(F.sum(F.when(F.col("label") == F.col("other"), F.col("w")).otherwise(0.0)).alias("inside"), F.sum("w").alias("degree"))
-    return float(sums.agg(F.sum(F.col("inside") / total - F.pow(F.col("degree") / total, 2))).first()[0])
+def _around(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, label, shared, loop: what links a node with the nodes of each community around it, and with itself."""
+    loop = F.col("node") == F.col("to")
+    sums = [F.sum(F.when(loop, 0.0).otherwise(F.col("w"))).alias("shared"), F.sum(F.when(loop, F.col("w")).otherwise(0.0)).alias("loop")]
+    return links.join(labels.toDF("to", "label"), "to").groupBy("node", "label").agg(*sums)
+
+
+def _value(around: DataFrame, here: DataFrame, total: float) -> float:
+    """The modularity of the communities of ``here`` (node, label, k) over links that sum up to ``total``."""
+    inside = around.join(here, ["node", "label"]).select((F.col("shared") + F.col("loop")).alias("w"))
+    degrees = here.groupBy("label").agg(F.sum("k").alias("k"))
+    parts = inside.select((F.col("w") / total).alias("x")).unionByName(degrees.select((-F.pow(F.col("k") / total, 2)).alias("x")))
+    return float(parts.agg(F.sum("x")).first()[0])
 
 
 def _moved(links: DataFrame, rounds: int, least: float) -> tuple[DataFrame, float]:
     """Labels of the nodes of one level after local moves, and their modularity.
 
-    In a round half of the nodes, by a hash, go to the neighbouring community that gains most, if any does; neighbours
-    that would swap for ever are parted so.  Moves of one round don't see each other, so the best labels are kept.
+    ``links`` has every edge both ways and loops twice their weight.  In a round half of the nodes, by a hash, go to the
+    neighbouring community that gains most, if any does; neighbours that would swap for ever are parted so.  Moves of one
+    round don't see each other, so the best labels are kept.  The links are joined once a round: what is around the nodes
+    tells the modularity of their labels, then their moves.
     """
-    degree = durable(links.groupBy("node").agg(F.sum("w").alias("k")))
+    degree = settled(links.groupBy("node").agg(F.sum("w").alias("k")))
     total = degree.agg(F.sum("k")).first()[0]
-    labels = best = durable(degree.select("node", F.col("node").alias("label")))
-    top = modularity(links, labels)
+    here = best = degree.withColumn("label", F.col("node"))
+    if not total:
+        return best.select("node", "label"), 0.0
+    around = settled(_around(links, here.select("node", "label")))
+    top = _value(around, here, total)
     idle = 0
     for r in range(rounds):
-        here = labels.join(degree, "node")
+        own = here.withColumnRenamed("label", "own")
         whole = here.groupBy("label").agg(F.sum("k").alias("of_label"))
-        around = links.where("node <> to").join(labels.toDF("to", "label"), "to").groupBy("node", "label").agg(F.sum("w").alias("shared"))
         # the own community is a choice, too, even without a link into it
-        choices = around.unionByName(labels.select("node", "label", F.lit(0.0).alias("shared"))).groupBy("node", "label").agg(F.sum("shared").alias("shared"))
+        choices = around.select("node", "label", "shared").unionByName(here.select("node", "label", F.lit(0.0).alias("shared"))).groupBy("node", "label").agg(F.sum("shared").alias("shared"))
         gain = F.col("shared") - F.col("k") * (F.col("of_label") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)) / total
-        rated = choices.join(here.withColumnRenamed("label", "own"), "node").join(whole, "label").withColumn("gain", gain)
+        rated = choices.join(own, "node").join(whole, "label").withColumn("gain", gain)
         picked = rated.groupBy("node").agg(
-            F.min(F.struct((-F.col("gain")).alias("loss"), "label")).alias("x"), F.max(F.when(F.col("label") == F.col("own"), F.col("gain"))).alias("stay"), F.min("own").alias("own")
+            F.min(F.struct((-F.col("gain")).alias("loss"), "label")).alias("x"), F.max(F.when(F.col("label") == F.col("own"), F.col("gain"))).alias("stay"), F.min("own").alias("own"), F.min("k").alias("k")
         )
         turn = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
         goes = turn & (-F.col("x.loss") > F.col("stay") + 1e-12)
-        labels = durable(picked.select("node", F.when(goes, F.col("x.label")).otherwise(F.col("own")).alias("label")))
-        value = modularity(links, labels)
+        here = settled(picked.select("node", "k", F.when(goes, F.col("x.label")).otherwise(F.col("own")).alias("label")))
+        around = settled(_around(links, here.select("node", "label")))
+        value = _value(around, here, total)
         idle = 0 if value > top + least else idle + 1
         if value > top:
-            best, top = labels, value
+            best, top = here, value
         if idle == 2:  # neither half of the nodes gains any more
             break
-    return best, top
+    return best.select("node", "label"), top
 
 
 def louvain(edges: DataFrame, levels: int = 10, rounds: int = 20, least: float = 1e-6) -> DataFrame:
@@ -60,14 +70,14 @@ def louvain(edges: DataFrame, levels: int = 10, rounds: int = 20, least: float =
     """
     one = edges.toDF("node", "to", "w").select("node", "to", F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w"))
     links = durable(one.unionByName(one.select(F.col("to").alias("node"), F.col("node").alias("to"), "w")).groupBy("node", "to").agg(F.sum("w").alias("w")))
-    out, value = durable(links.select("node", F.col("node").alias("label")).distinct()), None
+    out, value = settled(links.select("node", F.col("node").alias("label")).distinct()), None
     for _ in range(levels):
         labels, new = _moved(links, rounds, least)
         if value is not None and new <= value + least or labels.where("node <> label").isEmpty():
             break
         value = new
-        out = durable(out.withColumnRenamed("label", "at").join(labels.toDF("at", "label"), "at").select("node", "label"))
-        links = durable(
+        out = settled(out.withColumnRenamed("label", "at").join(labels.toDF("at", "label"), "at").select("node", "label"))
+        links = settled(
             links.join(labels, "node").join(labels.toDF("to", "other"), "to").groupBy(F.col("label").alias("node"), F.col("other").alias("to")).agg(F.sum("w").alias("w"))
         )
     names = out.groupBy("label").agg(F.min("node").alias("name"))

@@ -1,4 +1,6 @@
+import contextlib
 import datetime as dt
+import io
 import random
 
 import pytest
@@ -123,3 +125,27 @@ def test_louvain_parts_cliques_that_a_bridge_links(spark):
     with pytest.raises(ValueError):
         graph.communities(nodes, df, "other")
     assert graph.communities(nodes, df.where("false"), "louvain").where("user_id <> cluster_id").count() == 0
+
+
+def estimates(df):
+    """The plan of ``df`` with the sizes that the planner takes it to have."""
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain("cost")
+    assert "sizeInBytes" in out.getvalue()
+    return out.getvalue()
+
+
+def test_estimated_sizes_do_not_grow_round_by_round(spark):
+    """Joins multiply estimates, so those of labels made of earlier labels must not be carried on: sizes beyond 2 ** 63 are printed with an exponent."""
+    chain = spark.range(60).selectExpr("id as src", "id + 1 as dst", "1.0D as weight")
+    nodes = spark.range(61).toDF("user_id")
+    for method in ("components", "louvain"):
+        got = graph.communities(nodes, chain, method)
+        assert "E+" not in estimates(got), method
+        assert got.count() == 61
+
+
+def test_louvain_without_weights_moves_nobody(spark):
+    df = spark.createDataFrame([(1, 2, 0.0), (2, 3, None)], "src long, dst long, weight double")
+    got = graph.communities(spark.createDataFrame([(1,), (2,), (3,)], "user_id long"), df, "louvain").collect()
+    assert sorted((r.user_id, r.cluster_id) for r in got) == [(1, 1), (2, 2), (3, 3)]
