@@ -51,49 +51,80 @@ STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.e
 
 
 class LastSent(StatefulProcessor):
-    """An entity's state: the time of the last alert sent, until the watermark has passed its dedup window."""
+    """The state of a bucket of entities: the time of the last alert sent of each, until the watermark has passed its dedup window.
+
+    A call into the store is a message between the worker and the JVM, and a key has several of them, so entities share a key:
+    what a batch costs besides its rows is a few messages for each bucket that it meets.
+    """
 
     def __init__(self, window: float) -> None:
         self.window = window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at double")
+        self.state = handle.getValueState("last", "types array<string>, entities array<string>, at array<double>, timer long")
+
+    def _read(self) -> tuple[dict[tuple[str | None, str | None], float], int | None]:
+        found = self.state.get()
+        if found is None:
+            return {}, None
+        return dict(zip(zip(found[0], found[1], strict=True), found[2], strict=True)), found[3]
+
+    def _ends(self, at: float) -> int:
+        return math.ceil((at + self.window) * 1000)
+
+    def _write(self, last: dict[tuple[str | None, str | None], float], timer: int | None, now: int) -> None:
+        """Leaves out what the watermark ``now`` has passed; a bucket has one timer, at the end of an entity's window or before it."""
+        last = {k: at for k, at in last.items() if self._ends(at) > now}
+        first = self._ends(min(last.values())) if last else None
+        if timer is not None and (first is None or first < timer):
+            self.handle.deleteTimer(timer)
+            timer = None
+        if first is None:
+            self.state.clear()
+            return
+        if timer is None:
+            self.handle.registerTimer(first)
+            timer = first
+        self.state.update(([k[0] for k in last], [k[1] for k in last], list(last.values()), timer))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = last = self.last.get()[0] if self.last.exists() else float("-inf")
-        batch = pd.concat(list(rows)).sort_values("at")
-        outcome = []
-        for at in batch["at"]:
-            fresh = at - last >= self.window
+        last, timer = self._read()
+        batch = pd.concat(list(rows))[["alert_type", "entity", "at"]].sort_values("at")
+        named = batch[["alert_type", "entity"]].astype(object)
+        named = named.where(named.notna(), None)
+        outcome, sent = [], False
+        for kind, entity, at in zip(named["alert_type"], named["entity"], batch["at"].tolist(), strict=True):
+            fresh = at - last.get((kind, entity), float("-inf")) >= self.window
             outcome.append("sent" if fresh else "deduplicated")
-            last = at if fresh else last
-        if last != before:
-            self.last.update((float(last),))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(math.ceil((last + self.window) * 1000))
-        yield pd.DataFrame({"alert_type": key[0], "entity": key[1], "at": batch["at"], "outcome": outcome})
+            if fresh:
+                last[kind, entity] = at
+                sent = True
+        if sent:
+            self._write(last, timer, timerValues.getCurrentWatermarkInMs())
+        yield batch.assign(outcome=outcome)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """No row that is still to come is within the window, as rows behind the watermark are left out."""
-        self.last.clear()
+        """No row that is still to come is within the window of what is left out, as rows behind the watermark are."""
+        self._write(self._read()[0], None, timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def deduplicated_alerts(candidates: DataFrame, p: AlertParams = AlertParams(), late: str = "1 hour") -> DataFrame:
+def deduplicated_alerts(candidates: DataFrame, p: AlertParams = AlertParams(), late: str = "1 hour", buckets: int = 4096) -> DataFrame:
     """Alerts (alert_type, entity, at in seconds) with outcome, by a state for each entity: the time of the last alert sent.
 
-    Dedup is per entity and runs in parallel; the global rate limit belongs to the sink (see ``sink``).  A state ends by a timer
-    when the watermark passes its dedup window, so the store holds the entities of the last window only.  Candidates later
-    than ``late`` are left out.
+    Dedup is per entity and runs in parallel; the global rate limit belongs to the sink (see ``sink``).  Entities are dealt by
+    a hash to ``buckets``, each a key of the store, whose number has to stay for as long as a checkpoint is used.  A state ends
+    when the watermark passes its dedup window, by the bucket's timer, so the store holds the entities of the last window only.
+    Candidates later than ``late`` are left out.
     """
     out = "alert_type string, entity string, at double, outcome string"
-    timed = candidates.select("alert_type", "entity", "at", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("_time")).withWatermark("_time", late)
-    return timed.groupBy("alert_type", "entity").transformWithStateInPandas(LastSent(p.dedup_window_seconds), out, "append", "eventTime")
+    bucket = F.pmod(F.xxhash64("alert_type", "entity"), F.lit(buckets)).alias("_bucket")
+    timed = candidates.select(bucket, "alert_type", "entity", "at", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("_time")).withWatermark("_time", late)
+    return timed.groupBy("_bucket").transformWithStateInPandas(LastSent(p.dedup_window_seconds), out, "append", "eventTime")
 
 
 def sink(dispatcher: Dispatcher):

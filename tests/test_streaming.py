@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from riskloom.config import AlertParams
 from riskloom.operators.alerts import Dispatcher
@@ -63,3 +64,22 @@ def test_updated_windows_keep_their_last_row(spark, tmp_path):
     got, query = jobs.run(counts, mode="update", keys=("user_id", "start"))
     assert sorted((r.user_id, r.n) for r in got.collect()) == [(1, 1), (1, 2), (2, 1)]
     assert [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators][-1] == 1
+
+
+def test_entities_share_the_keys_of_the_store(spark, tmp_path):
+    """300 entities, one of them null, in 8 keys; over batches, with windows that end between and in them, as in one ordered pass."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    batches = [[(1000 * b + i, 300 * b + rng.randrange(300), rng.choice([None, *range(299)])) for i in range(900)] for b in range(3)]
+    stream = files(spark, tmp_path, *batches)
+    candidates = stream.select(F.lit("t").alias("alert_type"), F.col("user_id").cast("string").alias("entity"), F.unix_seconds("ts").cast("double").alias("at"))
+    got, query = jobs.run(jobs.deduplicated_alerts(candidates, AlertParams(dedup_window_seconds=7200), buckets=8))
+    want, last = [], {}
+    for _, m, u in sorted((x for b in batches for x in b), key=lambda x: x[1]):
+        fresh = m - last.get(u, -1000) >= 120
+        last[u] = m if fresh else last[u]
+        want.append(("" if u is None else str(u), m * 60, "sent" if fresh else "deduplicated"))
+    assert sorted((r.entity or "", int(r.at) - 1704067200, r.outcome) for r in got.collect()) == sorted(want)
+    stored = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert 0 < max(stored) <= 3 * 8  # a value and its timer, which is stored twice
