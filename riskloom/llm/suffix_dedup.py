@@ -11,11 +11,15 @@
    (64-bit hashes) are the same text: all but those of the smallest doc_id are
    removed.  This folds groups of copies, however large, into one context.
 3. Suffix arrays.  Where one anchor has several contexts, their texts are
-   fetched and split into shards of bounded size.  Each shard gets a suffix
-   array by Larsson-Sadakane refinement (prefix doubling over the groups that
-   are not yet sorted) and common prefixes by Kasai's rule (each suffix starts
-   from the prefix of the one before, less one).  Suffixes that share
-   ``length`` bytes form a run; the arrays of the shards of one anchor range are
+   fetched and cut to what has to be sorted: strings whose first minimum is the
+   anchor (a string has one, however many contexts hold it), and of those the
+   ones of which nearly all bytes are in another document's context, too.  What
+   is left is split into shards of bounded size.  Each shard gets a suffix
+   array by Larsson-Sadakane refinement (ranks of prefixes two or three times
+   as long in each pass, over the groups that are not yet sorted) and common
+   prefixes by Kasai's rule (each suffix starts from the prefix of the one
+   before, less one).  Suffixes that share ``length`` bytes form a run; the
+   arrays of the shards of one anchor range are
    merged by binary search of run prefixes, which gives each string its
    smallest doc_id, and all occurrences in larger ones are removed.  An anchor
    with very many contexts is dealt over several tasks; each sends on one row
@@ -42,6 +46,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +66,8 @@ class Settings:
     array_bytes: int = 1 << 21  # of contexts in one suffix array
     held_bytes: int = 32 << 20  # of text that a map task holds before it writes
     hot: int = 4_096  # contexts of one anchor above which they are dealt over several tasks
+    slice_bytes: int = 1 << 18  # of text, for one pass over anchors: its arrays fit a core's cache
+    step: int = 5  # strings of one anchor that are looked for together before any suffix array
 
     @property
     def reach(self) -> int:
@@ -77,24 +84,28 @@ SPANS, ANCHORS, OPEN, CONTEXTS, STRINGS, TEXTS = range(6)
 _SPAN = ["i8", "u8", "i8", "i8"]  # doc, tag, start, end (before clipping)
 _ANCHOR = ["u4", "u8", "i8", "u8", "u4"]  # rest of the hash, context hash, doc, tag, place
 _OPEN = ["i8", "u8", "u4", "u8", "i4", "u1"]  # doc, tag, place, anchor, part, hot
-_CONTEXT = ["u8", "i8", "u8", "u4", "u2", "u1"]  # anchor, doc, tag, where it begins, bytes, hot
+_CONTEXT = ["u8", "i8", "u8", "u4", "u2", "u2", "u1"]  # anchor, doc, tag, where it begins, bytes, those before the anchor, hot
 _HOLDER = ["i8", "u8", "i8"]  # doc, tag, place of a string
 _TEXT = ["i8", "u8", "u4"]  # doc, tag, bytes
 _ROWS = "kind int, shard int, n long, blob binary, data binary"
 
 
-def pack(columns: list[np.ndarray]) -> bytes:
-    """Integer columns as compressed byte planes; planes of slowly changing columns nearly vanish."""
+@cache
+def _codec() -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]:
+    """Compression and its reverse, set up once a worker: many packed rows are small."""
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Integer columns as compressed byte planes; planes of slowly changing columns nearly vanish."""
     planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return _codec()[0](b"".join(planes))
 
 
 def unpack(blob: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
-    import zstandard
-
-    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), 0, []
+    raw, at, out = np.frombuffer(_codec()[1](blob), np.uint8), 0, []
     for kind in kinds:
         width = np.dtype(kind).itemsize
         out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).ravel())
@@ -104,15 +115,13 @@ def unpack(blob: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
 
 def packed_by(kind: int, key: np.ndarray, columns: list[np.ndarray], texts: list[bytes] | None = None) -> list[tuple]:
     """Rows of ``_ROWS``: columns, and byte strings if given, split by an integer key and compressed."""
-    import zstandard
-
     order = np.argsort(key, kind="stable")
-    key = key[order]
+    key, columns = key[order], [c[order] for c in columns]
     cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     out = []
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=False):
-        data = None if texts is None else zstandard.ZstdCompressor(level=1).compress(b"".join(texts[i] for i in order[a:b].tolist()))
-        out.append((kind, int(key[a]), b - a, pack([c[order[a:b]] for c in columns]), data))
+        data = None if texts is None else _codec()[0](b"".join(texts[i] for i in order[a:b].tolist()))
+        out.append((kind, int(key[a]), b - a, pack([c[a:b] for c in columns]), data))
     return out
 
 
@@ -129,12 +138,10 @@ def unpack_all(rows: list[tuple], kind: int, kinds: list[str]) -> list[np.ndarra
 
 def unpack_texts(rows: list[tuple], kind: int, kinds: list[str], size: int) -> tuple[list[np.ndarray], list[bytes]]:
     """Columns and byte strings; column ``size`` has the lengths."""
-    import zstandard
-
     texts = []
     for k, _, n, blob, data in rows:
         if k == kind:
-            whole, at = zstandard.ZstdDecompressor().decompress(data), 0
+            whole, at = _codec()[1](data), 0
             for m in unpack(blob, n, kinds)[size].tolist():
                 texts.append(whole[at : at + m])
                 at += m
@@ -164,18 +171,23 @@ def _extreme(a: np.ndarray, width: int, f) -> np.ndarray:
     return f(out[: len(out) - (width - have)], out[width - have :]) if width > have else out
 
 
+def _hashes(data: np.ndarray, s: Settings) -> np.ndarray:
+    """Hash, at least 1, of the string of ``gram`` bytes at each place."""
+    word = np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,))
+    h, count = np.zeros(len(data) - s.gram + 1, np.uint64), len(data) - s.gram + 1
+    for i, at in enumerate([*range(0, s.gram - 8, 8), s.gram - 8]):
+        part = word[at : at + count] * np.uint64((0x9E3779B97F4A7C15 + 2 * i * 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF | 1)
+        h ^= part ^ (part >> np.uint64(29))
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.maximum(h ^ (h >> np.uint64(31)), np.uint64(1))
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Places of all anchors in the bytes of a slice, and their hashes."""
     n, none = len(data), np.zeros(0, np.int64)
     if n < s.length:
         return none, none.astype(np.uint64)
-    word = np.ndarray((n - 7,), "<u8", data.tobytes(), strides=(1,))
-    h, count = np.zeros(n - s.gram + 1, np.uint64), n - s.gram + 1
-    for i, at in enumerate([*range(0, s.gram - 8, 8), s.gram - 8]):
-        part = word[at : at + count] * np.uint64((0x9E3779B97F4A7C15 + 2 * i * 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF | 1)
-        h ^= part ^ (part >> np.uint64(29))
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-    h = np.maximum(h ^ (h >> np.uint64(31)), np.uint64(1))
+    h = _hashes(data, s)
     window = s.reach + 1
     low = _extreme(h, window, np.minimum)
     # windows of s.length bytes must lie within one row
@@ -189,6 +201,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndar
     at = np.flatnonzero((top == h) & (h > 0))
     return at, mix(h[at] + np.uint64(1))  # minima are small; mixed again, they fill the shards evenly
 
+
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def _block_of(doc: np.ndarray, tag: np.ndarray, blocks: int) -> np.ndarray:
     return (mix(doc.view(np.uint64) ^ mix(tag)) % np.uint64(blocks)).astype(np.int32)
 
@@ -196,18 +213,26 @@ def _block_of(doc: np.ndarray, tag: np.ndarray, blocks: int) -> np.ndarray:
 def copies(data: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, h: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """True for anchors whose context is, byte by byte, that of an anchor of a smaller doc_id among those given."""
     out = np.zeros(len(h), bool)
-    order = np.lexsort((doc, ctx, h))
+    key = mix(h ^ mix(ctx))
+    order = np.argsort(key)
+    key = key[order]
+    again = np.r_[False, key[1:] == key[:-1], False]
+    order = order[again[1:] | again[:-1]] if len(h) else order  # keys that occur more than once
+    order = order[np.lexsort((doc[order], ctx[order], h[order]))]
     hs, cs, ds = h[order], ctx[order], doc[order]
-    first = np.r_[True, (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])] if len(h) else np.zeros(0, bool)
-    least = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+    first = np.r_[True, (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])] if len(order) else np.zeros(0, bool)
+    least = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
     later = np.flatnonzero(ds > ds[least])
     if not len(later):
         return out
     a, b = order[later], order[least[later]]
-    same = (end[a] - begin[a] == end[b] - begin[b]) & (at[a] - begin[a] == at[b] - begin[b])
-    for i in range(int((end[a] - begin[a]).max())):
-        inside = np.minimum(begin[a] + i, end[a] - 1), np.minimum(begin[b] + i, end[b] - 1)
-        same &= data[inside[0]] == data[inside[1]]
+    alike = (end[a] - begin[a] == end[b] - begin[b]) & (at[a] - begin[a] == at[b] - begin[b])
+    a, b = a[alike], b[alike]
+    size, same = end[a] - begin[a], np.ones(len(a), bool)
+    word = np.ndarray((len(data) + 1,), "<u8", data.tobytes() + bytes(8), strides=(1,))  # eight bytes from each place
+    for i in range(0, int(size.max(initial=0)), 8):
+        here, there = np.minimum(begin[a] + i, len(data)), np.minimum(begin[b] + i, len(data))
+        same &= (word[here] ^ word[there]) & _LOW[np.clip(size - i, 0, 8)] == 0
     out[a[same]] = True
     return out
 
@@ -230,7 +255,7 @@ def _anchor_rows(docs: DataFrame, s: Settings, n: int) -> DataFrame:
             return rows_of(packed_by(SPANS, _block_of(spans[0], spans[1], n), spans) + packed_by(ANCHORS, shard[rest], [c[rest] for c in columns]))
 
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", s.slice_bytes):
                 data, off = utf8(batch.column("text"))
                 at, h = anchors(data, off, s)
                 row = np.searchsorted(off, at, "right") - 1
@@ -251,11 +276,9 @@ def _anchor_rows(docs: DataFrame, s: Settings, n: int) -> DataFrame:
 
 def settle(h: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(settled, open): indices of anchors whose context a smaller doc_id has, and of those to be looked at as text."""
-    order = np.argsort(h, kind="stable")
-    first = np.r_[True, h[order][1:] != h[order][:-1]]
-    group = np.cumsum(first) - 1
-    count = np.bincount(group)
-    order = order[count[group] > 1]  # hashes that occur more than once
+    order = np.argsort(h)
+    again = np.r_[False, h[order[1:]] == h[order[:-1]], False]
+    order = order[again[1:] | again[:-1]] if len(h) else order  # hashes that occur more than once
     order = order[np.lexsort((doc[order], ctx[order], h[order]))]
     if not len(order):
         return order, order
@@ -271,6 +294,46 @@ def settle(h: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray,
     return order[settled], order[~settled & ((contexts > 1) & many_docs)[g_h]]
 
 
+def first_minima(text: np.ndarray, begin: np.ndarray, at: np.ndarray, end: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """How far before its anchor at least and at most a string begins that has its first minimum there; none if least > most.
+
+    A string has one first minimum wherever it stands, so it need not be looked at in the contexts of its other anchors.
+    """
+    most, behind = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    if len(at):
+        h = _hashes(text, s)
+        own = h[at]
+        free, clear = np.ones(len(at), bool), np.ones(len(at), bool)
+        for i in range(1, s.reach + 1):
+            free &= (at - i >= begin) & (h[np.maximum(at - i, 0)] > own)
+            clear &= (at + i + s.gram <= end) & (h[np.minimum(at + i, len(h) - 1)] >= own)
+            most += free
+            behind += clear
+    return s.reach - behind, most
+
+
+def shared(text: np.ndarray, at: np.ndarray, least: np.ndarray, most: np.ndarray, doc: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """``least`` and ``most`` narrowed to strings that another document can hold: all that one holds, and few others.
+
+    A string has its anchor at one place wherever it stands.  What ``step`` neighbouring strings around
+    an anchor have in common is shared, too, where one of them is; equal hashes only keep more.
+    """
+    low, high = np.full(len(at), s.length), np.full(len(at), -1)
+    for begin in range(0, s.reach + 1, s.step):
+        last = min(begin + s.step - 1, s.reach)
+        has = np.flatnonzero((least <= last) & (most >= begin) & (least <= most))
+        if len(has):
+            key = span_hash(text, at[has] - begin, at[has] + s.length - last)
+            order = np.argsort(key)
+            has, key = has[order], key[order]
+            first = np.r_[True, key[1:] != key[:-1]]
+            starts = np.flatnonzero(first)
+            several = np.minimum.reduceat(doc[has], starts) != np.maximum.reduceat(doc[has], starts)
+            has = has[several[np.cumsum(first) - 1]]
+            low[has], high[has] = np.minimum(low[has], begin), np.maximum(high[has], last)
+    return np.maximum(least, low), np.minimum(most, high)
+
+
 # -- suffix arrays ----------------------------------------------------------
 
 
@@ -278,7 +341,8 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All suffixes of the texts that end before ``ends`` in order: Larsson-Sadakane refinement.
 
     Starts from ranks of 8-byte prefixes; every pass sorts each group that is
-    still tied by the rank of the suffix ``h`` bytes on, then doubles ``h``.
+    still tied by the ranks of the suffixes ``h`` and, if three ranks fit 64
+    bits, ``2 * h`` bytes on, then ``h`` is as many times larger.
     At ``ends`` stand terminators, each unlike any other and above all bytes, so
     no comparison runs on into another text.
     """
@@ -294,28 +358,30 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     sorted_key = key[order]
     first = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
     start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, np.uint64)
     rank[order], rank[n] = start, n
     ends = ends[ends < n]
     last = n - len(ends)  # terminators come last, in the order of their places
     if len(ends):
         order[last:], rank[ends] = ends, np.arange(last, n)
         first[last:] = True
-    h = 8
+    h, times, base = 8, 3 if (n + 1) ** 3 <= 1 << 64 else 2, np.uint64(n + 1)
     while True:
         tied = ~(first & np.r_[first[1:], True])
         place = np.flatnonzero(tied)  # places in groups of two or more
         if not len(place):
             return order
         who = order[place]
-        pair = rank[who] * (n + 1) + rank[np.minimum(who + h, stop[who])]
-        by = np.argsort(pair)
-        who, pair = who[by], pair[by]
+        key, until = rank[who], stop[who]
+        for k in range(1, times):
+            key = key * base + rank[np.minimum(who + k * h, until)]
+        by = np.argsort(key)
+        who, key = who[by], key[by]
         order[place] = who
-        split = np.r_[True, pair[1:] != pair[:-1]]
+        split = np.r_[True, key[1:] != key[:-1]]
         first[place] = split
         rank[who] = place[np.maximum.accumulate(np.where(split, np.arange(len(place)), 0))]
-        h *= 2
+        h *= times
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int) -> np.ndarray:
@@ -377,14 +443,14 @@ class Shard:
         ends = self.starts + size
         order = suffix_array(text, ends)
         lcp = common_prefixes(text, order, self.starts, ends, s.length)
-        owner = np.searchsorted(self.starts, order, "right") - 1
+        owner = np.repeat(np.arange(len(size)), size + 1)[order]
         whole = order + s.length <= ends[owner]
         # what lies between two whole suffixes of a run shares its bytes, so it is whole too
         run = np.cumsum(lcp < s.length) - 1
         order, owner, run = order[whole], owner[whole], run[whole]
-        _, self.run = np.unique(run, return_inverse=True)
         self.owner, self.at = owner, order - self.starts[owner] + base[owner]
-        first = np.r_[True, self.run[1:] != self.run[:-1]] if len(order) else np.zeros(0, bool)
+        first = np.r_[True, run[1:] != run[:-1]] if len(order) else np.zeros(0, bool)
+        self.run = np.cumsum(first) - 1
         heads = order[first]
         window = np.lib.stride_tricks.sliding_window_view(text, s.length)[heads] if len(heads) else np.zeros((0, s.length), np.uint8)
         self.strings = np.ascontiguousarray(window).view(f"V{s.length}").ravel()
@@ -491,18 +557,28 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, s: Settings, n: int) -> Da
             return rows_of([])
         (ids, tags, _), held = unpack_texts(rows, TEXTS, _TEXT, 2)
         where = dict(zip(zip(ids.tolist(), tags.tolist(), strict=True), held, strict=True))  # rows of one id and tag are equal
-        begin = np.maximum(at.astype(np.int64) - s.reach, 0)
+        at = at.astype(np.int64)
+        begin = np.maximum(at - s.reach, 0)
         pieces = [where[k][a : b + s.length] for k, a, b in zip(zip(doc.tolist(), tag.tolist(), strict=True), begin.tolist(), at.tolist(), strict=True)]
         size = np.array([len(x) for x in pieces], np.uint16)
-        return rows_of(packed_by(CONTEXTS, part, [anchor, doc, tag, begin.astype(np.uint32), size, hot], pieces))
+        return rows_of(packed_by(CONTEXTS, part, [anchor, doc, tag, begin.astype(np.uint32), size, (at - begin).astype(np.uint16), hot], pieces))
 
     contexts = in_shards(texts.unionByName(found.where(F.col("kind") == OPEN)), n, fetch)
 
     def sort(rows: list[tuple]) -> pa.RecordBatch:
-        (anchor, doc, tag, base, _, hot), blobs = unpack_texts(rows, CONTEXTS, _CONTEXT, 4)
-        order = np.lexsort((anchor, hot))
-        anchor, doc, tag, base, hot = (c[order] for c in (anchor, doc, tag, base.astype(np.int64), hot))
-        blobs = [blobs[i] for i in order.tolist()]
+        (anchor, doc, tag, base, size, before, hot), blobs = unpack_texts(rows, CONTEXTS, _CONTEXT, 4)
+        end = np.cumsum(size.astype(np.int64))
+        begin, text = end - size, b"".join(blobs)
+        place, data = begin + before, np.frombuffer(text, np.uint8)
+        least, most = first_minima(data, begin, place, end, s)
+        low, high = shared(data, place, least, most, doc, s)
+        # strings of a hot anchor can be in other tasks
+        least, most = np.where(hot > 0, least, low), np.where(hot > 0, most, high)
+        live = np.flatnonzero(least <= most)
+        order = live[np.lexsort((anchor[live], hot[live]))]
+        blobs = [text[a:b] for a, b in zip((place - most)[order].tolist(), (place - least + s.length)[order].tolist(), strict=True)]
+        base = base.astype(np.int64) + before - most
+        anchor, doc, tag, base, hot = (c[order] for c in (anchor, doc, tag, base, hot))
         size = np.cumsum([len(b) for b in blobs])
         cold = int(np.searchsorted(hot, 1))  # contexts of hot anchors come last
         spans, open_ = [], []

@@ -163,3 +163,58 @@ def test_copies_in_one_task_are_compared_by_bytes():
     other[12] = 0
     assert not sd.copies(other, begin, end, at, same, same, np.array([1, 2, 1, 3])).any()
     assert not sd.copies(data[:0], begin[:0], end[:0], at[:0], same[:0], same[:0], at[:0]).any()
+
+
+def contexts(texts, s):
+    """Of all anchors of {doc_id: text}: bytes of all texts, begin, place and end of the contexts, doc_id, hash."""
+    blobs = [t.encode() for t in texts.values()]
+    data, off = np.frombuffer(b"".join(blobs), np.uint8), np.cumsum([0, *map(len, blobs)])
+    at, h = sd.anchors(data, off, s)
+    row = np.searchsorted(off, at, "right") - 1
+    return data, off, np.maximum(at - s.reach, off[row]), at, np.minimum(at + s.length, off[row + 1]), np.array([*texts])[row], h
+
+
+@pytest.mark.parametrize("s", [sd.Settings(), sd.Settings(step=1), sd.Settings(length=30, gram=12, step=4)])
+def test_arrays_get_each_shared_string_once(s):
+    texts = corpus(random.Random(5))
+    data, off, begin, at, end, doc, h = contexts(texts, s)
+    least, most = sd.first_minima(data, begin, at, end, s)
+    low, high = sd.shared(data, at, least, most, doc, s)
+    holders, times, kept = {}, Counter(), Counter()
+    for d, a, b in zip(texts, off, off[1:], strict=False):
+        for i in range(a, b - s.length + 1):
+            holders.setdefault(data[i : i + s.length].tobytes(), set()).add(d)
+    for i, a, b, c, d in zip(at.tolist(), least.tolist(), most.tolist(), low.tolist(), high.tolist(), strict=True):
+        times.update(i - k for k in range(a, b + 1))
+        kept.update(i - k for k in range(c, d + 1))
+    every = [i for a, b in zip(off, off[1:], strict=False) for i in range(a, b - s.length + 1)]
+    assert times == Counter(every)
+    assert {i for i in every if len(holders[data[i : i + s.length].tobytes()]) > 1} <= set(kept) and max(kept.values()) == 1
+
+
+def test_contexts_that_share_too_little_are_not_sorted():
+    """A common phrase shorter than a string, with other text around it: its anchors have many contexts, and no array is needed."""
+    rng, s = random.Random(6), sd.Settings()
+    odd = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(60))
+    phrase = "a common phrase of some thirty bytes"
+    data, _, begin, at, end, doc, h = contexts({d: odd() + phrase + odd() for d in range(200)}, s)
+    assert (np.unique(h, return_counts=True)[1] > 100).any()
+    low, high = sd.shared(data, at, *sd.first_minima(data, begin, at, end, s), doc, s)
+    assert not (low <= high).any()
+    # twenty bytes more make it a string
+    data, _, begin, at, end, doc, h = contexts({d: odd() + phrase + " and some twenty more" + odd() for d in range(200)}, s)
+    low, high = sd.shared(data, at, *sd.first_minima(data, begin, at, end, s), doc, s)
+    assert (low <= high).sum() >= 200
+
+
+def test_refinement_of_a_long_text():
+    """Too many suffixes for three ranks in 64 bits."""
+    rng = np.random.default_rng(8)
+    text = rng.integers(97, 99, 2_700_000).astype(np.uint8)
+    text[2_000_000:] = text[1_000_000:1_700_000]
+    assert (len(text) + 1) ** 3 > 1 << 64
+    order = sd.suffix_array(text, np.array([len(text)]))
+    assert np.array_equal(np.sort(order), np.arange(len(text)))
+    raw = text.tobytes() + b"\xff"
+    for i in rng.integers(0, len(text) - 1, 300).tolist():
+        assert raw[order[i] :] < raw[order[i + 1] :]
