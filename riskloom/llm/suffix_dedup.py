@@ -98,30 +98,39 @@ def _codec() -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]:
     return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
 
 
+def _matrix(columns: list[np.ndarray]) -> np.ndarray:
+    """A row of bytes for each entry of the columns."""
+    return np.concatenate([np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize) for c in columns], axis=1)
+
+
+def _columns(planes: np.ndarray, kinds: list[str]) -> list[np.ndarray]:
+    """The columns whose bytes are the rows of ``planes``."""
+    at = np.cumsum([0, *(np.dtype(kind).itemsize for kind in kinds)]).tolist()
+    return [np.ascontiguousarray(planes[a:b].T).view(kind).ravel() for a, b, kind in zip(at, at[1:], kinds, strict=False)]
+
+
 def pack(columns: list[np.ndarray]) -> bytes:
     """Integer columns as compressed byte planes; planes of slowly changing columns nearly vanish."""
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns]
-    return _codec()[0](b"".join(planes))
+    return _codec()[0](_matrix(columns).T.tobytes())
 
 
 def unpack(blob: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
-    raw, at, out = np.frombuffer(_codec()[1](blob), np.uint8), 0, []
-    for kind in kinds:
-        width = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).ravel())
-        at += n * width
-    return out
+    return _columns(_planes(blob, n, kinds), kinds)
+
+
+def _planes(blob: bytes, n: int, kinds: list[str]) -> np.ndarray:
+    return np.frombuffer(_codec()[1](blob), np.uint8).reshape(sum(np.dtype(kind).itemsize for kind in kinds), n)
 
 
 def packed_by(kind: int, key: np.ndarray, columns: list[np.ndarray], texts: list[bytes] | None = None) -> list[tuple]:
     """Rows of ``_ROWS``: columns, and byte strings if given, split by an integer key and compressed."""
     order = np.argsort(key, kind="stable")
-    key, columns = key[order], [c[order] for c in columns]
+    key, matrix = key[order], _matrix(columns)[order]
     cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     out = []
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=False):
         data = None if texts is None else _codec()[0](b"".join(texts[i] for i in order[a:b].tolist()))
-        out.append((kind, int(key[a]), b - a, pack([c[a:b] for c in columns]), data))
+        out.append((kind, int(key[a]), b - a, _codec()[0](matrix[a:b].T.tobytes()), data))
     return out
 
 
@@ -132,20 +141,22 @@ def rows_of(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def unpack_all(rows: list[tuple], kind: int, kinds: list[str]) -> list[np.ndarray]:
-    parts = [unpack(blob, n, kinds) for k, _, n, blob, _ in rows if k == kind]
-    return [np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, kinds[c]) for c in range(len(kinds))]
+    parts = [_planes(blob, n, kinds) for k, _, n, blob, _ in rows if k == kind]
+    return _columns(np.concatenate(parts, axis=1), kinds) if parts else [np.zeros(0, k) for k in kinds]
 
 
 def unpack_texts(rows: list[tuple], kind: int, kinds: list[str], size: int) -> tuple[list[np.ndarray], list[bytes]]:
     """Columns and byte strings; column ``size`` has the lengths."""
-    texts = []
-    for k, _, n, blob, data in rows:
+    columns = unpack_all(rows, kind, kinds)
+    texts, sizes, first = [], columns[size].tolist(), 0
+    for k, _, n, _, data in rows:
         if k == kind:
             whole, at = _codec()[1](data), 0
-            for m in unpack(blob, n, kinds)[size].tolist():
+            for m in sizes[first : first + n]:
                 texts.append(whole[at : at + m])
                 at += m
-    return unpack_all(rows, kind, kinds), texts
+            first += n
+    return columns, texts
 
 
 def in_shards(rows: DataFrame, n: int, f: Callable[[list[tuple]], pa.RecordBatch], schema: str = _ROWS) -> DataFrame:

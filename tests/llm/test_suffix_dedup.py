@@ -218,3 +218,18 @@ def test_refinement_of_a_long_text():
     raw = text.tobytes() + b"\xff"
     for i in rng.integers(0, len(text) - 1, 300).tolist():
         assert raw[order[i] :] < raw[order[i + 1] :]
+
+
+def test_small_packed_rows_are_read_together(monkeypatch):
+    """At a large size there are many packed rows of a few entries: columns are made once for all of them, not once a row."""
+    rng = np.random.default_rng(3)
+    columns = [rng.integers(0, 1 << 31, 3000).astype("u4"), rng.integers(-(1 << 62), 1 << 62, 3000), rng.integers(0, 9, 3000).astype("u2")]
+    texts, key = [bytes([i % 251]) * m for i, m in enumerate(columns[2].tolist())], rng.integers(0, 1000, 3000)
+    rows = sd.packed_by(sd.TEXTS, key, columns, texts)
+    assert all(blob == sd.pack([c[key == k] for c in columns]) for _, k, _, blob, _ in rows[:50])
+    calls, real = [], np.ascontiguousarray
+    monkeypatch.setattr(np, "ascontiguousarray", lambda *a, **b: calls.append(1) or real(*a, **b))
+    back, found = sd.unpack_texts(rows, sd.TEXTS, ["u4", "i8", "u2"], 2)
+    assert len(calls) < 10
+    order = np.argsort(key, kind="stable")
+    assert all(np.array_equal(a, c[order]) for a, c in zip(back, columns, strict=True)) and found == [texts[i] for i in order]
